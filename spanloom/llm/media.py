@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -361,7 +362,7 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            size = np.cumsum([0, *map(len, column)]) if batch.num_rows else np.zeros(1, np.int64)
+            size = np.concatenate(([0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)))).astype(np.int64)
             for i, j in tn.chunks(size, tn.CHUNK_BYTES // 2):
                 files = column.slice(i, j - i).to_pylist()
                 heads, coefficients = read(files)
