@@ -39,7 +39,7 @@ SPACE, BLANK, LETTER, SHORT, LONG, NUMBER, OTHER, QUOTE, RUN, RESET = range(10)
 BEGIN, SPACED, LETTERS, NUMBERS, OTHERS, QUOTED, HALF, DONE, BLANKS = range(9)
 N_STATES = 9
 #: Pieces that the cache of merges may hold; it is emptied beyond that, which costs time, not results.
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 18
 #: Longer pieces are merged with a heap.
 HEAP_BYTES = 256
 
