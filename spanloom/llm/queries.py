@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, kd_shards, line_dedup, media, token_store
+from . import bpe, common, decontaminate, jaccard_join, kd_shards, line_dedup, media, token_store
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(common.documents(spark, sf_dir, "doc_id", "text"), n=4, percent=85)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir, "doc_id", "text")
     kept = line_dedup.apply(docs, line_dedup.bitmaps(docs, min_docs=10, min_chars=1))
@@ -68,6 +72,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_kd_shards": op4_kd_shards,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_token_store": op6_token_store,
     "op7_line_dedup": op7_line_dedup,
     "op9_decontaminate": op9_decontaminate,
