@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard_join, kd_shards, line_dedup, media, token_store
+from . import bpe, common, decontaminate, html_extract, jaccard_join, kd_shards, line_dedup, media, token_store, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,17 @@ def op10_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A score from here on counts as toxic.
+TOXIC = 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir, "doc_id", "text")
+    seen = common.documents(spark, sf_dir, "doc_id", "toxic", table="labels").filter(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, seen))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence")
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shards(common.documents(spark, sf_dir, "doc_id", "text"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,6 +74,11 @@ FROM keyed LEFT JOIN hot USING (k) GROUP BY doc_id
 """
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(common.documents(spark, sf_dir, "page_id", "url", "html", table="pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(common.documents(spark, sf_dir, "doc_id", "text"), common.documents(spark, sf_dir, "item_id", "text", table="benchmark"), n=10)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"])
@@ -71,10 +87,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
     "op4_kd_shards": op4_kd_shards,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_store": op6_token_store,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
     "op10_media_jpeg": op10_media_jpeg,
 }
