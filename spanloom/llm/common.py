@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -79,3 +80,35 @@ def runs(batches: Iterator[pa.RecordBatch], key: str, limit: int | None = None)
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: Keys (24 bytes each) up to this number are broadcast to the rows that they take away; more meet them in a shuffle.
+BROADCAST_KEYS = 1 << 20
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the frame has such a column already (whatever its case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """_key, the document's id with its text's hash, and text: rows that agree in both get the same decision."""
+    body = F.col(text).cast("string")
+    return docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("hash")).alias("_key"), body.alias("text"))
+
+
+def without(docs: DataFrame, keys: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose :func:`keyed` key is not among keys; all columns stay."""
+    held = Scratch(docs.sparkSession, name).table(keys.select(F.col("_key.id").alias("id"), F.col("_key.hash").alias("hash")).distinct(), "dropped")
+    id_, hash_, own = fresh(docs, "_id", "_hash", "_own")
+    held = held.select(F.col("id").alias(id_), F.col("hash").alias(hash_))
+    if held.count() <= BROADCAST_KEYS:
+        held = F.broadcast(held)
+    left = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return left.join(held, F.col(key).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)), "left_anti").drop(own)

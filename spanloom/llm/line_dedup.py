@@ -85,9 +85,10 @@ def kept_lines(text: Column, keep: Column) -> Column:
     return F.when(keep.isNull(), F.coalesce(text.cast("string"), F.lit(""))).otherwise(F.array_join(F.filter(lines(text), stays), "\n"))
 
 
-def apply(docs: DataFrame, maps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with _kept (the text that stays), _n_lines and _n_dropped; all columns of docs stay."""
-    left = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    right = maps.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
-    joined = left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_text_hash"] == right["_hash"]), "left")
-    return joined.select(*(left[c] for c in docs.columns), kept_lines(F.col(text), F.col("_keep")).alias("_kept"), F.size(lines(F.col(text))).cast("long").alias("_n_lines"), F.coalesce("_n", F.lit(0).cast("long")).alias("_n_dropped"))
+def apply(docs: DataFrame, maps: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, str, str] = ("_kept", "_n_lines", "_n_dropped")) -> DataFrame:
+    """All columns of docs, and under the three names the text that stays, the number of lines, and that of dropped ones; the names must be new."""
+    own, key_, hash_, n, keep = common.fresh(docs, "_own", "_key", "_hash", "_n", "_keep")
+    left = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    right = maps.select(F.col(key).alias(key_), F.col("text_hash").alias(hash_), F.col("n_dropped").alias(n), F.col("keep").alias(keep))
+    joined = left.join(right, F.col(key).eqNullSafe(F.col(key_)) & (F.col(own) == F.col(hash_)), "left")
+    return joined.select(*docs.columns, kept_lines(F.col(text), F.col(keep)).alias(names[0]), F.size(lines(F.col(text))).cast("long").alias(names[1]), F.coalesce(n, F.lit(0).cast("long")).alias(names[2]))

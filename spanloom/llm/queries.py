@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, html_extract, jaccard_join, kd_shards, line_dedup, media, token_store, toxicity
+from . import bpe, common, decontaminate, html_extract, jaccard_join, kd_shards, language_id, line_dedup, media, token_store, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.documents(spark, sf_dir, "page_id", "url", "html", table="pages")
+    return language_id.identify(pages, common.documents(spark, sf_dir, "text", "lang"))
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shards(common.documents(spark, sf_dir, "doc_id", "text"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -88,6 +93,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_kd_shards": op4_kd_shards,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_store": op6_token_store,
