@@ -1,10 +1,645 @@
-"""All queries of the library by name, and their SQL."""
+"""All queries of the library by name, over whole tables, with scalar output columns."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.roles import N_ROLES, ROLES, bit, names, role_name
+from ..operators import bootstrap, duplicates, features, grid, metrics, models, projection, sequences, spans, splitting, validation
+from ..sources import tables
+from ..streaming import incremental
+from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+REPS = 100
+N = F.count(F.lit(1)).alias("n")
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables that cut lineage are written: the folder that the cluster names, or a local session's own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{found.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"/tmp/spanloom-{uuid.uuid4().hex}"
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return tables.cases(s, d, "text")
+
+
+def _norm(s: SparkSession, d: str) -> DataFrame:
+    return spans.normalise(tables.spans(s, d, letters=True))
+
+
+def _regions(s: SparkSession, d: str) -> DataFrame:
+    return spans.regions(_norm(s, d))
+
+
+def _roled(s: SparkSession, d: str) -> DataFrame:
+    return spans.nesting_roles(_regions(s, d))
+
+
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    return grid.sentences(_docs(s, d))
+
+
+def _projected(s: SparkSession, d: str) -> DataFrame:
+    return projection.project(_sentences(s, d), _regions(s, d))
+
+
+def _s1(s: SparkSession, d: str, system: int = 0) -> DataFrame:
+    own = tables.predictions(_roled(s, d).withColumn("gold", F.col("mask")), "region_idx", system)
+    return own.withColumn("pred", metrics.decode(F.col("p"), F.lit(500)))
+
+
+def _s2(s: SparkSession, d: str, system: int = 0) -> DataFrame:
+    held = _projected(s, d).filter("status = 'LABELED'").withColumn("gold", bit(F.col("label")))
+    own = tables.predictions(held, "sent_idx", system)
+    return own.withColumn("pred", bit(metrics.argmax(F.col("p"))))
+
+
+def _split() -> Column:
+    return tables.split_of(F.col("case_id")).alias("split")
+
+
+BOUNDS = [F.col("b").alias("span_begin"), F.col("e").alias("span_end")]
+
+
+@query
+def grid_sentences(s, d):
+    return _sentences(s, d).select("case_id", "sent_idx", *BOUNDS)
+
+
+@query
+def grid_fingerprint(s, d):
+    return grid.fingerprint(_sentences(s, d))
+
+
+@query
+def grid_size(s, d):
+    return _sentences(s, d).groupBy("case_id").agg((F.max("sent_idx") + 1).alias("grid_n"))
+
+
+@query
+def doc_sha_dups(s, d):
+    return _docs(s, d).groupBy(F.sha2("text", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("n_docs"), F.min("case_id").alias("min_case_id")).filter("n_docs > 1")
+
+
+@query
+def span_kind_filter(s, d):
+    return tables.spans(s, d).filter("kind = 'rhetorical'").groupBy(F.col("label").alias("label_idx")).agg(N)
+
+
+@query
+def norm_r1(s, d):
+    return tables.spans(s, d, letters=True).filter(~spans.is_tiny()).groupBy("case_id", *BOUNDS, "label", "kind").agg(N)
+
+
+@query
+def norm_r2(s, d):
+    return _norm(s, d).groupBy("case_id", *BOUNDS, "label", "kind").agg(N)
+
+
+@query
+def norm_log(s, d):
+    return spans.near_identical(tables.spans(s, d, letters=True)).select("case_id", "label", *BOUNDS, "kept_b", "kept_e")
+
+
+@query
+def norm_summary(s, d):
+    rows = tables.spans(s, d, letters=True)
+    gone = spans.near_identical(rows).select("case_id", "label", "b", "e", F.lit("rhetorical").alias("kind"), F.lit(True).alias("gone"))
+    marked = rows.withColumn("tiny", spans.is_tiny()).join(gone, ["case_id", "label", "b", "e", "kind"], "left").withColumn("near", ~F.col("tiny") & F.coalesce("gone", F.lit(False)))
+    return marked.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(~F.col("tiny") & ~F.col("near")).alias("rows_after"), F.count_if("tiny").alias("r1"), F.count_if("near").alias("r2"))
+
+
+@query
+def regions(s, d):
+    return _regions(s, d).select("case_id", "region_idx", *BOUNDS, names(F.col("mask"), True).alias("labels"), F.bit_count("mask").cast("long").alias("n_labels"))
+
+
+@query
+def nesting_pairs(s, d):
+    return spans.nesting(_regions(s, d)).select("case_id", "i", "j")
+
+
+@query
+def crossing_pairs(s, d):
+    return spans.crossing(_regions(s, d))
+
+
+@query
+def same_role_nesting(s, d):
+    return spans.nesting(_regions(s, d)).filter("same_role").select("case_id", "i", "j")
+
+
+@query
+def nesting_role(s, d):
+    return _roled(s, d).select("case_id", "region_idx", "is_nested", "nesting_role")
+
+
+@query
+def role_coverage(s, d):
+    return projection.coverage(projection.hits(_sentences(s, d), _regions(s, d))).select("case_id", "sent_idx", role_name(F.col("role")).alias("role"), "cov")
+
+
+@query
+def projection_rows(s, d):
+    return _projected(s, d).select("case_id", "sent_idx", "status", role_name(F.col("label")).alias("label"), names(F.col("present")).alias("roles"), names(F.col("tied")).alias("max_roles"), "ambiguity_kind")
+
+
+QUERIES["projection"] = QUERIES.pop("projection_rows")
+
+
+@query
+def projection_stats(s, d):
+    return projection.stats(_projected(s, d))
+
+
+@query
+def s1_rows(s, d):
+    rows = _roled(s, d).join(_docs(s, d), "case_id")
+    text = T.slice_(F.col("text"), F.col("b"), F.col("e"))
+    return rows.select(F.concat("case_id", F.lit(":"), "b", F.lit("-"), "e").alias("id"), _split(), F.sha2(text, 256).alias("text_sha"), names(F.col("mask"), True).alias("labels"), (F.bit_count("mask") > 1).alias("is_multi"), "nesting_role")
+
+
+@query
+def s2_rows(s, d):
+    rows = _projected(s, d).join(_docs(s, d), "case_id")
+    text = T.slice_(F.col("text"), F.col("b"), F.col("e"))
+    return rows.select(F.format_string("%d:s%04d", "case_id", "sent_idx").alias("id"), _split(), F.sha2(text, 256).alias("text_sha"), "status", role_name(F.col("label")).alias("label"), "ambiguity_kind")
+
+
+@query
+def s1_summary(s, d):
+    multi = F.count_if(F.bit_count("mask") > 1)
+    return _roled(s, d).groupBy(_split()).agg(F.countDistinct("case_id").alias("n_docs"), N, multi.alias("n_multi"), F.round(100.0 * multi / F.count(F.lit(1)), 2).alias("pct_multi"), F.count_if("is_nested").alias("n_nested"))
+
+
+@query
+def s2_summary(s, d):
+    by = lambda status: F.count_if(F.col("status") == status).alias(status.lower())
+    return _projected(s, d).groupBy(_split()).agg(F.countDistinct("case_id").alias("n_docs"), N, by("LABELED"), by("AMBIGUOUS"), by("UNLABELED"))
+
+
+@query
+def validate(s, d):
+    docs = _docs(s, d)
+    rows = tables.spans(s, d, letters=True).select("case_id", "b", "e", "label", "kind", "letter")
+    # Only a slice without any letter can be blank, so the text is met for those alone.
+    bare = rows.filter(~F.col("letter")).select("case_id", "b", "e").distinct().join(docs, "case_id").select("case_id", "b", "e", (~T.slice_(F.col("text"), F.col("b"), F.col("e")).rlike(r"[^\s\x{0b}\x{85}\x{a0}\x{2028}\x{2029}]")).alias("blank"))
+    marked = rows.join(bare, ["case_id", "b", "e"], "left").withColumn("blank", F.coalesce("blank", F.lit(False)))
+    return validation.errors(marked, docs.select("case_id", "n_chars", F.char_length("text").cast("long").alias("text_len")))
+
+
+@query
+def provenance(s, d):
+    return validation.provenance(tables.spans(s, d))
+
+
+@query
+def audit_sizes(s, d):
+    found = _regions(s, d)
+    one = [tables.cases(s, d).agg(F.count(F.lit(1)).alias("n_docs")), tables.spans(s, d).agg(F.count(F.lit(1)).alias("n_rows")), found.agg(F.count(F.lit(1)).alias("n_regions"), F.count_if(F.bit_count("mask") > 1).alias("n_multi")), spans.crossing(found).agg(F.countDistinct("case_id").alias("docs_crossing"))]
+    out = one[0]
+    for x in one[1:]:
+        out = out.join(x, F.lit(True))  # one row each
+    return out
+
+
+@query
+def audit_roles(s, d):
+    return _norm(s, d).filter("kind = 'rhetorical'").groupBy(F.col("label").alias("label_idx")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("case_id", "b", "e").alias("n_regions"), F.countDistinct("case_id").alias("n_docs"))
+
+
+@query
+def audit_multi(s, d):
+    k = F.bit_count("mask")
+    return _regions(s, d).groupBy(F.when(k > 3, ">3").otherwise(k.cast("string")).alias("k")).agg(N, F.countDistinct("case_id").alias("n_docs"))
+
+
+@query
+def audit_combos(s, d):
+    combos = _regions(s, d).filter(F.bit_count("mask") > 1).groupBy("mask").agg(N, F.min(F.col("case_id") * 1_000_000 + F.col("region_idx")).alias("first"))
+    return combos.orderBy(F.desc("n"), "first").limit(10).select(names(F.col("mask"), True).alias("labels"), "n")
+
+
+@query
+def audit_nesting(s, d):
+    return spans.nesting(_regions(s, d)).agg(F.count(F.lit(1)).alias("relations"), F.count_if("same_role").alias("same_role"), F.countDistinct("case_id").alias("n_docs"))
+
+
+@query
+def audit_length(s, d):
+    n = F.col("e") - F.col("b")
+    return _regions(s, d).agg(F.percentile(n, 0.5).alias("median"), F.round(F.percentile(n, 0.95), 6).alias("p95"), F.max(n).alias("longest"), F.count_if(n > 150).alias("over"))
+
+
+def _volumes(s, d):
+    return _regions(s, d).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_regions"))
+
+
+@query
+def indicators(s, d):
+    r = splitting.volume_bounds(_volumes(s, d)).head()
+    return splitting.indicators(_regions(s, d), r.b1, r.b2)
+
+
+@query
+def volume_bounds(s, d):
+    return splitting.volume_bounds(_volumes(s, d))
+
+
+@query
+def volume_bins(s, d):
+    r, n = splitting.volume_bounds(_volumes(s, d)).head(), F.col("n_regions")
+    return _volumes(s, d).groupBy(F.when(n < r.b1, "LOW").when(n < r.b2, "MED").otherwise("HIGH").alias("bin")).agg(N)
+
+
+@query
+def split_volume(s, d):
+    hist = _volumes(s, d).groupBy(_split(), "n_regions").agg(F.count(F.lit(1)).alias("c"))
+    got = hist.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("n_regions", "c"))).alias("h"), F.sum("c").alias("n"), F.min("n_regions").alias("least"), F.max("n_regions").alias("most"))
+    step = lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.when(acc["v"].isNull() & (acc["seen"] + x["c"] > F.floor(F.col("n") / 2)), x["n_regions"]).otherwise(acc["v"]).alias("v"))
+    return got.select("split", "least", F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("v")), step)["v"].alias("upper_median"), "most")
+
+
+@query
+def split_symdiff(s, d):
+    ids = tables.cases(s, d).select("case_id")
+    return validation.symmetric_difference(ids.filter("case_id % 7 = 0"), ids.filter("case_id % 5 = 0"))
+
+
+@query
+def split_straddle(s, d):
+    own = _docs(s, d).select("case_id", F.sha2("text", 256).alias("sha"), _split())
+    roots = own.groupBy("sha").agg(F.min("case_id").alias("root"))
+    return validation.straddling(own.join(roots, "sha"))
+
+
+@query
+def partition_check(s, d):
+    ids = tables.cases(s, d).select("case_id")
+    return validation.not_once(ids.filter("case_id % 11 <> 0").unionByName(ids.filter("case_id % 13 = 0")), ids)
+
+
+@query
+def shingles(s, d):
+    docs = _docs(s, d)
+    least = docs.groupBy(F.sha2("text", 256)).agg(F.min("case_id").alias("case_id")).select("case_id")
+    return docs.join(least, "case_id", "left_semi").select("case_id", F.size(T.shingles(F.col("text"), duplicates.N)).cast("long").alias("n"))
+
+
+@query
+def dup_pairs(s, d):
+    return duplicates.linked(duplicates.pairs(_docs(s, d))).select("a", "b", F.round("jac", 4).alias("jac"), F.round("cont", 4).alias("cont"))
+
+
+@query
+def dup_topk_unlinked(s, d):
+    found = duplicates.pairs(_docs(s, d)).filter((F.col("jac") < duplicates.JACCARD) & (F.col("cont") < duplicates.CONTAINMENT))
+    return duplicates.top(found).select("a", "b", F.round("jac", 6).alias("jac"))
+
+
+@query
+def dup_groups(s, d):
+    docs = _docs(s, d)
+    near = duplicates.linked(duplicates.pairs(docs)).select("a", "b")
+    own = docs.select("case_id", F.sha2("text", 256).alias("sha"))
+    least = own.groupBy("sha").agg(F.min("case_id").alias("a"))
+    copies = own.join(least, "sha").filter("case_id <> a").select("a", F.col("case_id").alias("b"))
+    return duplicates.components(docs, near.unionByName(copies), shared_folder(s))
+
+
+@query
+def benchmark_containment(s, d):
+    return duplicates.containment(tables.table(s, d, "benchmark", "item_id", "text"), _docs(s, d))
+
+
+@query
+def decode_threshold(s, d):
+    return _s1(s, d).select("case_id", "region_idx", names(F.col("pred")).alias("pred"))
+
+
+@query
+def decode_argmax(s, d):
+    return _s2(s, d).select("case_id", "sent_idx", role_name(metrics.argmax(F.col("p"))).alias("pred"))
+
+
+@query
+def soft_targets(s, d):
+    k = F.bit_count("mask")
+    return _regions(s, d).select("case_id", "region_idx", F.round(1.0 / k, 6).alias("weight"), k.cast("long").alias("n"))
+
+
+@query
+def soft_ce(s, d):
+    p = F.transform("p", lambda x: x / 1000.0)
+    total = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + F.exp(x))
+    hit = F.aggregate(F.transform(p, lambda x, r: F.when(bit(r).bitwiseAND(F.col("mask")) != 0, x).otherwise(0.0)), F.lit(0.0), lambda acc, x: acc + x)
+    return _s1(s, d).select("case_id", "region_idx", F.round(F.log(total) - hit / F.bit_count("mask"), 6).alias("loss"))
+
+
+@query
+def multilabel_summary(s, d):
+    both = _s1(s, d, 0).withColumn("system", F.lit(0)).unionByName(_s1(s, d, 1).withColumn("system", F.lit(1)))
+    return metrics.summary(both.withColumn("split", _split()), ["system", "split"])
+
+
+@query
+def per_role_f1(s, d):
+    return metrics.per_role(_s1(s, d), [])
+
+
+@query
+def micro_f1(s, d):
+    return metrics.summary(_s1(s, d), []).select("micro_f1")
+
+
+@query
+def slices(s, d):
+    return metrics.summary(metrics.slices(_s1(s, d)), ["slice"])
+
+
+@query
+def cardinality(s, d):
+    each = _s1(s, d).withColumn("multi", F.bit_count("gold") > 1)
+    got = each.rollup("multi").agg(F.round(F.avg(F.bit_count("gold")), 6).alias("gold"), F.round(F.avg(F.bit_count("pred")), 6).alias("pred"), F.grouping("multi").alias("g"))
+    return got.select(F.when(F.col("g") == 1, "all").when(F.col("multi"), "multi").otherwise("single").alias("part"), "gold", "pred")
+
+
+@query
+def single_label_eval(s, d):
+    return metrics.summary(_s2(s, d).withColumn("split", _split()), ["split"])
+
+
+@query
+def majority_baseline(s, d):
+    train = _s2(s, d).filter(_split() == "train")
+    counted = train.groupBy("label").agg(N, F.min(F.col("case_id") * 1_000_000 + F.col("sent_idx")).alias("first"))
+    return counted.orderBy(F.desc("n"), "first").limit(1).select(role_name(F.col("label")).alias("label"), "n")
+
+
+@query
+def threshold_sweep(s, d):
+    return metrics.sweep(_s1(s, d))
+
+
+@query
+def best_config(s, d):
+    return metrics.best(metrics.sweep(_s1(s, d))).select("threshold", "set_f1")
+
+
+@query
+def seed_mean_sd(s, d):
+    runs = [metrics.per_example(_s1(s, d, k)).agg(F.avg("set_f1").alias("f")) for k in (0, 1)]
+    return runs[0].unionByName(runs[1]).agg(F.round(F.avg("f"), 6).alias("mean"), F.round(F.stddev_pop("f"), 6).alias("sd_pop"), F.count(F.lit(1)).alias("seeds"))
+
+
+def _sums(df: DataFrame, total: Column) -> DataFrame:
+    return df.groupBy("case_id").agg(N, F.sum(total).alias("total"))
+
+
+def _ci(sums: DataFrame, statistic) -> DataFrame:
+    return bootstrap.interval(sums, bootstrap.hash_weights(sums, REPS), statistic, [])
+
+
+def _paired(s, d, multi: bool = False) -> DataFrame:
+    a, b = (metrics.per_example(_s1(s, d, k)).filter(F.bit_count("gold") > 1 if multi else F.lit(True)).select("case_id", "region_idx", F.col("set_f1").alias(f"f{k}")) for k in (0, 1))
+    return a.join(b, ["case_id", "region_idx"]).groupBy("case_id").agg(N, F.sum("f0").alias("total_a"), F.sum("f1").alias("total_b"))
+
+
+@query
+def bootstrap_ci(s, d):
+    return _ci(_sums(metrics.per_example(_s2(s, d)), F.col("exact")), bootstrap.mean)
+
+
+@query
+def paired_ci(s, d):
+    return _ci(_paired(s, d), bootstrap.paired_mean)
+
+
+@query
+def subset_ci(s, d):
+    return _ci(_sums(metrics.per_example(_s1(s, d)).filter(F.bit_count("gold") > 1), F.col("set_f1")), bootstrap.mean)
+
+
+@query
+def macro_ci(s, d):
+    sums = _s1(s, d).groupBy("case_id").agg(*metrics.role_counts([]))
+    return _ci(sums, metrics.macro_f1)
+
+
+@query
+def contrast_table(s, d):
+    a, b = (metrics.per_example(_s2(s, d, k)).select("case_id", "sent_idx", F.col("exact").alias(f"x{k}")) for k in (0, 1))
+    s2 = a.join(b, ["case_id", "sent_idx"]).groupBy("case_id").agg(N, F.sum("x0").alias("total_a"), F.sum("x1").alias("total_b"))
+    parts = [("s1 set_f1", _paired(s, d)), ("s1 set_f1 multi", _paired(s, d, True)), ("s2 accuracy", s2)]
+    made = [_ci(sums, bootstrap.paired_mean).select(F.lit(name).alias("contrast"), "*") for name, sums in parts]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query
+def crf_runs(s, d):
+    return sequences.run_bounds(_s2(s, d), "case_id", "sent_idx")
+
+
+@query
+def crf_run_stats(s, d):
+    return sequences.run_stats(sequences.run_bounds(_s2(s, d), "case_id", "sent_idx"))
+
+
+@query
+def run_flags(s, d):
+    return sequences.flags(_s2(s, d).select("case_id", "sent_idx"), "case_id", "sent_idx").select("case_id", "sent_idx", "place", "is_first", "is_last")
+
+
+@query
+def pos_decile(s, d):
+    own = _sentences(s, d)
+    size = own.groupBy("case_id").agg(F.count(F.lit(1)).alias("grid_n"))
+    return own.join(size, "case_id").select("case_id", "sent_idx", sequences.decile(F.col("sent_idx"), F.col("grid_n")).cast("long").alias("decile"))
+
+
+@query
+def turn_runs(s, d):
+    return sequences.run_bounds(tables.table(s, d, "conversations", "conv_id", "turn"), "conv_id", "turn")
+
+
+@query
+def token_windows(s, d):
+    n = F.size(T.words(F.col("text"))).cast("long")
+    return _docs(s, d).select("case_id", F.inline(sequences.windows(n)))
+
+
+@query
+def head_tail_truncate(s, d):
+    w = T.words(F.col("text"))
+    return _docs(s, d).select("case_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(features.head_tail(w), " ").cast("binary")).alias("digest"))
+
+
+@query
+def greedy_batches(s, d):
+    rows = _regions(s, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("region_idx", (F.floor((F.col("e") - F.col("b")) / 40) + 1).alias("weight")))).alias("items"))
+    return rows.select("case_id", F.posexplode(sequences.greedy_batches(F.col("items"), 12, 4)).alias("i", "batch")).select("case_id", F.col("i").cast("long").alias("region_idx"), "batch")
+
+
+def _sentence_text(s, d) -> DataFrame:
+    own = _sentences(s, d)
+    size = own.groupBy("case_id").agg(F.count(F.lit(1)).alias("grid_n"))
+    return own.join(size, "case_id").join(_docs(s, d), "case_id").select("case_id", "sent_idx", "grid_n", T.slice_(F.col("text"), F.col("b"), F.col("e")).alias("text"))
+
+
+@query
+def lexical_features(s, d):
+    made = _sentence_text(s, d).select("case_id", "sent_idx", features.lexical(F.col("text"), F.col("sent_idx"), F.col("grid_n")).alias("f"))
+    value = lambda name: F.get(F.filter("f", lambda x: x["f"] == name), F.lit(0))["v"]
+    flag = lambda name: (value(name) == "1").alias(name)
+    return made.select("case_id", "sent_idx", value("n_tok").alias("n_tok"), flag("has_digit"), flag("has_colon"), flag("has_paren"), *(value(n).alias(n) for n in ("decile", "first", "last", "pre3")), F.size("f").cast("long").alias("n_features"))
+
+
+@query
+def char_wb_tfidf(s, d):
+    return features.tfidf(_docs(s, d)).groupBy("gram").agg(N, F.round(F.sum("weight"), 5).alias("weight"))
+
+
+@query
+def window_mean_pool(s, d):
+    return tables.table(s, d, "embeddings", "label", "embedding").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+
+
+@query
+def llm_parse(s, d):
+    c = F.col("case_id")
+    answer = F.when(c % 3 == 0, F.concat(F.lit("Roles: ["), role_name((c + 2) % 9), F.lit(", "), role_name(c % 9), F.lit("] not ISSUE"))).otherwise(F.concat(role_name(c % 9), F.lit(" or "), role_name((c * 5) % 9)))
+    codes = features.parse_codes(answer)
+    return tables.cases(s, d).select("case_id", F.array_join(F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.array_contains(codes, r)), "+").alias("codes"), F.coalesce(F.get(codes, F.lit(0)), F.lit("")).alias("first"))
+
+
+@query
+def context_window(s, d):
+    rows = _regions(s, d).join(_docs(s, d), "case_id")
+    pre, post = features.context(F.col("text"), F.col("b"), F.col("e"))
+    return rows.select("case_id", "region_idx", pre.alias("pre"), post.alias("post"))
+
+
+@query
+def html_escape(s, d):
+    return _docs(s, d).select("case_id", F.md5(T.html_escape(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query
+def audit_candidates(s, d):
+    roled = _roled(s, d)
+    pairs = spans.nesting(_regions(s, d))
+    mask = roled.select("case_id", "region_idx", "mask")
+    outer, inner = (mask.select("case_id", F.col("region_idx").alias(k), F.col("mask").alias(f"m_{k}")) for k in ("i", "j"))
+    parts = [
+        roled.filter((F.bit_count("mask") == 1) & ~F.col("is_nested")).select(F.lit(1).alias("stratum")),
+        roled.filter(F.bit_count("mask") > 1).select(F.lit(2).alias("stratum")),
+        pairs.join(outer, ["case_id", "i"]).join(inner, ["case_id", "j"]).filter("m_i <> m_j").select(F.lit(3).alias("stratum")),
+        _projected(s, d).filter("status = 'AMBIGUOUS'").select(F.lit(4).alias("stratum")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("stratum").agg(N)
+
+
+def _paired_grid(s, d) -> DataFrame:
+    """An alternative grid: two sentences in one."""
+    return _sentences(s, d).groupBy("case_id", F.floor(F.col("sent_idx") / 2).alias("sent_idx")).agg(F.min("b").alias("b"), F.max("e").alias("e"))
+
+
+@query
+def grid_robustness(s, d):
+    both = _sentences(s, d).select(F.lit("v1").alias("grid"), "case_id", "b", "e").unionByName(_paired_grid(s, d).select(F.lit("paired").alias("grid"), "case_id", "b", "e")).withColumn("split", _split())
+    got = both.groupingSets([["grid", "split"], ["grid"]], "grid", "split").agg(N, F.countDistinct("case_id").alias("n_docs"), F.percentile(F.col("e") - F.col("b"), 0.5).alias("median_length"))
+    return got.select("grid", F.coalesce("split", F.lit("all")).alias("split"), "n", "n_docs", "median_length")
+
+
+@query
+def grid_moved(s, d):
+    mean = lambda df, name: df.groupBy("case_id").agg(F.avg(F.col("e") - F.col("b")).alias(name))
+    both = mean(_sentences(s, d), "a").join(mean(_paired_grid(s, d), "c"), "case_id")
+    return both.filter(F.abs(F.col("a") - F.col("c")) > 5).select("case_id", F.round(F.col("a") - F.col("c"), 4).alias("delta"))
+
+
+@query
+def incremental_cache(s, d):
+    keys = _docs(s, d).select("case_id", F.sha2("text", 256).alias("key"))
+    done = keys.filter("case_id % 3 = 0").select("key")
+    return keys.join(done.distinct(), "key", "left_anti").groupBy("key").agg(N)
+
+
+@query
+def incremental_missing(s, d):
+    keys = _docs(s, d).select("case_id", F.sha2("text", 256).alias("key"))
+    return incremental.missing(keys.select("key"), keys.filter("case_id % 3 = 0").select("key"), "key")
+
+
+@query
+def stratified_split(s, d):
+    """Exact groups of texts are split as wholes; the driver holds a row of flags for each annotated document."""
+    r = splitting.volume_bounds(_volumes(s, d)).head()
+    flags = {x.case_id: {k: x[k] for k in x.asDict() if k != "case_id"} for x in splitting.indicators(_regions(s, d), r.b1, r.b2).collect()}
+    own = _docs(s, d).groupBy(F.sha2("text", 256)).agg(F.collect_set("case_id").alias("ids")).collect()
+    groups = [sorted(i for i in x.ids if i in flags) for x in own]
+    n = len(flags)
+    sizes = {"train": n - n // 10 - n // 5, "val": n // 10, "test": n // 5}
+    made = splitting.stratified_group_split(flags, sorted(g for g in groups if g), sizes, 13)
+    return s.createDataFrame(sorted(made.items()), "case_id long, split string")
+
+
+@query
+def capped_sample(s, d):
+    """Twenty rows of single-role regions: candidates in the order of a hash, few of each document and role, so that a bounded number is enough."""
+    rows = _roled(s, d).filter((F.bit_count("mask") == 1) & ~F.col("is_nested")).select("case_id", "region_idx", "mask")
+    held = [r.asDict() for r in rows.orderBy(F.xxhash64("case_id", "region_idx"), "case_id", "region_idx").limit(2000).collect()]
+    chosen = splitting.capped_sample(held, 20, lambda r: r["mask"], 4, 13)
+    return s.createDataFrame([(r["case_id"], r["region_idx"], r["mask"]) for r in chosen], "case_id long, region_idx long, mask long")
+
+
+def _texts(s, d) -> DataFrame:
+    rows = _projected(s, d).filter("status = 'LABELED'").join(_docs(s, d), "case_id")
+    return rows.select("case_id", "sent_idx", F.col("label").cast("double").alias("label"), bit(F.col("label")).alias("mask"), T.slice_(F.col("text"), F.col("b"), F.col("e")).alias("text"))
+
+
+@query
+def ml_multinomial_lr(s, d):
+    rows = models.featurise(_texts(s, d))
+    train, test = rows.filter(_split() == "train"), rows.filter(_split() == "test")
+    return models.multinomial(train, test, "label").select("case_id", "sent_idx", F.col("prediction").cast("int").alias("pred"))
+
+
+@query
+def ml_ovr_lr(s, d):
+    rows = models.featurise(_texts(s, d), buckets=1 << 10)
+    train, test = rows.filter(_split() == "train"), rows.filter(_split() == "test")
+    return models.one_versus_rest(train, test, iterations=5).select("case_id", "sent_idx", *(F.round(f"p{r}", 6).alias(f"p{r}") for r in range(N_ROLES)))
+
+
+@query
+def ml_crf(s, d):
+    """A CRF fitted on at most 300 runs of train and applied to all runs of test."""
+    import numpy as np
+
+    n = 1 << 10
+    hashed = F.transform(F.array_distinct(T.words(F.lower("text"))), lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))
+    rows = sequences.runs(_texts(s, d), "case_id", "sent_idx").select("case_id", "run", "sent_idx", F.col("label").cast("int").alias("label"), hashed.alias("features"))
+    train = rows.filter(_split() == "train")
+    chosen = train.select("case_id", "run").distinct().orderBy(F.xxhash64("case_id", "run"), "case_id", "run").limit(300)
+    held: dict = {}
+    for r in train.join(F.broadcast(chosen), ["case_id", "run"]).collect():
+        held.setdefault((r.case_id, r.run), []).append((r.sent_idx, r.label, r.features))
+    seqs = [([np.array(f, dtype=np.int64) for _, _, f in sorted(v, key=lambda x: x[0])], [lab for _, lab, _ in sorted(v, key=lambda x: x[0])]) for _, v in sorted(held.items())]
+    model = models.Crf(N_ROLES, n).fit(seqs, epochs=2)
+    return models.crf_predict(rows.filter(_split() == "test").select("case_id", "run", "sent_idx", "features"), model)
