@@ -66,6 +66,6 @@ def head_tail(tokens: Column, limit: int = 1500, head: int = 1200, tail: int = 3
 def context(text: Column, b: Column, e: Column, reach: int = 300) -> tuple[Column, Column]:
     """What stands before and after a span, as far as reach and on to the next white space."""
     first, last = F.greatest(F.lit(0).cast("long"), b - reach), F.least(F.char_length(text).cast("long"), e + reach)
-    left = F.regexp_extract(T.slice_(text, F.lit(0), first), r"(?s)(\S*)$", 1)
+    left = F.regexp_extract(T.slice_(text, F.lit(0), first), r"(?s)(\S*)\z", 1)
     right = F.regexp_extract(F.substring(text, (last + 1).cast("int"), F.lit(1 << 30)), r"(?s)^(\S*)", 1)
     return F.concat(left, T.slice_(text, first, b)), F.concat(T.slice_(text, e, last), right)

@@ -17,7 +17,6 @@ from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 REPS = 100
-N = F.count(F.lit(1)).alias("n")
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -73,12 +72,17 @@ def _split() -> Column:
     return tables.split_of(F.col("case_id")).alias("split")
 
 
-BOUNDS = [F.col("b").alias("span_begin"), F.col("e").alias("span_end")]
+def _n() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+
+def _bounds() -> list[Column]:
+    return [F.col("b").alias("span_begin"), F.col("e").alias("span_end")]
 
 
 @query
 def grid_sentences(s, d):
-    return _sentences(s, d).select("case_id", "sent_idx", *BOUNDS)
+    return _sentences(s, d).select("case_id", "sent_idx", *_bounds())
 
 
 @query
@@ -98,22 +102,22 @@ def doc_sha_dups(s, d):
 
 @query
 def span_kind_filter(s, d):
-    return tables.spans(s, d).filter("kind = 'rhetorical'").groupBy(F.col("label").alias("label_idx")).agg(N)
+    return tables.spans(s, d).filter("kind = 'rhetorical'").groupBy(F.col("label").alias("label_idx")).agg(_n())
 
 
 @query
 def norm_r1(s, d):
-    return tables.spans(s, d, letters=True).filter(~spans.is_tiny()).groupBy("case_id", *BOUNDS, "label", "kind").agg(N)
+    return tables.spans(s, d, letters=True).filter(~spans.is_tiny()).groupBy("case_id", *_bounds(), "label", "kind").agg(_n())
 
 
 @query
 def norm_r2(s, d):
-    return _norm(s, d).groupBy("case_id", *BOUNDS, "label", "kind").agg(N)
+    return _norm(s, d).groupBy("case_id", *_bounds(), "label", "kind").agg(_n())
 
 
 @query
 def norm_log(s, d):
-    return spans.near_identical(tables.spans(s, d, letters=True)).select("case_id", "label", *BOUNDS, "kept_b", "kept_e")
+    return spans.near_identical(tables.spans(s, d, letters=True)).select("case_id", "label", *_bounds(), "kept_b", "kept_e")
 
 
 @query
@@ -126,7 +130,7 @@ def norm_summary(s, d):
 
 @query
 def regions(s, d):
-    return _regions(s, d).select("case_id", "region_idx", *BOUNDS, names(F.col("mask"), True).alias("labels"), F.bit_count("mask").cast("long").alias("n_labels"))
+    return _regions(s, d).select("case_id", "region_idx", *_bounds(), names(F.col("mask"), True).alias("labels"), F.bit_count("mask").cast("long").alias("n_labels"))
 
 
 @query
@@ -184,13 +188,13 @@ def s2_rows(s, d):
 @query
 def s1_summary(s, d):
     multi = F.count_if(F.bit_count("mask") > 1)
-    return _roled(s, d).groupBy(_split()).agg(F.countDistinct("case_id").alias("n_docs"), N, multi.alias("n_multi"), F.round(100.0 * multi / F.count(F.lit(1)), 2).alias("pct_multi"), F.count_if("is_nested").alias("n_nested"))
+    return _roled(s, d).groupBy(_split()).agg(F.countDistinct("case_id").alias("n_docs"), _n(), multi.alias("n_multi"), F.round(100.0 * multi / F.count(F.lit(1)), 2).alias("pct_multi"), F.count_if("is_nested").alias("n_nested"))
 
 
 @query
 def s2_summary(s, d):
     by = lambda status: F.count_if(F.col("status") == status).alias(status.lower())
-    return _projected(s, d).groupBy(_split()).agg(F.countDistinct("case_id").alias("n_docs"), N, by("LABELED"), by("AMBIGUOUS"), by("UNLABELED"))
+    return _projected(s, d).groupBy(_split()).agg(F.countDistinct("case_id").alias("n_docs"), _n(), by("LABELED"), by("AMBIGUOUS"), by("UNLABELED"))
 
 
 @query
@@ -226,12 +230,12 @@ def audit_roles(s, d):
 @query
 def audit_multi(s, d):
     k = F.bit_count("mask")
-    return _regions(s, d).groupBy(F.when(k > 3, ">3").otherwise(k.cast("string")).alias("k")).agg(N, F.countDistinct("case_id").alias("n_docs"))
+    return _regions(s, d).groupBy(F.when(k > 3, ">3").otherwise(k.cast("string")).alias("k")).agg(_n(), F.countDistinct("case_id").alias("n_docs"))
 
 
 @query
 def audit_combos(s, d):
-    combos = _regions(s, d).filter(F.bit_count("mask") > 1).groupBy("mask").agg(N, F.min(F.col("case_id") * 1_000_000 + F.col("region_idx")).alias("first"))
+    combos = _regions(s, d).filter(F.bit_count("mask") > 1).groupBy("mask").agg(_n(), F.min(F.col("case_id") * 1_000_000 + F.col("region_idx")).alias("first"))
     return combos.orderBy(F.desc("n"), "first").limit(10).select(names(F.col("mask"), True).alias("labels"), "n")
 
 
@@ -264,7 +268,7 @@ def volume_bounds(s, d):
 @query
 def volume_bins(s, d):
     r, n = splitting.volume_bounds(_volumes(s, d)).head(), F.col("n_regions")
-    return _volumes(s, d).groupBy(F.when(n < r.b1, "LOW").when(n < r.b2, "MED").otherwise("HIGH").alias("bin")).agg(N)
+    return _volumes(s, d).groupBy(F.when(n < r.b1, "LOW").when(n < r.b2, "MED").otherwise("HIGH").alias("bin")).agg(_n())
 
 
 @query
@@ -387,7 +391,7 @@ def single_label_eval(s, d):
 @query
 def majority_baseline(s, d):
     train = _s2(s, d).filter(_split() == "train")
-    counted = train.groupBy("label").agg(N, F.min(F.col("case_id") * 1_000_000 + F.col("sent_idx")).alias("first"))
+    counted = train.groupBy("label").agg(_n(), F.min(F.col("case_id") * 1_000_000 + F.col("sent_idx")).alias("first"))
     return counted.orderBy(F.desc("n"), "first").limit(1).select(role_name(F.col("label")).alias("label"), "n")
 
 
@@ -408,7 +412,7 @@ def seed_mean_sd(s, d):
 
 
 def _sums(df: DataFrame, total: Column) -> DataFrame:
-    return df.groupBy("case_id").agg(N, F.sum(total).alias("total"))
+    return df.groupBy("case_id").agg(_n(), F.sum(total).alias("total"))
 
 
 def _ci(sums: DataFrame, statistic) -> DataFrame:
@@ -417,7 +421,7 @@ def _ci(sums: DataFrame, statistic) -> DataFrame:
 
 def _paired(s, d, multi: bool = False) -> DataFrame:
     a, b = (metrics.per_example(_s1(s, d, k)).filter(F.bit_count("gold") > 1 if multi else F.lit(True)).select("case_id", "region_idx", F.col("set_f1").alias(f"f{k}")) for k in (0, 1))
-    return a.join(b, ["case_id", "region_idx"]).groupBy("case_id").agg(N, F.sum("f0").alias("total_a"), F.sum("f1").alias("total_b"))
+    return a.join(b, ["case_id", "region_idx"]).groupBy("case_id").agg(_n(), F.sum("f0").alias("total_a"), F.sum("f1").alias("total_b"))
 
 
 @query
@@ -444,7 +448,7 @@ def macro_ci(s, d):
 @query
 def contrast_table(s, d):
     a, b = (metrics.per_example(_s2(s, d, k)).select("case_id", "sent_idx", F.col("exact").alias(f"x{k}")) for k in (0, 1))
-    s2 = a.join(b, ["case_id", "sent_idx"]).groupBy("case_id").agg(N, F.sum("x0").alias("total_a"), F.sum("x1").alias("total_b"))
+    s2 = a.join(b, ["case_id", "sent_idx"]).groupBy("case_id").agg(_n(), F.sum("x0").alias("total_a"), F.sum("x1").alias("total_b"))
     parts = [("s1 set_f1", _paired(s, d)), ("s1 set_f1 multi", _paired(s, d, True)), ("s2 accuracy", s2)]
     made = [_ci(sums, bootstrap.paired_mean).select(F.lit(name).alias("contrast"), "*") for name, sums in parts]
     return made[0].unionByName(made[1]).unionByName(made[2])
@@ -511,7 +515,7 @@ def lexical_features(s, d):
 
 @query
 def char_wb_tfidf(s, d):
-    return features.tfidf(_docs(s, d)).groupBy("gram").agg(N, F.round(F.sum("weight"), 5).alias("weight"))
+    return features.tfidf(_docs(s, d)).groupBy("gram").agg(_n(), F.round(F.sum("weight"), 5).alias("weight"))
 
 
 @query
@@ -551,7 +555,7 @@ def audit_candidates(s, d):
         pairs.join(outer, ["case_id", "i"]).join(inner, ["case_id", "j"]).filter("m_i <> m_j").select(F.lit(3).alias("stratum")),
         _projected(s, d).filter("status = 'AMBIGUOUS'").select(F.lit(4).alias("stratum")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("stratum").agg(N)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("stratum").agg(_n())
 
 
 def _paired_grid(s, d) -> DataFrame:
@@ -562,7 +566,7 @@ def _paired_grid(s, d) -> DataFrame:
 @query
 def grid_robustness(s, d):
     both = _sentences(s, d).select(F.lit("v1").alias("grid"), "case_id", "b", "e").unionByName(_paired_grid(s, d).select(F.lit("paired").alias("grid"), "case_id", "b", "e")).withColumn("split", _split())
-    got = both.groupingSets([["grid", "split"], ["grid"]], "grid", "split").agg(N, F.countDistinct("case_id").alias("n_docs"), F.percentile(F.col("e") - F.col("b"), 0.5).alias("median_length"))
+    got = both.groupingSets([["grid", "split"], ["grid"]], "grid", "split").agg(_n(), F.countDistinct("case_id").alias("n_docs"), F.percentile(F.col("e") - F.col("b"), 0.5).alias("median_length"))
     return got.select("grid", F.coalesce("split", F.lit("all")).alias("split"), "n", "n_docs", "median_length")
 
 
@@ -577,7 +581,7 @@ def grid_moved(s, d):
 def incremental_cache(s, d):
     keys = _docs(s, d).select("case_id", F.sha2("text", 256).alias("key"))
     done = keys.filter("case_id % 3 = 0").select("key")
-    return keys.join(done.distinct(), "key", "left_anti").groupBy("key").agg(N)
+    return keys.join(done.distinct(), "key", "left_anti").groupBy("key").agg(_n())
 
 
 @query
