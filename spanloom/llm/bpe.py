@@ -333,6 +333,32 @@ def _tokens(path: str) -> list[bytes]:
     return out
 
 
+def _encoded(encoder: Encoder, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row ranges of bounded bytes with their ids, offsets, and the first id of each row."""
+    raw, off = tn.utf8(text)
+    for i, j in tn.chunks(off):
+        yield i, j, *encoder.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def _decoded(ids: np.ndarray, offsets: np.ndarray, cut: np.ndarray, tokens: list[bytes], sizes: np.ndarray) -> list[bytes]:
+    """The bytes of each row of ids, each id's at its offset."""
+    base = np.concatenate(([0], np.cumsum(sizes[ids])))
+    if not np.array_equal(base[:-1] - np.repeat(base[cut[:-1]], np.diff(cut)), offsets):
+        raise ValueError("ids and offsets do not belong together")
+    whole = b"".join(map(tokens.__getitem__, ids.tolist()))
+    edges = base[cut].tolist()
+    return [whole[a:b] for a, b in itertools.pairwise(edges)]
+
+
+def _map(docs: DataFrame, run: Callable, key: str, columns: dict[str, str], made: str) -> DataFrame:
+    kind = docs.schema[key].dataType.simpleString()
+    frame = docs.select(F.col(key).alias("key"), *(F.col(c).cast(t).alias(n) for n, (c, t) in columns.items()))
+    return frame.mapInArrow(run, f"key {kind}, {made}").withColumnRenamed("key", key)
+
+
+_IDS = "ids array<int>, offsets array<int>"
+
+
 def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ids array<int> and offsets array<int> (the byte of the text at which each id begins) of every row.
 
@@ -343,14 +369,10 @@ def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, table)
         for batch in batches:
-            raw, off = tn.utf8(batch.column(1))
-            for i, j in tn.chunks(off):
-                ids, where, cut = encoder.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), tn.ragged(ids.astype(np.int32), cut, pa.int32()), tn.ragged(where.astype(np.int32), cut, pa.int32())], names=["key", "ids", "offsets"])
+            for i, j, ids, where, cut in _encoded(encoder, batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), tn.ragged(ids, cut, pa.int32()), tn.ragged(where, cut, pa.int32())], names=["key", "ids", "offsets"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, offsets array<int>")
-    return out.withColumnRenamed("key", key)
+    return _map(docs, run, key, {"text": (text, "string")}, _IDS)
 
 
 def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
@@ -360,17 +382,26 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFram
         tokens = _tokens(ranks_path)
         sizes = np.array(list(map(len, tokens)))
         for batch in batches:
-            ids, offsets = batch.column("ids"), batch.column("offsets")
-            flat, where = ids.flatten().to_numpy(zero_copy_only=False), offsets.flatten().to_numpy(zero_copy_only=False)
-            edges = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            ends = np.cumsum(sizes[flat]) if len(flat) else where
-            base = np.concatenate(([0], ends))
-            if not np.array_equal(base[:-1] - np.repeat(base[edges[:-1]], np.diff(edges)), where):
-                raise ValueError("ids and offsets do not belong together")
-            listed = flat.tolist()
-            made = [b"".join(map(tokens.__getitem__, listed[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, type=pa.binary())], names=[*batch.schema.names, "bytes"])
-
-    kind = encoded.schema[key].dataType.simpleString()
-    frame = encoded.select(F.col(key).alias("key"), "ids", "offsets").mapInArrow(run, f"key {kind}, ids array<int>, offsets array<int>, bytes binary")
-    return frame.withColumnRenamed("key", key)
+            count = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in tn.chunks(np.concatenate(([0], np.cumsum(count))), tn.CHUNK_BYTES // 4):
+                part = batch.slice(i, j - i)
+                flat, where = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "offsets"))
+                made = _decoded(flat, where, np.concatenate(([0], np.cumsum(count[i:j]))), tokens, sizes)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, type=pa.binary())], names=[*batch.schema.names, "bytes"])
+
+    return _map(encoded, run, key, {"ids": ("ids", "array<int>"), "offsets": ("offsets", "array<int>")}, f"{_IDS}, bytes binary")
+
+
+def encode_decode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`decode` of :func:`encode` in one pass: ids go on to the decoder within the task that made them."""
+    table = class_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, tokens = _encoder(ranks_path, table), _tokens(ranks_path)
+        sizes = np.array(list(map(len, tokens)))
+        for batch in batches:
+            for i, j, ids, where, cut in _encoded(encoder, batch.column("text")):
+                made = _decoded(ids, where, cut, tokens, sizes)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), tn.ragged(ids, cut, pa.int32()), tn.ragged(where, cut, pa.int32()), pa.array(made, type=pa.binary())], names=["key", "ids", "offsets", "bytes"])
+
+    return _map(docs, run, key, {"text": (text, "string")}, f"{_IDS}, bytes binary")
