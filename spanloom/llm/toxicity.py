@@ -2,8 +2,8 @@
 
 Fitting takes a bounded sample of labelled rows (at most ``PER_CLASS`` of each label, by a hash of
 the id, so every run takes the same), and weights each class by its share of all labelled rows.
-Terms are words and word beginnings of four and five bytes; those whose presence depends on the
-label (chi-squared) make the vocabulary. The examples' TF-IDF vectors fill an inverted index whose
+Terms are words and word beginnings of four and five bytes; those that toxic examples have more often
+than chance lets expect (chi-squared) make the vocabulary. The examples' TF-IDF vectors fill an inverted index whose
 postings are cut into blocks of examples, with the largest weight of each block.
 
 Scoring bounds each block of examples by its largest weights, visits blocks in falling order of
@@ -31,9 +31,9 @@ from . import common
 from . import textnum as tn
 
 #: Labelled rows of each class that a model is fitted on at most.
-PER_CLASS = 3000
+PER_CLASS = 1200
 #: Terms in at least this many examples, and at least this far from chance, make the vocabulary.
-LEAST_DF, LEAST_CHI2 = 3, 15.0
+LEAST_DF, LEAST_CHI2 = 3, 25.0
 TERMS = 1 << 14
 NEIGHBOURS = 15
 #: Examples of a block of the index.
@@ -88,6 +88,7 @@ class Model:
     example: np.ndarray
     value: np.ndarray
     top: np.ndarray  # largest weight by term and block
+    places: np.ndarray  # first posting by term and block, and the end
     prior: float = 0.0
     strength: float = 1.0
     raw: np.ndarray | None = None  # the calibration: raw scores and calibrated ones
@@ -99,24 +100,24 @@ class Model:
         q = q / np.sqrt((q * q).sum())
         bound = q @ self.top[terms]
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         k, found, sims, floor = NEIGHBOURS, [], [], 0.0
-        spans = [(int(self.start[t]), int(self.start[t + 1]), w) for t, w in zip(terms.tolist(), q.tolist(), strict=True)]
-        at = 0
-        while at < len(order) and bound[order[at]] > 0 and (len(sims) == 0 or bound[order[at]] >= floor - 1e-9):
-            blocks = np.sort(order[at : at + 8])
-            at += 8
-            acc = np.zeros((len(blocks), BLOCK))
-            for a, b, w in spans:
-                own = self.example[a:b]
-                low, high = np.searchsorted(own, blocks * BLOCK), np.searchsorted(own, (blocks + 1) * BLOCK)
-                for r, (i, j) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
-                    if i < j:
-                        acc[r, own[i:j] - blocks[r] * BLOCK] += w * self.value[a + i : a + j]
-            r, c = np.nonzero(acc > 0)
-            ids = blocks[r] * BLOCK + c
+        at, step = 0, 4
+        while at < len(order) and bound[order[at]] >= floor - 1e-9:
+            # All blocks that can still matter come next, but few at first, to raise the floor cheaply.
+            blocks = order[at : at + step]
+            at, step = at + step, 8 * step
+            blocks = blocks[bound[blocks] >= floor - 1e-9]
+            low, high = self.places[terms[:, None], blocks], self.places[terms[:, None], blocks + 1]
+            size = (high - low).ravel()
+            where = np.repeat(low.ravel() - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            column = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), size) * BLOCK + self.example[where] % BLOCK
+            acc = np.bincount(column, weights=self.value[where] * np.repeat(np.repeat(q, len(blocks)), size), minlength=len(blocks) * BLOCK)
+            hit = np.flatnonzero(acc > 0)
+            ids = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
             keep = ids != without
             found.append(ids[keep])
-            sims.append(acc[r, c][keep])
+            sims.append(acc[hit][keep])
             every = np.concatenate(sims)
             floor = np.partition(every, len(every) - k)[len(every) - k] if len(every) >= k else 0.0
         if not found:
@@ -164,13 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("label").take(at), pa.array(term.view(np.int64)), pa.array(count, pa.int64())], names=["key", "label", "term", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
-    terms = scratch.table(own.mapInArrow(run, f"key {kind}, label int, term long, n long"), "terms")
+    each = own.mapInArrow(run, f"key {kind}, label int, term long, n long")
+    terms = scratch.table(each.groupBy("key", "label", "term").agg(F.max("n").alias("n")), "terms")  # a repeated row is one example
     seen = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(seen.get(1, 0)), float(seen.get(0, 0))
     df = terms.groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
     cross = F.col("a") * n0 - F.col("b") * n1
     chi2 = (n1 + n0) * cross * cross / (F.lit(max(n1 * n0, 1.0)) * (F.col("a") + F.col("b")) * F.greatest(F.lit(n1 + n0) - F.col("a") - F.col("b"), F.lit(1.0)))
-    ranked = df.filter(F.col("a") + F.col("b") >= LEAST_DF).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
+    ranked = df.filter(F.col("a") + F.col("b") >= LEAST_DF).withColumn("chi2", chi2).filter((F.col("chi2") >= LEAST_CHI2) & (cross > 0)).orderBy(F.desc("chi2"), "term").limit(TERMS)
     vocabulary = scratch.table(ranked.select("term", (F.col("a") + F.col("b")).alias("df")), "vocabulary")
     rows = vocabulary.collect()  # TERMS rows at most
     known = np.array([r.term for r in rows], dtype=np.int64).view(np.uint64)
@@ -204,7 +206,9 @@ def _model(known: np.ndarray, counted: np.ndarray, listed: dict, n0: float, n1:
     term, example, value = flat[0].astype(np.int64), flat[1].astype(np.int64), flat[2]
     top = np.zeros((len(known), -(-n // BLOCK) or 1))
     np.maximum.at(top, (term, example // BLOCK), value)
-    model = Model(known, idf, toxic, weight, np.array(keys), np.searchsorted(term, np.arange(len(known) + 1)), example, value, top)
+    code = term * (top.shape[1] + 1) + example // BLOCK
+    places = np.searchsorted(code, np.arange(len(known) * (top.shape[1] + 1))).reshape(len(known), top.shape[1] + 1)
+    model = Model(known, idf, toxic, weight, np.array(keys), np.searchsorted(term, np.arange(len(known) + 1)), example, value, top, places)
     bare = np.array([not len(v[0]) for v in vectors], dtype=bool)
     model.prior = float((weight[bare] @ toxic[bare] + 0.01) / (weight[bare].sum() + 1)) if n else 0.0
     if n:
