@@ -413,6 +413,17 @@ def test_toxicity_neighbours_are_exact(spark):
         assert np.allclose(got, sims[best][keep]) and ids.tolist() == best[keep].tolist()
 
 
+def test_toxicity_of_a_rare_kind(spark):
+    """A kind with one in a hundred of the toxic rows still has its terms."""
+    rng = random.Random(12)
+    say = lambda: " ".join(f"w{rng.randrange(200)}" for _ in range(12))
+    rows = [(i, f"{say()} {'' if i % 2 else 'zzrare' if i % 200 == 0 else 'grumble'}", i % 2 == 0) for i in range(7000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(t)) for i, _, t in rows], "doc_id long, toxic int"))
+    new = spark.createDataFrame([(k, f"{say()} {x}") for k, x in enumerate(["zzrare", "grumble", ""])], "doc_id long, text string")
+    assert [r.score >= queries.TOXIC for r in toxicity.score(new, model).orderBy("doc_id").collect()] == [True, True, False]
+
+
 def test_language_id(spark):
     words = {"en": "the and of with that this have from they which", "fr": "le la des une avec pour dans nous vous être", "de": "der die und nicht mit ein sich auch wird über"}
     rng = random.Random(3)
