@@ -4,7 +4,8 @@ Fitting takes a bounded sample of labelled rows (at most ``PER_CLASS`` of each l
 the id, so every run takes the same), and weights each class by its share of all labelled rows.
 Terms are words and word beginnings of four and five bytes; those whose presence depends on the
 label (chi-squared) make the vocabulary. The examples' TF-IDF vectors fill an inverted index whose
-postings are cut into blocks of examples, with the largest weight of each block.
+postings are cut into blocks of examples, with the largest weight of each block. Document frequencies
+are counted over all documents; vectors and their norms are those of the vocabulary's terms.
 
 Scoring bounds each block of examples by its largest weights, visits blocks in falling order of
 the bound, and stops when no block can reach the K-th best: the K nearest are exact. Their votes
@@ -39,6 +40,8 @@ NEIGHBOURS = 15
 #: Examples of a block of the index.
 BLOCK = 32
 PREFIXES = (4, 5)
+#: Pairs of term and count that a task gathers before it sends them.
+GATHERED = 1 << 21
 
 
 def term_hashes(words: tn.Words) -> np.ndarray:
@@ -147,6 +150,36 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return total[:, 0] / total[:, 2], np.clip(total[:, 1] / total[:, 2], 0, 1)
 
 
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term and df, the number of rows that have it, over all rows; a task adds up its own first."""
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        term, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        return term, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["term", "n"])
+        for batch in batches:
+            raw, off = tn.utf8(batch.column("text"))
+            for i, j in tn.chunks(off):
+                term, n = np.unique(_doc_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i], None)[1], return_counts=True)
+                held.append((term, n))
+                size += len(term)
+                if size > GATHERED:
+                    held = [added(held)]
+                    size = len(held[0][0])
+                    if 2 * size > GATHERED:
+                        yield send()
+                        held, size = [], 0
+        if held:
+            held = [added(held)]
+            yield send()
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """A model from the labelled rows; docs and labels meet on key. The driver gets the sample's vectors, of bounded number and length."""
     scratch = common.Scratch(docs.sparkSession, "toxicity")
@@ -173,18 +206,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     cross = F.col("a") * n0 - F.col("b") * n1
     chi2 = (n1 + n0) * cross * cross / (F.lit(max(n1 * n0, 1.0)) * (F.col("a") + F.col("b")) * F.greatest(F.lit(n1 + n0) - F.col("a") - F.col("b"), F.lit(1.0)))
     ranked = df.filter(F.col("a") + F.col("b") >= LEAST_DF).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
-    vocabulary = scratch.table(ranked.select("term", (F.col("a") + F.col("b")).alias("df")), "vocabulary")
+    chosen_terms = scratch.table(ranked.select("term"), "terms-chosen")
+    vocabulary = scratch.table(frequencies(docs, text).join(F.broadcast(chosen_terms), "term"), "vocabulary")
     rows = vocabulary.collect()  # TERMS rows at most
     known = np.array([r.term for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(known)
     known, counted = known[order], np.array([r.df for r in rows], dtype=float)[order]
     listed = {r.key: (r.label, r.terms) for r in sample.join(terms.join(F.broadcast(vocabulary), "term").groupBy("key").agg(F.collect_list(F.struct("term", "n")).alias("terms")), "key", "left").collect()}  # the sample's rows
-    return _model(known, counted, listed, n0, n1, totals)
+    return _model(known, counted, docs.count(), listed, n0, n1, totals)
 
 
-def _model(known: np.ndarray, counted: np.ndarray, listed: dict, n0: float, n1: float, totals: dict[int, int]) -> Model:
+def _model(known: np.ndarray, counted: np.ndarray, size: int, listed: dict, n0: float, n1: float, totals: dict[int, int]) -> Model:
     n = len(listed)
-    idf = np.log((1 + n) / (1 + counted)) + 1
+    idf = np.log((1 + size) / (1 + counted)) + 1
     keys = sorted(listed)
     toxic = np.array([listed[k][0] for k in keys], dtype=float)
     share = {0: totals.get(0, 0) / max(n0, 1), 1: totals.get(1, 0) / max(n1, 1)}

@@ -424,6 +424,17 @@ def test_toxicity_of_a_rare_kind(spark):
     assert [r.score >= queries.TOXIC for r in toxicity.score(new, model).orderBy("doc_id").collect()] == [True, True, False]
 
 
+def test_toxicity_counts_frequencies_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "GATHERED", 200)
+    docs, labels, _ = toxic_tables(spark)
+    docs = docs.union(spark.createDataFrame([(1000 + i, f"{'grumblea ' * (i % 3)}own{i}") for i in range(300)], docs.schema))
+    model = toxicity.fit(docs, labels)
+    raw, off = tn.utf8(__import__("pyarrow").array(["grumblea"]))
+    at = int(np.flatnonzero(model.known == toxicity.term_hashes(tn.Words(raw, off, tn.ALNUM))[0, 0])[0])
+    given = [(r.text or "").split() for r in docs.collect()]
+    assert np.isclose(model.idf[at], np.log((1 + len(given)) / (1 + sum("grumblea" in w for w in given))) + 1)
+
+
 def test_language_id(spark):
     words = {"en": "the and of with that this have from they which", "fr": "le la des une avec pour dans nous vous être", "de": "der die und nicht mit ein sich auch wird über"}
     rng = random.Random(3)
