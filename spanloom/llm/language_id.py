@@ -33,7 +33,14 @@ TEMPER, MOST = 0.1, 40.0
 #: Pages of prior weight at each step from the table to the domain to the host, and of the evidence tables.
 STRENGTH, SMOOTH = 4.0, 1.0
 _MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;?")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?\s*([a-z]{2,3})""")
+_HTML = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<html\b([^>]*)")
+_LANG = re.compile(r"""(?is)\slang\s*=\s*["']?\s*([a-z]{2,3})""")
+
+
+def declared(page: str) -> str | None:
+    """The language of the page's first html tag, wherever it stands; one in a comment does not count."""
+    tag = next((m[1] for m in _HTML.finditer(page) if m[1] is not None), None)
+    return m[1].lower() if tag is not None and (m := _LANG.search(tag)) else None
 
 
 def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +120,7 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 pages = [p or "" for p in part.column("html").to_pylist()]
-                said = [m[1].lower() if (m := _DECLARED.search(p[:4096])) else None for p in pages]
+                said = [declared(p) for p in pages]
                 raw, off = tn.utf8(pa.array([_MARKUP.sub(" ", p) for p in pages], pa.string()))
                 code, doc = _trigrams(raw, off)
                 count = np.bincount(doc, minlength=len(pages))

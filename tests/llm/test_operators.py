@@ -449,6 +449,11 @@ def test_language_id(spark):
     assert {r.lang for r in none} == {None}
 
 
+def test_declared_language_is_found_behind_a_long_prefix():
+    assert language_id.declared(f"<!-- {'licence ' * 2000} <html lang=xx> -->{' ' * 9000}<!DOCTYPE html>\n<HTML class=a LANG='FR-ca'><p lang=de>") == "fr"
+    assert language_id.declared("<html><p>" + "<html lang=de>") is None and language_id.declared("<p lang=de>") is None and language_id.declared("<!-- <html lang=de>") is None
+
+
 def test_names_that_clash(spark):
     df = spark.createDataFrame([(1, "a", 2, 3)], "doc_id long, text string, _own int, _ID int")
     assert common.fresh(df, "_own", "_id", "_new") == ["_own_", "_id_", "_new"]
