@@ -3,13 +3,14 @@
 A page is parsed once, into elements with implied end tags. Elements that by their tag, role, name
 or visibility are menus, headers, footers, side bars, notices, adverts, forms, scripts or reader
 comments go. The article is the largest article element, else the main element, else an element
-named as content, else the body. Every remaining container in it has a hash of its subtree; Spark
-counts on how many pages of its host each hash stands, and containers that many of the host's
-pages share go as well. Plain paragraphs of an article are never taken for a template.
+named as content, else the body. Every element of the page, also of those that go by the lists, has a hash of its subtree; Spark
+counts beside how many different articles of its host each hash stands, and containers that
+several have go as well. Plain paragraphs of an article are never taken for a template, nor is an
+element that holds most of it.
 
 Cases: a null or empty page has no text; malformed markup is read as browsers do in the main
-(unclosed elements end with their parent, a stray "<" is text); repeated pages count as pages of
-their own. A url without a host is a host of its own, the empty one. Columns besides id, url and
+(unclosed elements end with their parent, a stray "<" is text); pages with the same article count
+once. A url without a host is a host of its own, the empty one. Columns besides id, url and
 html are left out.
 """
 
@@ -19,6 +20,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A subtree is a template if at least so many of a host's pages have it, and at least this part of them.
-LEAST_PAGES, LEAST_PART = 5, 0.2
+#: A subtree is a template if it stands beside at least so many different articles of a host.
+LEAST_PAGES = 5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -169,15 +171,44 @@ def _headings(node: Node) -> bool:
     return any(n.tag in ("h1", "h2", "h3") for n in _walk(node))
 
 
-def blocks(page: str | None) -> tuple[list[str], list[list[int]], list[int]]:
-    """The blocks of the article, for each the hashes of the containers it lies in, and all those hashes."""
+def _hashes(root: Node, top: Node, host: str) -> tuple[list[Node], list[int], int]:
+    """All elements with text and the hashes of their subtrees within a host, and the article's own."""
+    own: dict[int, bytes] = {}
+    nodes: list[Node] = []
+    for node in reversed(list(_walk(root))):
+        parts = [own[id(c)] if type(c) is not str else " ".join(c.split()).encode("utf-8", "surrogatepass") for c in node.children]
+        own[id(node)] = xxhash.xxh64_digest(b"\0".join((node.tag.encode(), *parts))) if any(parts) else b""
+        if own[id(node)]:
+            nodes.append(node)
+    seed = xxhash.xxh32_intdigest(host)
+    return nodes, [xxhash.xxh64_intdigest(own[id(n)] + host.encode(), seed) - (1 << 63) for n in nodes], xxhash.xxh64_intdigest(own[id(top)]) - (1 << 63)
+
+
+def subtrees(page: str | None, host: str) -> tuple[list[int], int]:
+    """The distinct hashes of a page's elements, and that of its article."""
     if not page:
-        return [], [], []
-    top = article(parse(page))
+        return [], 0
+    root = parse(page)
+    _, hashes, mark = _hashes(root, article(root), host)
+    return sorted(set(hashes)), mark
+
+
+def blocks(page: str | None, host: str = "", templates: np.ndarray | None = None) -> tuple[list[str]]:
+    """The blocks of the article, without the containers whose hashes are among the (sorted) templates of all hosts."""
+    if not page:
+        return ([],)
+    root = parse(page)
+    top = article(root)
     marked = top.tag not in ("body", "#root")
+    if templates is not None and len(templates):
+        nodes, hashes, _ = _hashes(root, top, host)
+        at = np.searchsorted(templates, hashes)
+        at[at == len(templates)] = 0
+        for k in np.flatnonzero(templates[at] == np.array(hashes, dtype=np.int64)).tolist():
+            node = nodes[k]
+            if node is not top and node.tag in BLOCKS - ROOTS and (not marked or node.tag not in PROSE and 2 * node.length < top.length):
+                node.drop = True
     texts: list[str] = []
-    paths: list[list[int]] = []
-    hashes: list[int] = []
     held: list[str] = []
 
     def flush() -> None:
@@ -185,16 +216,13 @@ def blocks(page: str | None) -> tuple[list[str], list[list[int]], list[int]]:
         held.clear()
         if text:
             texts.append(text)
-            paths.append([])
 
-    # Depth first, without recursion, as pages may nest deeply: (node, next child, first block).
-    stack = [(top, 0, 0)]
+    # Depth first, without recursion, as pages may nest deeply: (node, next child).
+    stack = [(top, 0)]
     while stack:
-        node, k, first = stack.pop()
-        if k == 0:
-            if node.tag in BLOCKS:
-                flush()
-            first = len(texts)
+        node, k = stack.pop()
+        if k == 0 and node.tag in BLOCKS:
+            flush()
         while k < len(node.children):
             c = node.children[k]
             k += 1
@@ -209,47 +237,51 @@ def blocks(page: str | None) -> tuple[list[str], list[list[int]], list[int]]:
                         held.extend(x for n in _walk(h) for x in n.children if type(x) is str)
                         flush()
             elif not c.drop and (marked or c.tag not in ("ul", "ol", "div", "section", "table") or c.links <= 0.6 * max(1, c.length) or c.length == 0):
-                stack.append((node, k, first))
-                stack.append((c, 0, 0))
+                stack.append((node, k))
+                stack.append((c, 0))
                 break
         else:
             if node.tag in BLOCKS:
                 flush()
-            if node is not top and node.tag in BLOCKS and (not marked or node.tag not in PROSE) and first < len(texts):
-                own = xxhash.xxh64_intdigest("\n".join((node.tag, *texts[first:])).encode()) - (1 << 63)
-                hashes.append(own)
-                for path in paths[first:]:
-                    path.append(own)
     flush()
-    return texts, paths, hashes
+    return (texts,)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url and text of every page."""
-    scratch = common.Scratch(pages.sparkSession, "html")
+    spark = pages.sparkSession
+    scratch = common.Scratch(spark, "html")
     kind = pages.schema[key].dataType.simpleString()
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+    own = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).withColumn("host", host)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                made = [subtrees(p, h) for p, h in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True)]
+                size = [len(m[0]) for m in made]
+                at = np.repeat(np.arange(len(made)), size)
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(at)), pa.array([h for m in made for h in m[0]], pa.int64()), pa.array(np.repeat(np.array([m[1] for m in made], dtype=np.int64), size))], names=["row", "hash", "article"])
+
+    found = lambda df: df.select("row", "html", "host").mapInArrow(mark, "row long, hash long, article long")
+    each = found(own.withColumn("row", F.lit(0).cast("long"))).select("hash", "article").distinct()
+    template = scratch.table(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES).select("hash"), "template")
+    few = template.count() <= common.BROADCAST_KEYS
+    if few:
+        sent = spark.sparkContext.broadcast(np.sort(template.toArrow().column("hash").to_numpy()))
+        own = own.withColumn("lost", F.lit(None).cast("array<long>"))
+    else:
+        sent = None
+        own = scratch.table(own.withColumn("row", F.monotonically_increasing_id()), "pages")
+        own = own.join(found(own).join(template, "hash").groupBy("row").agg(F.collect_list("hash").alias("lost")), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                made = [blocks(p.as_py()) for p in part.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(set(m[2])) for m in made], pa.list_(pa.int64()))],
-                    names=["key", "url", "texts", "paths", "hashes"],
-                )
+                lost = [sent.value] * part.num_rows if few else [np.sort(np.array(x or [], dtype=np.int64)) for x in part.column("lost").to_pylist()]
+                texts = ["\n".join(blocks(p, h, x)[0]) for p, h, x in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), lost, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
-    parsed = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(run, f"key {kind}, url string, texts array<string>, paths array<array<long>>, hashes array<long>")
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    held = scratch.table(parsed.withColumn("host", host).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    each = held.filter(F.size("hashes") > 0).select("host", "row", F.explode("hashes").alias("hash"))
-    counted = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    hosts = held.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    template = scratch.table(counted.join(hosts, "host").filter(F.col("n") >= LEAST_PART * F.col("pages")).select("host", "hash"), "template")
-    if not template.limit(1).count():
-        return held.select(F.col("key").alias(key), "url", F.array_join("texts", "\n").alias("text"))
-    side = F.broadcast(template) if template.count() <= 1 << 18 else template
-    lost = each.join(side, ["host", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("lost"))
-    joined = held.join(lost, "row", "left")
-    kept = F.filter("texts", lambda _, i: F.col("lost").isNull() | ~F.coalesce(F.arrays_overlap(F.get(F.col("paths"), i), F.col("lost")), F.lit(False)))
-    return joined.select(F.col("key").alias(key), "url", F.array_join(kept, "\n").alias("text"))
+    return own.select("key", "url", "html", "host", "lost").mapInArrow(run, f"key {kind}, url string, text string").withColumnRenamed("key", key)

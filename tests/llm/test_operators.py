@@ -366,6 +366,19 @@ def test_html_extract(spark):
     assert got[3] == "Text number 3 of the site." and got[20] == "Other.\nJoin our club today\nIt is free" and got[21] == got[22] == ""
 
 
+@pytest.mark.parametrize("keys", [1 << 20, 0])
+def test_html_templates_of_a_part_of_a_large_host(spark, monkeypatch, keys):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
+    page = lambda i, more: f"<body><p class=nav><b>x</b></p><article><p>Own text {i} of it.</p><p>Said often.</p>{more}</article></body>"
+    often, body = "<div><p>Join our club</p></div>", "<div><p>The same report in each copy of it.</p></div>"
+    rows = [(i, f"https://a.example/{i}", page(i, often if i < 6 else "")) for i in range(60)]
+    rows += [(100 + i, f"https://a.example/c{i}", f"<title>{i}</title><article>{body}</article>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(60)} == {f"Own text {i} of it.\nSaid often." for i in range(60)}
+    assert {got[100 + i] for i in range(8)} == {"The same report in each copy of it."}
+    assert any(h for h in html_extract.subtrees("<nav><p>Home</p></nav><article><p>x</p></article>", "a")[0] if h in html_extract.subtrees("<nav><p>Home</p></nav><p>y</p>", "a")[0])
+
+
 def toxic_tables(spark, n=400):
     rng = random.Random(9)
     filler, bad = [f"w{i}" for i in range(300)], [f"grumble{x}" for x in "abcdefghij"]
