@@ -16,7 +16,8 @@ from ..streaming import incremental
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-REPS = 100
+#: Replicates of intervals; those that have SQL, which draws fewer, come in both numbers.
+FULL_REPS, REPS = 5000, 100
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -415,8 +416,8 @@ def _sums(df: DataFrame, total: Column) -> DataFrame:
     return df.groupBy("case_id").agg(_n(), F.sum(total).alias("total"))
 
 
-def _ci(sums: DataFrame, statistic) -> DataFrame:
-    return bootstrap.interval(sums, bootstrap.hash_weights(sums, REPS), statistic, [])
+def _ci(sums: DataFrame, statistic, reps: int = REPS) -> DataFrame:
+    return bootstrap.interval(sums, bootstrap.hash_weights(sums, reps), statistic, [])
 
 
 def _paired(s, d, multi: bool = False) -> DataFrame:
@@ -425,35 +426,55 @@ def _paired(s, d, multi: bool = False) -> DataFrame:
 
 
 @query
-def bootstrap_ci(s, d):
-    return _ci(_sums(metrics.per_example(_s2(s, d)), F.col("exact")), bootstrap.mean)
+def bootstrap_ci(s, d, reps=REPS):
+    return _ci(_sums(metrics.per_example(_s2(s, d)), F.col("exact")), bootstrap.mean, reps)
 
 
 @query
-def paired_ci(s, d):
-    return _ci(_paired(s, d), bootstrap.paired_mean)
+def paired_ci(s, d, reps=REPS):
+    return _ci(_paired(s, d), bootstrap.paired_mean, reps)
 
 
 @query
-def subset_ci(s, d):
-    return _ci(_sums(metrics.per_example(_s1(s, d)).filter(F.bit_count("gold") > 1), F.col("set_f1")), bootstrap.mean)
+def subset_ci(s, d, reps=REPS):
+    return _ci(_sums(metrics.per_example(_s1(s, d)).filter(F.bit_count("gold") > 1), F.col("set_f1")), bootstrap.mean, reps)
 
 
 @query
 def macro_ci(s, d):
     sums = _s1(s, d).groupBy("case_id").agg(*metrics.role_counts([]))
-    return _ci(sums, metrics.macro_f1)
+    return _ci(sums, metrics.macro_f1, FULL_REPS)
 
 
 @query
-def contrast_table(s, d):
+def contrast_table(s, d, reps=REPS):
     a, b = (metrics.per_example(_s2(s, d, k)).select("case_id", "sent_idx", F.col("exact").alias(f"x{k}")) for k in (0, 1))
     s2 = a.join(b, ["case_id", "sent_idx"]).groupBy("case_id").agg(_n(), F.sum("x0").alias("total_a"), F.sum("x1").alias("total_b"))
     parts = [("s1 set_f1", _paired(s, d)), ("s1 set_f1 multi", _paired(s, d, True)), ("s2 accuracy", s2)]
-    made = [_ci(sums, bootstrap.paired_mean).select(F.lit(name).alias("contrast"), "*") for name, sums in parts]
+    made = [_ci(sums, bootstrap.paired_mean, reps).select(F.lit(name).alias("contrast"), "*") for name, sums in parts]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
+@query
+def bootstrap_ci_full(s, d):
+    return bootstrap_ci(s, d, FULL_REPS)
+
+
+@query
+def paired_ci_full(s, d):
+    return paired_ci(s, d, FULL_REPS)
+
+
+@query
+def subset_ci_full(s, d):
+    return subset_ci(s, d, FULL_REPS)
+
+
+@query
+def contrast_table_full(s, d):
+    return contrast_table(s, d, FULL_REPS)
+
+
 @query
 def crf_runs(s, d):
     return sequences.run_bounds(_s2(s, d), "case_id", "sent_idx")

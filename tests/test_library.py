@@ -113,6 +113,21 @@ def test_incremental(spark, tmp_path):
     assert sorted(r.key for r in spark.read.parquet(folder).collect()) == ["a", "b", "c"]
 
 
+def test_intervals_take_5000_replicates(spark, monkeypatch):
+    asked, made = [], bootstrap.hash_weights
+    monkeypatch.setattr(bootstrap, "hash_weights", lambda docs, reps: asked.append(reps) or made(docs, reps))
+    for name in ("macro_ci", "bootstrap_ci_full", "paired_ci_full", "subset_ci_full", "contrast_table_full"):
+        catalogue.QUERIES[name](spark, SF)
+    assert asked == [5000] * 7
+    given = [(i, 1 + i % 3, float(i * i % 7)) for i in range(9)]
+    got = catalogue._ci(spark.createDataFrame(given, "case_id long, n long, total double"), bootstrap.mean, 5000).head()
+    values = []
+    for rep in range(5000):
+        drawn = [given[int(hashlib.md5(f"13:{rep}:{k}".encode()).hexdigest()[:8], 16) % 9] for k in range(9)]
+        values.append(sum(x[2] for x in drawn) / sum(x[1] for x in drawn))
+    assert np.allclose([got.ci_low, got.ci_high], np.percentile(values, [2.5, 97.5]), atol=1e-6)
+
+
 def test_catalogue(spark):
     missing = set(catalogue.ORACLES) - set(catalogue.QUERIES)
     assert not missing
