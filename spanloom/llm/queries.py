@@ -13,7 +13,7 @@ from . import bpe, common, decontaminate, html_extract, jaccard_join, kd_shards,
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.encode_decode(common.documents(spark, sf_dir, "doc_id", "text"), path)
+    decoded = bpe.encode_decode(common.documents(spark, sf_dir, "doc_id", "text"), path, offsets=False)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

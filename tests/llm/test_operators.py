@@ -27,7 +27,7 @@ def texts(n=300, seed=1):
 
 
 def frame(spark, items, start=0):
-    """Documents with an extra column of a clashing name; the last row is repeated."""
+    """Documents with an extra column of a clashing name."""
     rows = [(start + i, t, i) for i, t in enumerate(items)]
     return spark.createDataFrame(rows, "doc_id long, text string, ids int")
 
@@ -64,26 +64,56 @@ def test_bpe_classes_cover_all_characters():
     assert encoder.encode(raw, off)[0].tolist() == reference.encode_ordinary(text)
 
 
-def test_bpe_cuts_long_texts(monkeypatch):
+def arrow(*given):
+    return tn.utf8(__import__("pyarrow").array(given, __import__("pyarrow").string()))
+
+
+@pytest.mark.parametrize("alphabet", [[*BITS, "some longer words "], ["中", "文", "é", "ー", "ไ", "'", "s", "a" * 40], ["a", "b"], [" ", "\n"]])
+def test_bpe_windows_of_long_texts(monkeypatch, alphabet):
     monkeypatch.setattr(tn, "CHUNK_BYTES", 64)
     reference, encoder = tiktoken_reference(), bpe._encoder(RANKS, bpe.class_table())
     rng = random.Random(4)
-    text = "".join(rng.choice([*BITS, "some longer words "]) for _ in range(3000))
-    raw, off = tn.utf8(__import__("pyarrow").array([text]))
-    assert len(bpe.safe_cuts(raw, 64)) > 10
-    assert encoder.encode(raw, off)[0].tolist() == reference.encode_ordinary(text)
+    text = "".join(rng.choice(alphabet) for _ in range(3000))
+    ids, where, cut = encoder.encode(*arrow(text))
+    assert ids.tolist() == reference.encode_ordinary(text) and cut.tolist() == [0, len(ids)]
+    assert where.tolist() == np.cumsum([0, *(len(reference.decode_single_token_bytes(i)) for i in ids)])[:-1].tolist()
+
+
+def test_bpe_merges_agree():
+    """Side by side, all of a rank at once, and pair by pair."""
+    own, rng = bpe._vocabulary(RANKS), random.Random(14)
+    made = [bytes(rng.choice(b"abrehtinso\xc3\xa9") for _ in range(rng.randint(2, 200))) for _ in range(300)] + [b"a" * k for k in range(1, 40)]
+    flat, size = np.frombuffer(b"".join(made), dtype=np.uint8), np.array(list(map(len, made)))
+    ids, count = own.merge(flat, np.cumsum(size) - size, size)
+    for piece, got in zip(made, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+        assert got.tolist() == bpe.merge(piece, own.ranks) == own.merge_long(np.frombuffer(piece, dtype=np.uint8)).tolist()
+
+
+def test_bpe_merges_that_make_a_lower_rank():
+    """A vocabulary in which joining opens a pair of lower rank, which goes first."""
+    tokens = [bytes([i]) for i in range(256)] + [b"cab", b"aba", b"ab", b"ca", b"abab"]
+    own = bpe.Vocabulary({t: i for i, t in enumerate(tokens)})
+    for piece in (b"cabab", b"ababab", b"abcabab", b"abababab"):
+        raw = np.frombuffer(piece, dtype=np.uint8)
+        assert own.merge(raw, np.array([0]), np.array([len(piece)]))[0].tolist() == bpe.merge(piece, own.ranks) == own.merge_long(raw).tolist()
 
 
 def test_piece_cache_forgets(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
-    ranks = bpe.read_ranks(RANKS)
-    lengths = np.zeros(len(ranks) + 1, dtype=np.int64)
-    for t, r in ranks.items():
-        lengths[r] = len(t)
-    encoder = bpe.Encoder(bpe.class_table(), lambda p: bpe.merge(p, ranks), lengths)
+    table, reference, encoder = bpe.class_table(), tiktoken_reference(), bpe._encoder.__wrapped__(RANKS, bpe.class_table())
+    monkeypatch.setattr(bpe, "CACHE_BYTES", encoder.pieces.size + 500)
+    most = 0
     for t in texts(60, seed=9)[5:]:
-        raw, off = tn.utf8(__import__("pyarrow").array([t]))
-        assert encoder.encode(raw, off)[0].tolist() == tiktoken_reference().encode_ordinary(t)
+        assert encoder.encode(*arrow(t))[0].tolist() == reference.encode_ordinary(t)
+        most = max(most, encoder.pieces.size)
+    assert encoder.pieces.fixed <= encoder.pieces.n and most < bpe.CACHE_BYTES + 20_000 and table
+
+
+def test_bpe_of_repeated_rows_and_clashing_names(spark):
+    rows = [(7, "same text", 1, "x"), (7, "same text", 1, "x"), (None, "no id", 2, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bytes int, offsets string")
+    got = bpe.encode_decode(docs, RANKS).collect()
+    assert sorted((r.doc_id or 0, bytes(r.bytes)) for r in got) == [(0, b"no id"), (7, b"same text"), (7, b"same text")]
+    assert bpe.encode_decode(docs.limit(0), RANKS).count() == 0
 
 
 def test_token_store(spark, tmp_path):
@@ -91,8 +121,8 @@ def test_token_store(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     reference = Tokenizer.from_file(path)
-    reference.encode_special_tokens = True
-    given = [*texts(), "dup", "dup"]
+    special = "<|endoftext|>"
+    given = [*texts(), special, f"a {special}{special} 's{special}", "<|endof", "text|>", "x" * 900 + " y", "dup", "dup"]
     rows = [(i * 3 - 50, t) for i, t in enumerate(given)]
     rows[-1] = rows[-2]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -105,8 +135,23 @@ def test_token_store(spark, tmp_path):
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == want
-    found = token_store.lookup(manifest, [-50, rows[-1][0], 10**9])
-    assert [x.tolist() for x in found[-50]] == [[0]] and len(found[rows[-1][0]]) == 2 and found[10**9] == []
+    found = token_store.lookup(manifest, [-50, rows[-1][0], 10**9, -49])
+    assert [x.tolist() for x in found[-50]] == [[0]] and len(found[rows[-1][0]]) == 2 and found[10**9] == found[-49] == []
+    for i, t in rows[:40]:
+        assert found.update(token_store.lookup(manifest, [i])) is None and found[i][0].tolist() == [*reference.encode(t or "", add_special_tokens=False).ids, 0]
+
+
+def test_token_store_of_odd_rows(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    schema = "doc_id long, text string, shard int, row string"
+    odd = [(None, "a b", 1, "x"), (None, None, 2, "y"), *[(5, "same", 3, "z")] * 60, (5, "other", 4, "w")]
+    for name, rows in (("odd", odd), ("none", [])):
+        (tmp_path / name).mkdir()
+        manifest = common.Scratch(spark, "test").table(token_store.write(spark.createDataFrame(rows, schema), path, f"file://{tmp_path}/{name}", shards=4), "manifest")
+        got = sorted(token_store.read(spark, manifest).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k))
+        assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()][: len(got)]
+        assert len(token_store.lookup(manifest, [5])[5]) == (61 if rows else 0)
 
 
 def test_perfect_hash():
