@@ -9,10 +9,12 @@ Two sets link when their Jaccard similarity reaches a threshold. The join uses
 * index-level skipping: a shingle's list is kept sorted in blocks by position and size, and a whole
   block is skipped where position and size bound the overlap below what a link needs. A list that
   is longer than a task should take pairwise only ties its sets together in a chain;
-* answer-level skipping: sets tied by lists are put side by side, in blocks of bounded size, and
-  compared by one matrix product a block. Blocks are first joined with themselves and with their
-  cluster's first block; from then on a set that is already connected to most of its cluster
-  derives the rest of its answer from theirs, and only the others are compared with every block.
+* answer-level skipping: sets tied by lists are put side by side, in blocks of bounded size. A few
+  sets of a block have all their overlaps counted. Any other set's answer is derived from that of
+  the most similar of these: what the two do not share bounds how far their overlaps with a third
+  set can differ, and only where that leaves a link open the set's own overlaps are counted. Blocks
+  are first joined with themselves and with their cluster's first block; from then on a set that is
+  already connected to most of its cluster needs no more, and only the others meet every block.
 
 Nothing is sampled or capped: the chain and the later rounds are exact ways for long lists. Pairs
 within a group of copies are never made into rows; a block gives a spanning forest of its links.
@@ -44,6 +46,8 @@ _PART = 1 << 13
 LIST = 96
 #: Occurrences by which a shingle's count must stand out for its list to be dealt over several tasks.
 HOT = 1 << 12
+#: Marks that a task remembers at most, to give the prefix of a copy but once.
+SEEN = 1 << 17
 #: Rows of placed documents (32 bytes each) up to which they are broadcast to the texts.
 BROADCAST_ROWS = 1 << 20
 #: Shingles and sets of a block.
@@ -80,7 +84,8 @@ def survey(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
         total = np.zeros(size, dtype=np.uint32)
         for batch in batches:
             for i, j, sets in _sets(batch.column("text"), n, table):
-                total += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+                at, times = np.unique(np.concatenate(sets) & np.uint64(size - 1), return_counts=True)
+                total[at] += times.astype(np.uint32)
                 both, m = [_mark(x) for x in sets], j - i
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, m), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = total.reshape(-1, _PART)
@@ -124,7 +129,7 @@ def postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray, table: n
         for batch in batches:
             for _, _, sets in _sets(batch.column("text"), n, table):
                 token, info, place = [], [], []
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 for x in sets:
                     if not len(x) or (mark := _mark(x)) in seen:
@@ -257,54 +262,64 @@ def hubs(made: DataFrame) -> DataFrame:
     return made.filter("hub is null").select("a", "a2", "b", "b2").unionByName(joined)
 
 
+class Overlaps:
+    """Overlaps of sets: a set's shingles are numbers, and marking one set's numbers counts its overlap with all others in one sweep."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        self.edge = np.concatenate(([0], np.cumsum(self.size)))
+        known, number = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+        self.number, self.mark = number.astype(np.int32), np.zeros(len(known) + 1, dtype=np.int32)
+
+    def row(self, i: int) -> np.ndarray:
+        own = self.number[self.edge[i] : self.edge[i + 1]]
+        self.mark[own] = 1
+        total = np.concatenate(([0], np.cumsum(self.mark[self.number], dtype=np.int32)))
+        self.mark[own] = 0
+        return (total[self.edge[1:]] - total[self.edge[:-1]]).astype(np.int64)
+
+
 def link_block(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, group_left: list[int] | None = None, group_right: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks (or within one), as pairs of places.
 
-    Sets are rows of 0 and 1 over the shingles that two of them at least share; a matrix product
-    gives all overlaps. With groups, pairs within a group are left out, as they are connected.
+    Sets with counted overlaps serve the others: if A lacks a of B's shingles and B lacks b of A's, then
+    |B n C| is |A n C| - b at the least and |A n C| + a at the most, for any C. With groups, pairs
+    within a group are left out, as they are connected.
     """
     own = right is None
-    sets = left if own else left + right
-    size = np.array([len(x) for x in sets], dtype=np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    known, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    shared = count[at] > 1
-    number = np.cumsum(count > 1) - 1
-    row, column = row[shared], number[at[shared]]
-    a, b = len(left), len(sets)
-    overlap = np.zeros((a, a if own else b - a), dtype=np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    wide = 1 << 13
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
-        i, j = np.searchsorted(column, (low, low + wide))
-        m = np.zeros((b, wide), dtype=np.float32)
-        m[row[i:j], column[i:j] - low] = 1
-        overlap += m[:a] @ (m[:a] if own else m[a:]).T
-    sizes = size[:a, None] + (size[:a] if own else size[a:])[None, :]
-    inter = overlap.astype(np.int64)
-    good = 100 * inter >= percent * (sizes - inter)
-    good &= inter > 0
-    if own:
-        good = np.triu(good, 1)
-    if group_left is not None:
-        other = group_left if own else group_right
-        good &= np.array(group_left)[:, None] != np.array(other)[None, :]
-    root = list(range(b))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    both = Overlaps(left if own else left + right)
+    n, first = len(both.size), 0 if own else len(left)
+    part = np.arange(n) if group_left is None else np.unique([*group_left, *(group_right or [])], return_inverse=True)[1]
+    reach = lambda size, inter: 100 * inter >= percent * (size + both.size - inter)
+    kept: list[int] = []
+    rows = np.zeros((0, n), dtype=np.int64)
     out = []
-    for i, j in zip(*np.nonzero(good), strict=True):
-        x, y = find(int(i)), find(int(j) + (0 if own else a))
-        if x != y:
-            root[y] = x
-            out.append((int(i), int(j)))
+    for i in range(len(left)):
+        open_ = part != part[i]
+        open_[: first if not own else i] = False
+        if not open_.any():
+            continue
+        size = both.size[i]
+        linked = np.zeros(n, dtype=bool)
+        if kept:
+            a = int(np.argmax(2 * rows[:, i] - both.size[kept]))  # the one with the fewest shingles that only one of the two has
+            row, shared = rows[a], rows[a, i]
+            low, high = np.maximum(row - (both.size[kept[a]] - shared), 0), np.minimum(row + size - shared, np.minimum(size, both.size))
+            linked = open_ & (low > 0) & reach(size, low)
+            unsure = open_ & ~linked & (high > 0) & reach(size, high)
+            if linked.any():
+                unsure &= ~np.isin(part, part[linked])
+        else:
+            unsure = open_
+        if unsure.any():
+            row = both.row(i)
+            rows = np.concatenate((rows, row[None]))
+            kept.append(i)
+            linked = open_ & (row > 0) & reach(size, row)
+        for j in np.flatnonzero(linked).tolist():
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                out.append((i, j - first))
     return out
 
 

@@ -71,7 +71,7 @@ class _Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             with np.errstate(over="ignore"):
-                size = 1 << max(16, int(n - 1).bit_length())
+                size = -(-n // 65_536) * 65_536
                 self.up, self.down = _powers(self.base, size), _powers(self.inverse, size)
         return self.up, self.down
 
@@ -101,30 +101,52 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+#: A-Z in lower case, all other bytes as they are.
+_FOLDED = ascii_lower_table()
+
+
 class Words:
-    """Words of a run of texts: start and end byte, 64-bit hash of the folded word, and the range of words of each text."""
+    """Words of a run of texts: start and end byte, 64-bit hash of the folded word, and the range of words of each text; with heads also hashes of the words' beginnings of so many bytes (0 where a word is no longer).
+
+    A hash is that of a word alone, wherever it stands, so a long text is taken in blocks that end between words; what is held by byte is bounded by a block.
+    """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, heads: tuple[int, ...] = ()) -> None:
         self.raw, self.offsets = raw, offsets
-        n, docs = len(raw), len(offsets) - 1
-        inside = table[raw]
-        before = np.empty(n, dtype=bool)
-        after = np.empty(n, dtype=bool)
-        if n:
-            before[1:], after[:-1] = inside[:-1], inside[1:]
-            before[0] = after[-1] = False
-            edges = offsets[(offsets > 0) & (offsets < n)]
-            before[edges] = False
-            after[edges - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
+        parts, at = [], 0
+        while at < len(raw) or not parts:
+            end = len(raw)
+            if end - at > 2 * CHUNK_BYTES:
+                gap = np.flatnonzero(~table[raw[at + CHUNK_BYTES : at + 2 * CHUNK_BYTES]])
+                if not len(gap):  # a word longer than a block
+                    gap = np.flatnonzero(~table[raw[at + CHUNK_BYTES :]])
+                end = at + CHUNK_BYTES + int(gap[0]) + 1 if len(gap) else end
+            parts.append(self._block(raw[at:end], offsets[(offsets > at) & (offsets < end)] - at, table, heads, at))
+            at = end
+        self.start, self.end, self.hash, self.heads = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
         self.first = np.searchsorted(self.start, offsets)
-        self.docs, self.count = docs, np.diff(self.first)
+        self.docs, self.count = len(offsets) - 1, np.diff(self.first)
+
+    @staticmethod
+    def _block(raw: np.ndarray, edges: np.ndarray, table: np.ndarray, heads: tuple[int, ...], at: int) -> tuple[np.ndarray, ...]:
+        n = len(raw)
+        inside = table[raw]
+        before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        before[edges] = False
+        after[edges - 1] = False
+        start = np.flatnonzero(inside & ~before)
+        end = np.flatnonzero(inside & ~after) + 1
         up, down = _BYTES.get(n + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(_BYTE_VALUE[raw] * up[:n], out=total[1:])
-            self.hash = mix64((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+            own = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+            begun = np.zeros((len(start), len(heads)), dtype=np.uint64)
+            for k, size in enumerate(heads):
+                long = end - start > size
+                begun[long, k] = mix64((total[start[long] + size] - total[start[long]]) * down[start[long]] + np.uint64(1000 + size))
+        return start + at, end + at, own, begun
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.docs), self.count)
@@ -156,7 +178,7 @@ class Words:
         return (self.window(prefix, begin, length) if len(doc) else np.zeros(0, np.uint64)), doc
 
     def text(self, i: int) -> bytes:
-        return bytes(ascii_lower_table()[self.raw[self.start[i] : self.end[i]]])
+        return _FOLDED[self.raw[self.start[i] : self.end[i]]].tobytes()
 
 
 def ragged(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:

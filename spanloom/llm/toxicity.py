@@ -46,22 +46,12 @@ GATHERED = 1 << 21
 
 def term_hashes(words: tn.Words) -> np.ndarray:
     """A row of term hashes for each word: the word, and its beginnings; 0 where it is too short."""
-    up, down = tn._BYTES.get(len(words.raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(words.raw) + 1, dtype=np.uint64)
-        np.cumsum(tn._BYTE_VALUE[words.raw] * up[: len(words.raw)], out=total[1:])
-        out = np.zeros((len(words.start), 1 + len(PREFIXES)), dtype=np.uint64)
-        out[:, 0] = words.hash
-        for k, size in enumerate(PREFIXES, 1):
-            long = words.end - words.start > size
-            start = words.start[long]
-            out[long, k] = tn.mix64((total[start + size] - total[start]) * down[start] + np.uint64(1000 + size))
-    return out
+    return np.concatenate((words.hash[:, None], words.heads), axis=1)
 
 
 def _doc_terms(raw: np.ndarray, off: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, terms (their hashes, or their places among the known) and counts, by document and term."""
-    words = tn.Words(raw, off, tn.ALNUM)
+    words = tn.Words(raw, off, tn.ALNUM, PREFIXES)
     terms = term_hashes(words)
     doc = np.repeat(words.doc_of(), terms.shape[1])
     flat = terms.ravel()
