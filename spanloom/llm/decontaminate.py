@@ -79,25 +79,6 @@ def _sorted_shingles(w: Windows) -> dict[int, np.ndarray]:
     return {int(s): np.unique((got := w.parts[w.part_size == s])[got != 0]) for s in np.unique(w.part_size)}
 
 
-class _Lookup:
-    """Positions of sorted hashes; a bit table turns most others away first."""
-
-    BITS = 20
-
-    def __init__(self, known: np.ndarray) -> None:
-        self.known = known
-        self.bits = np.zeros(1 << self.BITS, dtype=bool)
-        self.bits[(known >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of hashes are known, and the place of each of those."""
-        maybe = np.flatnonzero(self.bits[hashes >> np.uint64(64 - self.BITS)])
-        at = np.searchsorted(self.known, hashes[maybe])
-        at[at == len(self.known)] = 0
-        good = self.known[at] == hashes[maybe]
-        return maybe[good], at[good]
-
-
 def _positions(words: tn.Words, prefix: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of all shingles of so many words within one document each."""
     made = np.maximum(words.count - size + 1, 0)
@@ -110,7 +91,7 @@ def _count(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[int, np.nda
     sent = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {s: _Lookup(k) for s, k in sent.value.items() if len(k)}
+        tables = {s: tn.Lookup(k) for s, k in sent.value.items() if len(k)}
         total = {s: np.zeros(len(t.known), dtype=np.int64) for s, t in tables.items()}
         for batch in batches:
             raw, off = tn.utf8(batch.column("text"))
@@ -160,7 +141,7 @@ def _hits(docs: DataFrame, w: Windows, every: bool) -> DataFrame:
             own = np.flatnonzero(w.part_size == s)
             own = own[np.argsort(w.prefix[own], kind="stable")]
             known, first, count = np.unique(w.prefix[own], return_index=True, return_counts=True)
-            tables[s] = _Lookup(known), own, first, count
+            tables[s] = tn.Lookup(known), own, first, count
         for batch in batches:
             raw, off = tn.utf8(batch.column("text"))
             for i, j in tn.chunks(off):

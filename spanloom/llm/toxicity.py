@@ -1,11 +1,14 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Fitting takes a bounded sample of labelled rows (at most ``PER_CLASS`` of each label, by a hash of
-the id, so every run takes the same), and weights each class by its share of all labelled rows.
-Terms are words and word beginnings of four and five bytes; those whose presence depends on the
-label (chi-squared) make the vocabulary. The examples' TF-IDF vectors fill an inverted index whose
-postings are cut into blocks of examples, with the largest weight of each block. Document frequencies
-are counted over all documents; vectors and their norms are those of the vocabulary's terms.
+Fitting takes bounded samples of labelled rows, by a hash of the id, so every run takes the same:
+at most ``TERM_ROWS`` of them say which terms tell the labels apart, and at most ``PER_CLASS`` of each
+label are the examples, weighted by their label's share of all labelled rows. Terms are words and
+word beginnings of four and five bytes. The vocabulary has those, of either leaning, whose presence
+depends on the label beyond chance (chi-squared, at a level at which all tests together would let a
+hundredth of a term pass by chance) and strongly (an odds ratio); neither test depends on how many
+rows there are, and there is no limit on terms. The examples' TF-IDF vectors fill an inverted index
+whose postings are cut into blocks of examples, with the largest weight of each block. Document
+frequencies are counted over all documents; vectors and their norms are those of the vocabulary's terms.
 
 Scoring bounds each block of examples by its largest weights, visits blocks in falling order of
 the bound, and stops when no block can reach the K-th best: the K nearest are exact. Their votes
@@ -13,13 +16,16 @@ count by 1 / distance; a prior from the examples without any vocabulary term joi
 monotone map fitted on the examples themselves, each scored without itself, calibrates the result.
 
 Cases: null and empty texts, and texts without a vocabulary term, get the score of no evidence;
-ties go to the lower example; repeated rows are scored alike; with no labelled rows all scores
-are 0. Neither labels, languages, sources nor ids are inputs of a score. Columns besides key and
-text are left out.
+very long texts are taken whole, their words in blocks; an empty table of documents gives no rows;
+ties go to the lower example; repeated rows are scored alike, and of a repeated example the largest
+counts hold; with no labelled rows, or of one label only, all documents get the same score. Neither
+labels, languages, sources nor ids are inputs of a score. Columns besides key and text are left
+out, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +37,10 @@ from pyspark.sql import functions as F
 from . import common
 from . import textnum as tn
 
-#: Labelled rows of each class that a model is fitted on at most.
-PER_CLASS = 3000
-#: Terms in at least this many examples, and at least this far from chance, make the vocabulary.
-LEAST_DF, LEAST_CHI2 = 3, 15.0
-TERMS = 1 << 14
+#: Labelled rows of each class that are examples at most, and those that choose the terms at most.
+PER_CLASS, TERM_ROWS = 3000, 1 << 17
+#: Terms are tested that at least so many labelled rows have; so many of all that are tested may pass by chance; and having a term must change the odds of a label by this factor, either way.
+LEAST_DF, CHANCE, ODDS = 3, 0.01, 16.0
 NEIGHBOURS = 15
 #: Examples of a block of the index.
 BLOCK = 32
@@ -49,19 +54,18 @@ def term_hashes(words: tn.Words) -> np.ndarray:
     return np.concatenate((words.hash[:, None], words.heads), axis=1)
 
 
-def _doc_terms(raw: np.ndarray, off: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _doc_terms(raw: np.ndarray, off: np.ndarray, known: tn.Lookup | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, terms (their hashes, or their places among the known) and counts, by document and term."""
     words = tn.Words(raw, off, tn.ALNUM, PREFIXES)
     terms = term_hashes(words)
-    doc = np.repeat(words.doc_of(), terms.shape[1])
     flat = terms.ravel()
     if known is None:
-        doc, flat = doc[flat != 0], flat[flat != 0]
+        at = np.flatnonzero(flat)
+        flat = flat[at]
     else:
-        at = np.searchsorted(known, flat)
-        at[at == len(known)] = 0
-        hit = known[at] == flat if len(known) else np.zeros(len(flat), dtype=bool)
-        doc, flat = doc[hit], at[hit].astype(np.uint64)
+        at, flat = known.find(flat)
+        flat = flat.astype(np.uint64)
+    doc = np.searchsorted(words.first, at // terms.shape[1], side="right") - 1
     order = np.lexsort((flat, doc))
     doc, flat = doc[order], flat[order]
     new = np.ones(len(doc), dtype=bool)
@@ -140,26 +144,36 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return total[:, 0] / total[:, 2], np.clip(total[:, 1] / total[:, 2], 0, 1)
 
 
-def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term and df, the number of rows that have it, over all rows; a task adds up its own first."""
+def _beyond(chance: float) -> float:
+    """The value that chi-squared of one degree exceeds with this probability."""
+    low, high = 0.0, 2000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.erfc(math.sqrt(middle / 2)) > chance else (low, middle)
+    return high
 
-    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        term, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
-        return term, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """term, a and b: how many of the rows (text, label 0 or 1) with label 1, and with label 0, have it; a task adds up its own first."""
+
+    def added(held: list[np.ndarray]) -> np.ndarray:
+        term, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return np.stack([term, *(np.bincount(at, weights=np.concatenate([h[k] for h in held])).astype(np.uint64) for k in (1, 2))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["term", "n"])
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held[0]], names=["term", "a", "b"])
         for batch in batches:
             raw, off = tn.utf8(batch.column("text"))
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.uint64)
             for i, j in tn.chunks(off):
-                term, n = np.unique(_doc_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i], None)[1], return_counts=True)
-                held.append((term, n))
-                size += len(term)
+                doc, term, _ = _doc_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i], None)
+                held.append(added([np.stack([term, label[doc + i], 1 - label[doc + i]])]))
+                size += held[-1].shape[1]
                 if size > GATHERED:
                     held = [added(held)]
-                    size = len(held[0][0])
+                    size = held[0].shape[1]
                     if 2 * size > GATHERED:
                         yield send()
                         held, size = [], 0
@@ -167,57 +181,72 @@ def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
             held = [added(held)]
             yield send()
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return rows.select("text", "label").mapInArrow(run, "term long, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+
+
+def vocabulary(rows: DataFrame, n1: float, n0: float) -> np.ndarray:
+    """The sorted hashes of the terms that tell the labels of the rows apart."""
+    tested = term_counts(rows).filter(F.col("a") + F.col("b") >= LEAST_DF)
+    held = common.Scratch(rows.sparkSession, "terms").table(tested, "tested")
+    level = _beyond(CHANCE / max(1, held.count()))
+    a, b = F.col("a"), F.col("b")
+    cross = a * n0 - b * n1
+    chi2 = (n1 + n0) * cross * cross / (F.lit(max(n1 * n0, 1.0)) * (a + b) * F.greatest(F.lit(n1 + n0) - a - b, F.lit(1.0)))
+    odds = (a + 0.5) * (n0 - b + 0.5) / ((n1 - a + 0.5) * (b + 0.5))
+    found = held.filter((chi2 >= level) & ((odds >= ODDS) | (odds <= 1 / ODDS))).select("term").collect()  # of the terms of a bounded sample
+    return np.sort(np.array([r.term for r in found], dtype=np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """A model from the labelled rows; docs and labels meet on key. The driver gets the sample's vectors, of bounded number and length."""
+    """A model from the labelled rows; docs and labels meet on key. The driver gets the examples' vectors, of bounded number and length."""
     scratch = common.Scratch(docs.sparkSession, "toxicity")
-    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
+    marked = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
+    own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     totals = {r.label: r.n for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = scratch.table(marked.orderBy(F.xxhash64("key"), "key").limit(TERM_ROWS), "taken")
+    rows = own.join(F.broadcast(taken), "key")
+    counted = {r.label: r.n for r in taken.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = vocabulary(rows, float(counted.get(1, 0)), float(counted.get(0, 0)))
     chosen = [marked.filter(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(per_class) for v in (0, 1)]
     sample = scratch.table(chosen[0].unionByName(chosen[1]), "sample")
-    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "key").select("key", "label", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The vectors of the examples, and a task's own document frequencies."""
+        table, size, total = tn.Lookup(sent.value), 0, np.zeros(len(sent.value), dtype=np.int64)
         for batch in batches:
             raw, off = tn.utf8(batch.column("text"))
+            size += batch.num_rows
+            example = batch.column("label").is_valid().to_numpy(zero_copy_only=False)
             for i, j in tn.chunks(off):
-                doc, term, count = _doc_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i], None)
-                at = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("label").take(at), pa.array(term.view(np.int64)), pa.array(count, pa.int64())], names=["key", "label", "term", "n"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    each = own.mapInArrow(run, f"key {kind}, label int, term long, n long")
-    terms = scratch.table(each.groupBy("key", "label", "term").agg(F.max("n").alias("n")), "terms")  # a repeated row is one example
-    seen = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = float(seen.get(1, 0)), float(seen.get(0, 0))
-    df = terms.groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
-    cross = F.col("a") * n0 - F.col("b") * n1
-    chi2 = (n1 + n0) * cross * cross / (F.lit(max(n1 * n0, 1.0)) * (F.col("a") + F.col("b")) * F.greatest(F.lit(n1 + n0) - F.col("a") - F.col("b"), F.lit(1.0)))
-    ranked = df.filter(F.col("a") + F.col("b") >= LEAST_DF).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
-    chosen_terms = scratch.table(ranked.select("term"), "terms-chosen")
-    vocabulary = scratch.table(frequencies(docs, text).join(F.broadcast(chosen_terms), "term"), "vocabulary")
-    rows = vocabulary.collect()  # TERMS rows at most
-    known = np.array([r.term for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(known)
-    known, counted = known[order], np.array([r.df for r in rows], dtype=float)[order]
-    listed = {r.key: (r.label, r.terms) for r in sample.join(terms.join(F.broadcast(vocabulary), "term").groupBy("key").agg(F.collect_list(F.struct("term", "n")).alias("terms")), "key", "left").collect()}  # the sample's rows
-    return _model(known, counted, docs.count(), listed, n0, n1, totals)
-
-
-def _model(known: np.ndarray, counted: np.ndarray, size: int, listed: dict, n0: float, n1: float, totals: dict[int, int]) -> Model:
+                doc, term, count = _doc_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i], table)
+                total += np.bincount(term.astype(np.int64), minlength=len(total))
+                keep = example[doc + i]
+                at = pa.array(doc[keep] + i)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array(term[keep].astype(np.int64)), pa.array(count[keep], pa.int64())], names=["key", "term", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some) + 1, pa.int64()), pa.array(np.append(some, -1)), pa.array(np.append(total[some], size))], names=["key", "term", "n"])
+
+    each = scratch.table(own.join(F.broadcast(sample), "key", "left").mapInArrow(run, "key long, term long, n long"), "each")
+    sums = {r.term: r.n for r in each.filter("key is null").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term
+    vectors = each.filter("key is not null").groupBy("key", "term").agg(F.max("n").alias("n")).groupBy("key").agg(F.collect_list(F.struct("term", "n")).alias("terms"))  # a repeated row is one example
+    listed = {r.key: (r.label, r.terms) for r in sample.join(vectors, "key", "left").collect()}  # the sample's rows
+    df = np.array([sums.get(k, 0) for k in range(len(known))], dtype=float)
+    return _model(known, df, sums.get(-1, 0), listed, totals)
+
+
+def _model(known: np.ndarray, counted: np.ndarray, size: int, listed: dict, totals: dict[int, int]) -> Model:
     n = len(listed)
     idf = np.log((1 + size) / (1 + counted)) + 1
     keys = sorted(listed)
     toxic = np.array([listed[k][0] for k in keys], dtype=float)
-    share = {0: totals.get(0, 0) / max(n0, 1), 1: totals.get(1, 0) / max(n1, 1)}
+    share = {v: totals.get(v, 0) / max((toxic == v).sum(), 1) for v in (0, 1)}
     mean = sum(totals.values()) / max(n, 1)
     weight = np.array([share[int(t)] / max(mean, 1e-9) for t in toxic])
     vectors, post = [], []
     for e, k in enumerate(keys):
         got = listed[k][1] or []
-        at = np.searchsorted(known, np.array([t["term"] for t in got], dtype=np.int64).view(np.uint64)) if got else np.zeros(0, np.int64)
+        at = np.array([t["term"] for t in got], dtype=np.int64)
         counts = np.array([t["n"] for t in got], dtype=float)
         order = np.argsort(at)
         at, counts = at[order], counts[order]
@@ -250,13 +279,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        table = tn.Lookup(model.known)
         none = model.calibrated(model.prior)
         memo: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
             raw, off = tn.utf8(batch.column(1))
             for i, j in tn.chunks(off):
                 scores, evidence = [none] * (j - i), [[] for _ in range(j - i)]
-                doc, term, count = _doc_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i], model.known)
+                doc, term, count = _doc_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i], table)
                 cuts = np.searchsorted(doc, np.arange(j - i + 1))
                 for d in np.flatnonzero(np.diff(cuts)).tolist():
                     t, c = term[cuts[d] : cuts[d + 1]].astype(np.int64), count[cuts[d] : cuts[d + 1]]
