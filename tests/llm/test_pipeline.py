@@ -44,3 +44,35 @@ def test_stages_keep_clean_documents_and_take_planted_ones(spark, tmp_path):
     assert set(counts[3]) == set(counts[2]) - {500}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == counts[3] and all(r.n_tokens == len(r.ids) for r in out)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n):
+    return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+
+def test_near_duplicates_of_repeated_ids_and_rows_without_id(spark):
+    """Against brute force over (id, text): unrelated texts under one id stay, one of each group, and one of each repeated row."""
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a + " end", "en", "s", 1), (3, c, "fr", "s", 1), (3, c, "en", "s", 1), (3, c, "en", "s", 1)]
+    rows += [(None, d, "en", "s", 1), (None, d + " end", "en", "s", 1), (9, d + " more end", "en", "s", 1), (None, None, "x", None, None), (None, "", "x", None, 0), (5, None, None, None, None), (6, "", None, None, None)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    # Null and empty texts link with nothing; as rows they agree in id and text, and the least of them stays.
+    want = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (3, c, "en", "s", 1), (9, d + " more end", "en", "s", 1), (None, None, "x", None, None), (5, None, None, None, None), (6, "", None, None, None)]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    extra = SCHEMA + ", _gone int, _own int, _id string, hash int"
+    spark.createDataFrame([], extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 1, 2, "x", 4), (2, "c d", "en", "s", 3, 1, 2, "x", 4)], extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect())), name
