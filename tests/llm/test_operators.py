@@ -252,6 +252,20 @@ def test_line_dedup(spark):
     assert line_dedup.apply(docs.limit(0), line_dedup.bitmaps(docs.limit(0))).count() == 0
 
 
+def test_line_dedup_of_repeated_rows_and_long_texts(spark, monkeypatch):
+    """Each row is a document; a long text's bitmap leaves whole words out; bitmaps meet the texts by a shuffle too."""
+    long = "\n".join("shared" if i in (3, 700, 701, 4095) else f"line {i}" for i in range(5000))
+    rows = [(7, "shared\nown", 1)] * 8 + [(None, "Shared ", 2), (8, long, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept_ int")
+    for limit in (1 << 25, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
+        maps = line_dedup.bitmaps(docs, 10, 1)
+        got = line_dedup.apply(docs, maps).collect()
+        assert sorted((r.doc_id or 0, r._n_lines, r._n_dropped) for r in got) == [(0, 1, 1), *[(7, 2, 1)] * 8, (8, 5000, 4)]
+        assert [r._kept for r in got if r.doc_id == 8] == ["\n".join(x for x in long.split("\n") if x != "shared")]
+        assert [len(r.keep) for r in maps.collect() if r.doc_id == 8] == [3]
+
+
 def test_line_dedup_is_native(spark):
     docs = frame(spark, ["a\nb"])
     plan = line_dedup.apply(docs, line_dedup.bitmaps(docs))._jdf.queryExecution().executedPlan().toString()
