@@ -5,6 +5,12 @@ report DIR FILE: the corpus audit, the dataset summaries and the scores as Markd
 check DIR: exit code 1 if validation finds errors in a folder of annotated documents.
 datasets DIR OUT: the span and sentence tables by split; an existing OUT is left alone.
 list: the names of all queries.
+audit DIR OUT: sizes, roles and nesting of a folder of annotated documents, as JSON.
+dedup DIR OUT: near-duplicate groups of a folder of annotated documents, as JSON.
+freeze-grid DIR OUT [--force]: the grid's manifest of a folder of annotated documents.
+split DIR DEDUP OUT --sizes train=..,val=..,test=.. [--force]: a split's manifest.
+verify DIR GRID SPLIT: exit code 1, and what differs, if the manifests do not fit the documents.
+mock OUT: a small made-up corpus.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .plans import catalogue
+from .plans import catalogue, corpus
 from .plans.report import report
 from .sources import annotations
 
@@ -31,10 +37,22 @@ def main(args: list[str] | None = None) -> int:
             own.add_argument(x)
         if name == "run":
             own.add_argument("--out")
+    for name, given in (("audit", ["dir", "out"]), ("dedup", ["dir", "out"]), ("freeze-grid", ["dir", "out"]), ("split", ["dir", "dedup", "out"]), ("verify", ["dir", "grid", "split"]), ("mock", ["out"])):
+        own = sub.add_parser(name)
+        for x in given:
+            own.add_argument(x)
+        if name in ("freeze-grid", "split"):
+            own.add_argument("--force", action="store_true")
+        if name == "split":
+            own.add_argument("--sizes", required=True)
+            own.add_argument("--seed", type=int, default=13)
     a = parser.parse_args(args)
     if a.command == "list":
         print("\n".join(catalogue.QUERIES))
         return 0
+    if a.command == "mock":
+        annotations.mock_corpus(a.out)
+        return 0
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "run":
         made = catalogue.QUERIES[a.name](spark, a.dir)
@@ -45,6 +63,8 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "datasets":
         for name in ("s1_rows", "s2_rows"):
             annotations.write_split(catalogue.QUERIES[name](spark, a.dir), f"{a.out}/{name}")
+    elif a.command in corpus.COMMANDS:
+        return corpus.COMMANDS[a.command](spark, a)
     elif a.command == "check":
         docs = annotations.load(spark, a.dir)
         spans = annotations.spans(docs)

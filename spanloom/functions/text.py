@@ -9,6 +9,7 @@ LETTER = r"[\p{L}\p{Nl}\p{No}]"
 CONTENT = r"[\p{L}\p{N}]"
 BREAK = r"(\r?\n[ \t\x{a0}\x{200f}\x{200e}]*\r?\n)"
 STOP = r"([.؟?!]+)(?=(?U:\s)|\x01|$)"
+#: Ends of sentences for an alternative grid, in which a line ends one too.
 LINE_STOP = r"([.؟?!]+(?=(?U:\s)|\x01|$)|\n)"
 
 

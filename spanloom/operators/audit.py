@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import json
 import random
 from collections.abc import Iterable
@@ -16,21 +17,25 @@ AROUND = 250
 
 
 def elide(text: str, outer: tuple[int, int], inner: tuple[int, int], head: int = HEAD, tail: int = TAIL, around: int = AROUND) -> list[tuple[str, str]]:
-    """Parts of an outer span as (kind, text): its head, its tail and the inner span's surroundings stay, overlapping parts merge, and what lies between is one gap. The inner span is marked."""
-    b, e = outer
-    wanted = sorted([(b, min(e, b + head)), (max(b, inner[0] - around), min(e, inner[1] + around)), (max(b, e - tail), e)])
-    kept: list[list[int]] = []
-    for x, y in wanted:
-        if kept and x <= kept[-1][1]:
-            kept[-1][1] = max(kept[-1][1], y)
-        else:
-            kept.append([x, y])
+    """Parts of an outer span as (kind, text): its head, its tail and the inner span's surroundings stay, and each run of what is left out is one gap. The inner span is marked.
+
+    A sweep over the ranges' ends: between two ends the text is shown if any shown range is open, and inner if the inner span is.
+    """
+    begin, end = outer
+    shown = [(begin, begin + head), (inner[0] - around, inner[1] + around), (end - tail, end)]
+    clip = lambda x: max(begin, min(end, x))
+    ends = sorted({begin, end, *(clip(x) for r in (*shown, inner) for x in r)})
     out: list[tuple[str, str]] = []
-    for k, (x, y) in enumerate(kept):
-        if k:
-            out.append(("gap", ""))
-        cuts = sorted({x, y, *(c for c in inner if x < c < y)})
-        out += [("inner" if inner[0] <= p and q <= inner[1] else "text", text[p:q]) for p, q in zip(cuts, cuts[1:], strict=False)]
+    for x, y in itertools.pairwise(ends):
+        if inner[0] <= x < inner[1]:
+            kind = "inner"
+        else:
+            kind = "text" if any(clip(p) <= x < clip(q) for p, q in shown) else "gap"
+        part = "" if kind == "gap" else text[x:y]
+        if out and out[-1][0] == kind:
+            out[-1] = kind, out[-1][1] + part
+        else:
+            out.append((kind, part))
     return out
 
 
@@ -77,25 +82,46 @@ def set_f1(a: Iterable[str], b: Iterable[str]) -> float:
     return 1.0 if not x and not y else 2 * len(x & y) / (len(x) + len(y))
 
 
+#: By stratum, which answers are compared with which labels of the key, and which question is a choice.
+COMPARED = {1: [("roles", "labels")], 2: [("roles", "labels")], 3: [("outer_roles", "outer_labels"), ("inner_roles", "inner_labels")], 4: [("roles", "max_roles")]}
+CHOICES = {3: "valid_units", 4: "single_role_faithful"}
+
+
+def read_answer(stratum: int, response: dict) -> dict:
+    """The choice, whether any role list says UNCERTAIN, whether the item counts as answered, and the role sets to compare by the key's label.
+
+    Without a choice to make, roles or UNCERTAIN are an answer. Where one role is said to be faithful (stratum 4),
+    that role is compared with the key, and where it is not, the roles.
+    """
+    lists = {label: response.get(name) or [] for name, label in COMPARED[stratum]}
+    choice = response.get(CHOICES[stratum]) if stratum in CHOICES else None
+    if stratum == 4:
+        single = response.get("single_role")
+        lists = {"max_roles": lists["max_roles"] if choice == "NO" else [single] if choice == "YES" and single else []}
+    unsure = any("UNCERTAIN" in v for v in lists.values())
+    sets = {label: kept for label, v in lists.items() if (kept := set(v) & set(ROLES))}
+    return {"choice": choice, "unsure": unsure, "sets": sets, "answered": choice is not None if stratum in CHOICES else bool(sets) or unsure}
+
+
 def score(key: list[dict], responses: dict[str, dict]) -> dict:
-    """By stratum: items, answered ones, agreement with the key in set F1 and exactly, and counts of the choices. Answers to unknown items are an error."""
-    if unknown := set(responses) - {k["item_id"] for k in key}:
-        raise ValueError(f"unknown items: {sorted(unknown)}")
-    out: dict = {}
-    for row in key:
-        answer, s = responses.get(row["item_id"], {}), out.setdefault(row["stratum"], {"n": 0, "answered": 0, "f1": [], "choices": {}})
-        s["n"] += 1
-        s["answered"] += bool(answer)
-        for name in ("valid_units", "single_role_faithful"):
-            if name in answer:
-                s["choices"].setdefault(name, {}).setdefault(answer[name], 0)
-                s["choices"][name][answer[name]] += 1
-        for given, true in (("roles", "labels"), ("roles", "max_roles"), ("outer_roles", "outer_labels"), ("inner_roles", "inner_labels")):
-            if given in answer and true in row:
-                s["f1"].append(set_f1(answer[given], row[true]))
-    for s in out.values():
-        f1 = s.pop("f1")
-        s |= {"compared": len(f1), "set_f1": round(sum(f1) / len(f1), 4) if f1 else None, "exact": round(sum(x == 1 for x in f1) / len(f1), 4) if f1 else None}
+    """By stratum: items, answered, unanswered and uncertain ones, those with several roles, agreement with the key in set F1 and exactly, and how often each choice was YES, NO or UNCERTAIN; at "unknown" the answers to items that the key lacks."""
+    out: dict = {"unknown": sorted(set(responses) - {k["item_id"] for k in key})}
+    for stratum, group in itertools.groupby(sorted(key, key=lambda r: r["stratum"]), key=lambda r: r["stratum"]):
+        rows = list(group)
+        read = [read_answer(stratum, responses.get(r["item_id"], {})) for r in rows]
+        f1 = [set_f1(given, r[label]) for r, x in zip(rows, read, strict=True) for label, given in x["sets"].items() if label in r]
+        made = [x["choice"] for x in read if x["choice"] is not None]
+        out[stratum] = {
+            "n": len(rows),
+            "answered": sum(x["answered"] for x in read),
+            "unanswered": sum(not x["answered"] for x in read),
+            "uncertain": sum(x["unsure"] for x in read),
+            "several": sum(any(len(v) > 1 for v in x["sets"].values()) for x in read),
+            "compared": len(f1),
+            "set_f1": round(sum(f1) / len(f1), 4) if f1 else None,
+            "exact": round(sum(x == 1 for x in f1) / len(f1), 4) if f1 else None,
+            "choices": {CHOICES[stratum]: {v: made.count(v) for v in sorted(set(made))}} if made else {},
+        }
     return out
 
 
@@ -107,6 +133,21 @@ def archive(responses: bytes, folder: str) -> Path:
     return path
 
 
+def ratification_form(summary: dict, title: str = "Ratification") -> str:
+    """A page that asks whether the scored audit is accepted, with its figures and room for a reason."""
+    rows = "".join(f"<tr><td>{html.escape(str(k))}</td><td>{html.escape(json.dumps(v, sort_keys=True))}</td></tr>" for k, v in summary.items())
+    asked = " ".join(f'<label><input type="radio" name="ratified" value="{v}">{v}</label>' for v in ("YES", "NO", "UNCERTAIN"))
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table>{rows}</table><form><p>{asked}</p><textarea name="reason"></textarea></form></body></html>'
+
+
+def record_ratification(answer: bytes, folder: str) -> dict:
+    """Keeps the bytes of a filled form by their hash and gives a summary of it: the hash, the verdict and whether there is a reason."""
+    found = json.loads(answer)
+    if found.get("ratified") not in ("YES", "NO", "UNCERTAIN"):
+        raise ValueError("the form has no verdict")
+    return {"sha256": archive(answer, folder).stem, "ratified": found["ratified"], "has_reason": bool(found.get("reason"))}
+
+
 def prompt(text: str, definitions: dict[str, str], multi: bool) -> str:
     """A request to name the role, or all roles, of a text."""
     listed = "\n".join(f"- {r}: {definitions.get(r, '')}" for r in ROLES)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def sentences(docs: DataFrame, stop: str = T.STOP) -> DataFrame:
     """case_id, sent_idx, b, e of the pieces that have a letter or number, without white space at their ends. Only offsets are shuffled, never text."""
@@ -18,6 +24,30 @@ def sentences(docs: DataFrame, stop: str = T.STOP) -> DataFrame:
     return kept.withColumn("sent_idx", (F.row_number().over(w) - 1).cast("long")).select("case_id", "sent_idx", "b", "e")
 
 
+def segmented(docs: DataFrame, segment: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """The grid of an outside segmenter, which gives a text's pieces as offsets: they are trimmed and kept as :func:`sentences` does; pieces that overlap or leave the text are an error."""
+    kind = docs.schema["case_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for case, text in zip(batch["case_id"], batch["text"], strict=True):
+                last, k = 0, 0
+                for b, e in segment(text or ""):
+                    if not last <= b <= e <= len(text):
+                        raise ValueError(f"{case}: the segmenter's piece {b}-{e} does not fit")
+                    last, piece = e, text[b:e]
+                    b, e = b + len(piece) - len(piece.lstrip()), e - len(piece) + len(piece.rstrip())
+                    if any(c.isalnum() for c in piece):
+                        rows.append((case, k, b, e))
+                        k += 1
+            yield pd.DataFrame(rows, columns=["case_id", "sent_idx", "b", "e"])
+
+    return docs.select("case_id", "text").mapInPandas(run, f"case_id {kind}, sent_idx long, b long, e long")
+
+
 def fingerprint(grid: DataFrame) -> DataFrame:
     """One row: a hash over the cases' own hashes in order, the number of cases and of sentences."""
     own = grid.groupBy("case_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "b", "e"))), lambda x: F.concat_ws(",", x["b"], x["e"])), ";"), 256).alias("h"), F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFER = r"(?i)\bdefer(red)?\b"
@@ -21,14 +23,23 @@ def errors(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return counted.unionByName(doubled).unionByName(bare).unionByName(length)
 
 
-def has_defer(*texts):
-    """Whether any of the given text columns (of metadata as JSON, of labels) has the marker."""
+def has_defer(*columns: Column) -> Column:
+    """Whether any of the columns has the marker in a text, however deep: structs, maps (keys too) and arrays are looked through as JSON, whose escapes of line breaks and tabs count as spaces."""
     out = F.lit(False)
-    for t in texts:
-        out = out | F.coalesce(t.rlike(DEFER), F.lit(False))
+    for c in columns:
+        plain = F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r"\\[nrtbf]", " ")
+        out = out | F.coalesce(plain.rlike(DEFER), F.lit(False))
     return out
 
 
+def warnings(spans: DataFrame, crossing: DataFrame, deferred: DataFrame | None = None) -> DataFrame:
+    """case_id, code and n: other_kind rows, crossing pairs, and DEFER for the cases (case_id) that have the marker."""
+    parts = [spans.filter("kind <> 'rhetorical'").groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).select("case_id", F.lit("other_kind").alias("code"), "n"), crossing.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).select("case_id", F.lit("crossing").alias("code"), "n")]
+    if deferred is not None:
+        parts.append(deferred.select("case_id").distinct().select("case_id", F.lit("DEFER").alias("code"), F.lit(1).cast("long").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def provenance(spans: DataFrame) -> DataFrame:
     """How regions' rows were reviewed: class and n. Provenance 0 is unadjudicated, 3 missing."""
     region = spans.filter("kind = 'rhetorical'").groupBy("case_id", "b", "e").agg(F.countDistinct("label").alias("k"), F.max(F.col("prov") == 0).alias("unreviewed"), F.max(F.col("prov") == 3).alias("missing"), F.max(F.col("prov") == 2).alias("union"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -31,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
         return f"{found.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"/tmp/spanloom-{uuid.uuid4().hex}"
+    folder = tempfile.mkdtemp(prefix="spanloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -416,7 +421,10 @@ def _sums(df: DataFrame, total: Column) -> DataFrame:
     return df.groupBy("case_id").agg(_n(), F.sum(total).alias("total"))
 
 
-def _ci(sums: DataFrame, statistic, reps: int = REPS) -> DataFrame:
+def _ci(sums: DataFrame, statistic, reps: int = REPS, folder: str | None = None) -> DataFrame:
+    """With a folder for its sums, thousands of replicates are drawn within tasks."""
+    if folder:
+        return bootstrap.wide_interval(sums, reps, statistic, folder)
     return bootstrap.interval(sums, bootstrap.hash_weights(sums, reps), statistic, [])
 
 
@@ -426,53 +434,53 @@ def _paired(s, d, multi: bool = False) -> DataFrame:
 
 
 @query
-def bootstrap_ci(s, d, reps=REPS):
-    return _ci(_sums(metrics.per_example(_s2(s, d)), F.col("exact")), bootstrap.mean, reps)
+def bootstrap_ci(s, d, reps=REPS, folder=None):
+    return _ci(_sums(metrics.per_example(_s2(s, d)), F.col("exact")), bootstrap.mean, reps, folder)
 
 
 @query
-def paired_ci(s, d, reps=REPS):
-    return _ci(_paired(s, d), bootstrap.paired_mean, reps)
+def paired_ci(s, d, reps=REPS, folder=None):
+    return _ci(_paired(s, d), bootstrap.paired_mean, reps, folder)
 
 
 @query
-def subset_ci(s, d, reps=REPS):
-    return _ci(_sums(metrics.per_example(_s1(s, d)).filter(F.bit_count("gold") > 1), F.col("set_f1")), bootstrap.mean, reps)
+def subset_ci(s, d, reps=REPS, folder=None):
+    return _ci(_sums(metrics.per_example(_s1(s, d)).filter(F.bit_count("gold") > 1), F.col("set_f1")), bootstrap.mean, reps, folder)
 
 
 @query
 def macro_ci(s, d):
     sums = _s1(s, d).groupBy("case_id").agg(*metrics.role_counts([]))
-    return _ci(sums, metrics.macro_f1, FULL_REPS)
+    return _ci(sums, metrics.macro_f1, FULL_REPS, shared_folder(s))
 
 
 @query
-def contrast_table(s, d, reps=REPS):
+def contrast_table(s, d, reps=REPS, folder=None):
     a, b = (metrics.per_example(_s2(s, d, k)).select("case_id", "sent_idx", F.col("exact").alias(f"x{k}")) for k in (0, 1))
     s2 = a.join(b, ["case_id", "sent_idx"]).groupBy("case_id").agg(_n(), F.sum("x0").alias("total_a"), F.sum("x1").alias("total_b"))
     parts = [("s1 set_f1", _paired(s, d)), ("s1 set_f1 multi", _paired(s, d, True)), ("s2 accuracy", s2)]
-    made = [_ci(sums, bootstrap.paired_mean, reps).select(F.lit(name).alias("contrast"), "*") for name, sums in parts]
+    made = [_ci(sums, bootstrap.paired_mean, reps, folder).select(F.lit(name).alias("contrast"), "*") for name, sums in parts]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @query
 def bootstrap_ci_full(s, d):
-    return bootstrap_ci(s, d, FULL_REPS)
+    return bootstrap_ci(s, d, FULL_REPS, shared_folder(s))
 
 
 @query
 def paired_ci_full(s, d):
-    return paired_ci(s, d, FULL_REPS)
+    return paired_ci(s, d, FULL_REPS, shared_folder(s))
 
 
 @query
 def subset_ci_full(s, d):
-    return subset_ci(s, d, FULL_REPS)
+    return subset_ci(s, d, FULL_REPS, shared_folder(s))
 
 
 @query
 def contrast_table_full(s, d):
-    return contrast_table(s, d, FULL_REPS)
+    return contrast_table(s, d, FULL_REPS, shared_folder(s))
 
 
 @query
@@ -626,11 +634,9 @@ def stratified_split(s, d):
 
 @query
 def capped_sample(s, d):
-    """Twenty rows of single-role regions: candidates in the order of a hash, few of each document and role, so that a bounded number is enough."""
+    """Twenty single-role regions, few of each document and role."""
     rows = _roled(s, d).filter((F.bit_count("mask") == 1) & ~F.col("is_nested")).select("case_id", "region_idx", "mask")
-    held = [r.asDict() for r in rows.orderBy(F.xxhash64("case_id", "region_idx"), "case_id", "region_idx").limit(2000).collect()]
-    chosen = splitting.capped_sample(held, 20, lambda r: r["mask"], 4, 13)
-    return s.createDataFrame([(r["case_id"], r["region_idx"], r["mask"]) for r in chosen], "case_id long, region_idx long, mask long")
+    return splitting.capped_sample(rows, 20, "mask", 4, "case_id", "region_idx")
 
 
 def _texts(s, d) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.roles import ROLES
+from ..functions.text import LETTER, slice_
+from ..operators import spans as span_algebra
+
 SPAN = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("provenance", T.StringType()), T.StructField("candidate_source", T.StringType())])
 DOCUMENT = T.StructType([T.StructField("canonical_case_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("text_len", T.IntegerType()), T.StructField("text_sha256", T.StringType()), T.StructField("source", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))])
 
@@ -54,6 +58,86 @@ def corpus(spark: SparkSession, root: str, adjudicated: str = "Annotator_C", oth
     return out
 
 
+def normalised(spark: SparkSession, folder: str) -> DataFrame:
+    """The spans that normalisation keeps of a folder of documents: case_id, b, e, label (its number), kind, letter; a label outside the inventory is an error."""
+    docs = load(spark, folder)
+    number = F.array_position(F.array(*map(F.lit, ROLES)), F.col("label")) - 1
+    known = F.when(number >= 0, number).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), "label")).cast("long"))
+    rows = spans(docs).join(docs.select("case_id", "text"), "case_id")
+    letter = slice_(F.col("text"), F.col("b"), F.col("e")).rlike(LETTER)
+    return span_algebra.normalise(rows.select("case_id", "b", "e", known.alias("label"), "kind", letter.alias("letter")))
+
+
+def texts(spark: SparkSession, folder: str, expected: DataFrame | None = None) -> DataFrame:
+    """case_id, text and text_sha256 alone of a folder of documents; a hash other than the expected one (case_id, text_sha256) is an error."""
+    found = load(spark, folder).select("case_id", "text", "text_sha256")
+    if expected is None:
+        return found
+    joined = found.join(expected.select("case_id", F.col("text_sha256").alias("_expected")), "case_id", "left")
+    checked = F.when(F.col("_expected").isNotNull() & (F.col("_expected") != F.col("text_sha256")), F.raise_error(F.concat(F.lit("not the expected text: "), "case_id")).cast("string")).otherwise(F.col("text"))
+    return joined.select("case_id", checked.alias("text"), "text_sha256")
+
+
+def read_split(spark: SparkSession, folder: str, schema: T.StructType | str, *splits: str, kind: str = "json", status: str | None = None) -> DataFrame:
+    """Rows of the named splits (all without a name) that :func:`write_split` wrote, of one status if it is given; other splits' files are not read, and the status is pushed to the scan."""
+    found = spark.read.schema(schema).format(kind).load(folder)
+    if splits:
+        found = found.filter(F.col("split").isin(*splits))
+    return found.filter(F.col("status") == status) if status else found
+
+
+#: Predictions of spans and of sentences.
+SPAN_PREDICTIONS = "id string, case_id string, gold array<string>, probs array<double>"
+SENTENCE_PREDICTIONS = "id string, case_id string, gold string, pred string, probs array<double>"
+
+
+def read_predictions(spark: SparkSession, folder: str, schema: str = SPAN_PREDICTIONS) -> DataFrame:
+    return spark.read.schema(schema).json(folder)
+
+
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two systems' predictions side by side by id, as structs a and b, in any order of rows; ids or gold labels that differ are an error."""
+    left, right = (x.select("id", F.struct(*x.columns).alias(k)) for x, k in ((a, "a"), (b, "b")))
+    both = left.join(right, "id", "full")
+    same = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("a.gold").eqNullSafe(F.col("b.gold"))
+    return both.select(F.when(same, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("not the same examples: "), "id")).cast("string")).alias("id"), "a", "b")
+
+
+def write_answers(answers: DataFrame, folder: str, multi: bool, fallback: str | None = None) -> None:
+    """Parsed answers (id, case_id, gold, codes) as predictions: vectors of 0 and 1 over the roles, or the first code, or else the fallback."""
+    if multi:
+        made = answers.select("id", "case_id", "gold", F.array(*(F.array_contains("codes", r).cast("double") for r in ROLES)).alias("probs"))
+    else:
+        made = answers.select("id", "case_id", "gold", F.coalesce(F.get("codes", F.lit(0)), F.lit(fallback)).alias("pred"))
+    made.write.json(folder)
+
+
+def definitions(path: str) -> dict[str, str]:
+    """Role definitions of a JSON file; one for each role."""
+    found = json.loads(Path(path).read_text())
+    if missing := [r for r in ROLES if r not in found]:
+        raise ValueError(f"no definition: {missing}")
+    return {r: found[r] for r in ROLES}
+
+
+def mock_corpus(root: str, documents: int = 4, sentences: int = 11) -> None:
+    """A small made-up corpus of three annotators: each document has a span of two roles, a crossing pair, a nested pair, and a sentence that two spans share evenly; the second annotator's files have no text."""
+    for k in range(documents):
+        said = [f"Sentence {j} of case {k} has {'some ' * (j % 3)}words." for j in range(sentences)]
+        text = "".join(x + ("\n\n" if j % 2 else " ") for j, x in enumerate(said))
+        at = [text.index(x) for x in said]
+        end = [a + len(x) for a, x in zip(at, said, strict=True)]
+        half = (at[8] + end[8]) // 2
+        marks = [(at[0], end[0], 0), (at[1], end[2], 1), (at[1], end[2], 2), (at[3], end[5], 3), (at[4], end[6], 4), (at[7], end[7], 5), (at[8], half, 6), (half, 2 * half - at[8], 7), (at[9], end[10], 6), (at[10], end[10], 8)]
+        for name in ("Annotator_C", "annotator_A", "annotator_B"):
+            folder = Path(root) / name
+            folder.mkdir(parents=True, exist_ok=True)
+            own = marks if name == "Annotator_C" else marks[: 5 + k % 3]
+            listed = [{"begin": b, "end": e, "label": ROLES[r]} for b, e, r in own]
+            body = {"canonical_case_id": f"M{k:04d}", "text_len": len(text), "text_sha256": hashlib.sha256(text.encode()).hexdigest(), "spans": listed}
+            (folder / f"M{k:04d}.json").write_text(json.dumps(body | ({} if name == "annotator_B" else {"text": text})))
+
+
 def setting(name: str, given: str | None = None, config: str = "spanloom.local.json") -> str:
     """A path by argument, environment variable or local file, in that order."""
     if given:

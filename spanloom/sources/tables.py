@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.roles import N_ROLES
 from ..functions.text import LETTER, slice_
 
-EXCLUDED: list[int] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,11 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def cases(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents as cases: case_id, n_chars and the named columns."""
+    """Documents as cases: case_id, n_chars and the named columns. A document without text, or without a count of its characters, is no case, as it can carry no span."""
     docs = table(spark, sf_dir, "documents", "doc_id", "n_chars", *columns)
     return docs.filter("n_chars > 0").withColumnRenamed("doc_id", "case_id")
 
 
+def modelling(docs: DataFrame, excluded: Sequence[object]) -> DataFrame:
+    """The cases without those that are left out of modelling by id."""
+    return docs.filter(~F.col("case_id").isin(list(excluded))) if excluded else docs
+
+
 def spans(spark: SparkSession, sf_dir: str, letters: bool = False) -> DataFrame:
     """case_id, b, e, label, kind, prov of twelve spans a case and those derived from them; with letters also whether the slice has a letter.
 

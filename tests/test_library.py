@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import importlib.util
 import json
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import bootstrap, duplicates, features, indexing, models
+from spanloom.operators import bootstrap, duplicates, features, grid, indexing, manifests, models, validation
 from spanloom.plans import catalogue
 from spanloom.sources import annotations, tables
 from spanloom.streaming import incremental
@@ -114,8 +115,8 @@ def test_incremental(spark, tmp_path):
 
 
 def test_intervals_take_5000_replicates(spark, monkeypatch):
-    asked, made = [], bootstrap.hash_weights
-    monkeypatch.setattr(bootstrap, "hash_weights", lambda docs, reps: asked.append(reps) or made(docs, reps))
+    asked, made = [], bootstrap.replicates
+    monkeypatch.setattr(bootstrap, "replicates", lambda sums, reps, *more: asked.append(reps) or made(sums, reps, *more))
     for name in ("macro_ci", "bootstrap_ci_full", "paired_ci_full", "subset_ci_full", "contrast_table_full"):
         catalogue.QUERIES[name](spark, SF)
     assert asked == [5000] * 7
@@ -128,6 +129,70 @@ def test_intervals_take_5000_replicates(spark, monkeypatch):
     assert np.allclose([got.ci_low, got.ci_high], np.percentile(values, [2.5, 97.5]), atol=1e-6)
 
 
+def test_replicates_draw_as_many_documents_as_there_are(spark, monkeypatch, tmp_path):
+    """Over several parts: each replicate draws all documents' number, and the spread is that of draws from all at once."""
+    monkeypatch.setattr(bootstrap, "PART", 7)
+    given = [(i, 1, float(i % 10)) for i in range(60)]
+    sums = spark.createDataFrame(given, "case_id long, n long, total double")
+    rows = bootstrap.replicates(sums, 4000, f"file://{tmp_path}").collect()
+    assert len(rows) == 4000 and {r.n for r in rows} == {60.0}
+    means = np.array([r.total / r.n for r in rows])
+    rng = np.random.default_rng(1)
+    plain = np.array([x[2] for x in given])[rng.integers(0, 60, (4000, 60))].mean(axis=1)
+    assert abs(means.mean() - plain.mean()) < 0.05 and abs(means.std() - plain.std()) < 0.03
+    got = bootstrap.wide_interval(sums, 4000, bootstrap.mean, f"file://{tmp_path}").head()
+    assert got.point == 4.5 and np.allclose([got.ci_low, got.ci_high], np.percentile(plain, [2.5, 97.5]), atol=0.1)
+    assert bootstrap.replicates(sums.limit(0), 10, f"file://{tmp_path}").count() == 0
+
+
+def test_manifests_and_fingerprints(spark):
+    docs = spark.createDataFrame([("b", "One. Two."), ("a", "Three."), ("c", "...")], "case_id string, text string")
+    cut = grid.sentences(docs)
+    own = {r.case_id: r for r in manifests.grid_manifest(docs, cut).collect()}
+    assert (own["b"].n_sentences, own["c"].n_sentences) == (2, 0) and own["b"].grid_sha256 == hashlib.sha256(b"[[0,4],[5,9]]").hexdigest()
+    assert manifests.grid_fingerprint(cut) == hashlib.sha256(b'{"a":[[0,6]],"b":[[0,4],[5,9]]}').hexdigest()
+    assert manifests.fingerprint({"b": "é", "a": [1]}, "split") == hashlib.sha256('{"a":[1],"b":"é"}'.encode()).hexdigest() == manifests.fingerprint({"b": "é", "a": [1], "created_utc": 1}, "split")
+    assert manifests.fingerprint({"b": 1, "a": [1]}, "audit") == hashlib.sha256(b'{"a": [1], "b": 1}').hexdigest()
+    halves = grid.segmented(docs, lambda t: [(0, len(t) // 2), (len(t) // 2, len(t))]).orderBy("case_id", "sent_idx").collect()
+    assert [(r.case_id, r.sent_idx, r.b, r.e) for r in halves] == [("a", 0, 0, 3), ("a", 1, 3, 6), ("b", 0, 0, 4), ("b", 1, 5, 9)]
+
+
+def test_readers_of_splits_and_predictions(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "x", "LABELED", "train"), ("2", "y", "UNLABELED", "train"), ("3", "z", "LABELED", "test")], "id string, text string, status string, split string")
+    annotations.write_split(rows, f"{tmp_path}/rows")
+    read = lambda *splits, **more: sorted(r.id for r in annotations.read_split(spark, f"{tmp_path}/rows", rows.schema, *splits, **more).collect())
+    assert read() == ["1", "2", "3"] and read("train") == ["1", "2"] and read("train", "test", status="LABELED") == ["1", "3"]
+    one = spark.createDataFrame([("1", "c", ["FACTS"], [0.1234567] + [0.0] * 8), ("2", "c", [], [0.5] * 9)], annotations.SPAN_PREDICTIONS)
+    annotations.write_predictions(one, f"{tmp_path}/pred")
+    back = annotations.read_predictions(spark, f"{tmp_path}/pred")
+    assert {r.id: r.probs[0] for r in back.collect()} == {"1": 0.123457, "2": 0.5}
+    assert annotations.aligned(one, back.orderBy(F.desc("id"))).count() == 2
+    for other in (back.filter("id = '1'"), back.withColumn("gold", F.array(F.lit("ISSUE")))):
+        with pytest.raises(Exception, match="not the same examples"):
+            annotations.aligned(one, other).collect()
+    answers = spark.createDataFrame([("1", "c", ["FACTS"], ["ISSUE", "FACTS"]), ("2", "c", ["FACTS"], [])], "id string, case_id string, gold array<string>, codes array<string>")
+    annotations.write_answers(answers, f"{tmp_path}/multi", True)
+    assert {r.id: [k for k, v in enumerate(r.probs) if v] for r in annotations.read_predictions(spark, f"{tmp_path}/multi").collect()} == {"1": [1, 2], "2": []}
+    annotations.write_answers(answers.withColumn("gold", F.lit("FACTS")), f"{tmp_path}/one", False, "ANALYSIS")
+    assert {r.id: r.pred for r in annotations.read_predictions(spark, f"{tmp_path}/one", annotations.SENTENCE_PREDICTIONS).collect()} == {"1": "ISSUE", "2": "ANALYSIS"}
+
+
+def test_mock_corpus_and_expected_texts(spark, tmp_path):
+    annotations.mock_corpus(str(tmp_path))
+    assert annotations.corpus(spark, f"file://{tmp_path}").count() == 12
+    kept = annotations.normalised(spark, f"file://{tmp_path}/Annotator_C")
+    assert kept.select("case_id").distinct().count() == 4 and kept.filter("label not between 0 and 8").count() == 0
+    own = annotations.texts(spark, f"file://{tmp_path}/Annotator_C")
+    assert annotations.texts(spark, f"file://{tmp_path}/Annotator_C", own).count() == 4
+    with pytest.raises(Exception, match="not the expected text"):
+        annotations.texts(spark, f"file://{tmp_path}/Annotator_C", own.withColumn("text_sha256", F.lit("0"))).collect()
+
+
+def test_marker_is_found_at_any_depth(spark):
+    df = spark.createDataFrame([({"a": ["x", "to be\ndeferred"]}, "l"), ({"Defer": ["x"]}, "l"), ({"a": ["deferral"]}, "l"), ({}, "DEFER")], "meta map<string,array<string>>, label string")
+    assert [r.d for r in df.select(validation.has_defer(F.col("meta"), F.col("label")).alias("d")).collect()] == [True, True, False, True]
+
+
 def test_catalogue(spark):
     missing = set(catalogue.ORACLES) - set(catalogue.QUERIES)
     assert not missing
@@ -140,9 +205,15 @@ def test_scan_reads_only_what_it_needs(spark):
     assert "text:string" not in plan and "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,0)]" in plan
 
 
-def test_entry_without_llm():
-    spec = importlib.util.spec_from_file_location("entry_alone", "__spark_entry__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    module._LLM = module._PIPELINE = False
-    assert not any(k.startswith("op") and k[2].isdigit() for k in module.queries()) and module.oracle_sql()
+def test_entry_without_llm(monkeypatch):
+    """As if the folders were not there, and as if what they import were not."""
+    for missing in ("spanloom.llm", "corpus_pipeline", "public_tokenizers"):
+        for name in [n for n in sys.modules if n.startswith("spanloom.llm") or n == "corpus_pipeline"]:
+            monkeypatch.delitem(sys.modules, name)
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, missing, None)
+            spec = importlib.util.spec_from_file_location("entry_alone", "__spark_entry__.py")
+            module = importlib.util.module_from_spec(spec)
+            spec.loader.exec_module(module)
+        assert module.oracle_sql() and "projection_stats" in module.queries() and "pipeline" not in module.queries()
+        assert missing == "corpus_pipeline" or not any(k.startswith("op") and k[2].isdigit() for k in module.queries())

@@ -18,12 +18,12 @@ def rows(spark, items, text_letter=True):
 
 
 def test_region_collapse(spark):
-    got = spans.regions(rows(spark, [(0, 50, PLAINTIFF), (0, 50, LAW), (50, 100, ANALYSIS)])).orderBy("region_idx").collect()
-    assert [(r.b, r.e, r["mask"]) for r in got] == [(0, 50, 1 << PLAINTIFF | 1 << LAW), (50, 100, 1 << ANALYSIS)]
+    got = spans.regions(rows(spark, [(4, 31, PLAINTIFF), (4, 31, LAW), (33, 90, ANALYSIS)])).orderBy("region_idx").collect()
+    assert [(r.b, r.e, r["mask"]) for r in got] == [(4, 31, 1 << PLAINTIFF | 1 << LAW), (33, 90, 1 << ANALYSIS)]
 
 
 def test_nesting_and_crossing(spark):
-    found = spans.regions(rows(spark, [(0, 100, FACTS), (10, 20, LAW), (10, 20, FACTS), (30, 60, PLAINTIFF), (50, 70, ANALYSIS)]))
+    found = spans.regions(rows(spark, [(2, 88, ISSUE), (7, 19, LAW), (7, 19, ISSUE), (25, 47, PLAINTIFF), (40, 66, ANALYSIS)]))
     assert {(r.i, r.j) for r in spans.nesting(found).collect()} == {(0, 1), (0, 2), (0, 3)}
     assert [(r.i, r.j) for r in spans.nesting(found).filter("same_role").collect()] == [(0, 1)]
     assert [(r.i, r.j) for r in spans.crossing(found).collect()] == [(2, 3)]
@@ -35,9 +35,9 @@ def test_touching_spans_do_not_cross(spark):
 
 
 def test_near_identical_rows_go(spark):
-    made = rows(spark, [(10, 100, FACTS), (24, 100, FACTS), (24, 100, ISSUE), (10, 60, FACTS)])
+    made = rows(spark, [(3, 70, LAW), (15, 70, LAW), (15, 70, ISSUE), (3, 40, LAW)])
     log = spans.near_identical(made).collect()
-    assert [(r.b, r.e, r.kept_b, r.kept_e) for r in log] == [(24, 100, 10, 100)]
+    assert [(r.b, r.e, r.kept_b, r.kept_e) for r in log] == [(15, 70, 3, 70)]
     once = spans.normalise(made)
     assert once.count() == 3 and spans.normalise(once).count() == 3
 
@@ -67,11 +67,11 @@ def sentence(spark, *bounds):
 
 def test_projection_kinds(spark):
     one = lambda items, b, e: projection.project(sentence(spark, (b, e)), spans.regions(rows(spark, items))).head()
-    assert one([(0, 30, FACTS), (30, 100, ANALYSIS)], 20, 60).label == ANALYSIS
-    assert one([(0, 30, FACTS)], 40, 60).status == "UNLABELED"
-    assert one([(0, 50, FACTS), (0, 50, LAW)], 0, 50).ambiguity_kind == "co_extensive_multi_role"
-    assert one([(0, 100, FACTS), (10, 60, LAW)], 10, 60).ambiguity_kind == "nested"
-    assert one([(0, 30, FACTS), (30, 60, LAW)], 10, 50).ambiguity_kind == "other"
+    assert one([(5, 22, FACTS), (22, 81, ISSUE)], 13, 49).label == ISSUE
+    assert one([(5, 22, FACTS)], 25, 37).status == "UNLABELED"
+    assert one([(5, 41, ISSUE), (5, 41, LAW)], 5, 41).ambiguity_kind == "co_extensive_multi_role"
+    assert one([(1, 77, ISSUE), (9, 33, LAW)], 9, 33).ambiguity_kind == "nested"
+    assert one([(5, 25, ISSUE), (25, 55, LAW)], 15, 35).ambiguity_kind == "other"
 
 
 def cut(spark, text):
@@ -87,21 +87,21 @@ def test_sentences(spark):
 
 
 def test_decoding(spark):
-    df = spark.createDataFrame([([900, 600] + [0] * 7,), ([200, 300] + [0] * 7,), ([300, 300] + [0] * 7,)], "p array<long>")
-    assert [r.m for r in df.select(metrics.decode(F.col("p"), F.lit(500)).alias("m")).collect()] == [3, 2, 1]
+    df = spark.createDataFrame([([0, 0, 700, 810] + [0] * 5,), ([110, 0, 0, 0, 140] + [0] * 4,), ([0, 40, 40] + [0] * 6,)], "p array<long>")
+    assert [r.m for r in df.select(metrics.decode(F.col("p"), F.lit(500)).alias("m")).collect()] == [12, 16, 2]
 
 
 def test_scores(spark):
-    df = spark.createDataFrame([(1 << FACTS, 1 << FACTS), (1 << PLAINTIFF | 1 << LAW, 1 << PLAINTIFF), (1 << ISSUE, 1 << FACTS)], "gold long, pred long")
-    assert [round(r.set_f1, 6) for r in metrics.per_example(df).collect()] == [1.0, 0.666667, 0.0]
+    df = spark.createDataFrame([(1 << LAW, 1 << LAW), (1 << ISSUE | 1 << ANALYSIS | 1 << FACTS, 1 << ISSUE), (1 << FACTS, 1 << LAW), (1 << ISSUE, 1 << ISSUE)], "gold long, pred long")
+    assert [round(r.set_f1, 6) for r in metrics.per_example(df).collect()] == [1.0, 0.5, 0.0, 1.0]
     got = metrics.summary(df, []).head()
-    assert got.macro_f1 == round((2 / 3 + 1) / 9, 6) and got.micro_f1 == round(4 / 7, 6)
+    assert got.macro_f1 == round((2 / 3 + 1) / 9, 6) and got.micro_f1 == round(6 / 10, 6)
 
 
 def test_runs(spark):
-    df = spark.createDataFrame([("a", i) for i in (0, 1, 3, 4)] + [("b", 0), ("b", 2)], "case_id string, sent_idx long")
+    df = spark.createDataFrame([("a", i) for i in (2, 3, 4, 7)] + [("b", 1), ("b", 2), ("b", 9)], "case_id string, sent_idx long")
     got = {(r.case_id, r.first, r.last) for r in sequences.run_bounds(df, "case_id", "sent_idx").collect()}
-    assert got == {("a", 0, 1), ("a", 3, 4), ("b", 0, 0), ("b", 2, 2)}
+    assert got == {("a", 2, 4), ("a", 7, 7), ("b", 1, 2), ("b", 9, 9)}
 
 
 def test_windows(spark):
@@ -118,8 +118,8 @@ def test_windows(spark):
 
 
 def test_terciles(spark):
-    df = spark.createDataFrame([(x,) for x in (5, 3, 9, 1, 7, 2, 8, 4, 6)], "n_regions long")
-    assert tuple(splitting.volume_bounds(df).head()) == (4, 7)
+    df = spark.createDataFrame([(x,) for x in (50, 31, 12, 12, 77, 20, 8, 45)], "n_regions long")
+    assert tuple(splitting.volume_bounds(df).head()) == (12, 45)
 
 
 def test_split_keeps_groups_and_sizes():
@@ -136,11 +136,26 @@ def test_split_keeps_groups_and_sizes():
         assert all(abs(sum(flags[i][name] for i in one if one[i] == s) - total * k / 100) <= 2 for s, k in sizes.items())
 
 
-def test_capped_sample():
-    rows_ = [{"case_id": i % 3, "k": i, "role": i % 2} for i in range(30)]
-    got = splitting.capped_sample(rows_, 4, lambda r: r["role"], 2, 1)
-    assert len(got) == 4 and max(sum(r["role"] == x for r in got) for x in (0, 1)) == 2
-    assert len(splitting.capped_sample(rows_, 25, lambda r: r["role"], 2, 1)) == 25
+def test_split_without_room_is_an_error():
+    flags = {i: {"a": 1} for i in range(4)}
+    for groups, sizes in (([[0, 1, 2], [3]], {"x": 2, "y": 2}), ([[0], [1], [2]], {"x": 4}), ([[0], [1], [2], [3]], {"x": 3})):
+        try:
+            splitting.stratified_group_split(flags, groups, sizes, 1)
+        except ValueError:
+            continue
+        raise AssertionError(groups)
+    assert splitting.stratified_group_split({}, [], {"x": 0}, 1) == {}
+
+
+def test_capped_sample(spark):
+    df = spark.createDataFrame([(i % 40, i, i % 4) for i in range(400)], "case_id long, k long, role long")
+    got = splitting.capped_sample(df, 8, "role", 2, "case_id", "k").collect()
+    assert len(got) == 8 and {r.level for r in got} == {1} and all(sum(r.role == x for r in got) == 2 for x in range(4))
+    assert max(sum(r.case_id == x.case_id for r in got) for x in got) <= 2
+    more = splitting.capped_sample(df, 20, "role", 2, "case_id", "k").collect()
+    assert len(more) == 20 and sorted({r.level for r in more}) == [1, 2, 3]
+    assert splitting.capped_sample(df, 1000, "role", 2, "case_id", "k").count() == 400
+    assert splitting.capped_sample(df.limit(0), 5, "role", 2, "case_id", "k").count() == 0
 
 
 def test_interval_joins_are_equi_joins(spark):
