@@ -7,10 +7,11 @@ languages of a host, its domain and the whole table are spread. A page's posteri
 likelihoods of its text, declaration and suffix with a prior of its host, which is smoothed towards
 the domain's, and that towards the table's; the page itself is left out of its host's counts.
 
-Cases: a null or empty page has no text and is judged by address and host alone; a page without a
+Cases: an empty table of pages gives no rows; a very long page or document is taken whole, its
+declaration wherever it stands; a null or empty page has no text and is judged by address and host alone; a page without a
 declaration or suffix takes no evidence from it; ties go to the first language by name; repeated
 pages are judged alike; without labelled documents the language is null. Columns besides id, url,
-html, and the documents' text and language, are left out.
+html, and the documents' text and language, are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keep = np.ones(len(low), dtype=bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
+    keep[off[:-1][off[:-1] < len(low)]] = True  # what stands before a text is another's
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[keep]
     low = low[keep]
     if len(low) < 3:
