@@ -9,8 +9,9 @@ times bins. The order along a cut is (dimension, checksum, row), so equal texts
 except that a group too large to go to one side whole (over GROUP_PART of a shard) is divided.
 
 Law: ``bytes``. Cases: a null text has size 16 and checksum 0; ties and repeated rows are told
-apart by row; with fewer rows than shards some shards are empty; an empty table gives no rows.
-Columns other than key and text are left out.
+apart by row; with fewer rows than shards some shards are empty; an empty table gives no rows; a
+very long text counts with all its bytes and may make a shard of its own too large, as rows are not
+divided. Columns other than key and text are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -95,12 +96,12 @@ def shards(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str =
     body = F.coalesce(F.col("body"), F.lit(""))
     base = scratch.table(
         docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).select(
-            "key", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("checksum"), F.monotonically_increasing_id().alias("row"), F.array(*metadata(body)).alias("dims")
+            "key", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("checksum"), F.monotonically_increasing_id().alias("row"), F.array(*metadata(body)).alias("dims"), F.lit(1).cast("long").alias("node")
         ),
         "rows",
     )
     n_dims = 3
-    rows = base.withColumn("node", F.lit(1).cast("long"))
+    rows, level = base, 0
     leaves = {1: n_shards}  # of the nodes that are still to be split
     numbers: dict[int, tuple[int, int]] = {1: (0, n_shards)}
     root: list[tuple[int, int]] = []
@@ -129,7 +130,10 @@ def shards(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str =
             for c in open_:
                 c.refine(sorted(bins[c.node]), limits[c.node])
         table = spark.createDataFrame([(c.node, c.dim, *c.found) for c in cuts], "node long, dim int, v0 long, v1 long, v2 long")
-        rows = rows.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("v0").isNull(), F.col("node")).when(_less(table), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)).select(*base.columns, "node")
+        rows = rows.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("v0").isNull(), F.col("node")).when(_less(table), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)).select(*base.columns)
+        level += 1
+        rows = scratch.table(rows, f"level{level}")  # one join deep again
+        scratch.drop(f"level{level - 1}" if level > 1 else "rows")
         new: dict[int, int] = {}
         for node, k in leaves.items():
             first, _ = numbers.pop(node)
