@@ -11,7 +11,9 @@ usual case, needs no shuffle but the counts. Passes are narrow and keep no text.
 
 Cases: a null text, of a document or an item, has no words. Repeated items count once by their id;
 an item without an id marks words but is not listed. Repeated documents are each reported. An empty
-benchmark hits nothing. Columns besides key and text are left out.
+benchmark hits nothing, and an empty table of documents gives no rows. A very long text is taken
+whole, its words in blocks. Equally rare shingles go by hash. Columns besides key and text are left
+out, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -8,10 +8,11 @@ counts beside how many different articles of its host each hash stands, and cont
 several have go as well. Plain paragraphs of an article are never taken for a template, nor is an
 element that holds most of it.
 
-Cases: a null or empty page has no text; malformed markup is read as browsers do in the main
+Cases: an empty table gives no rows; repeated pages are each reported; a very long page is parsed
+whole; of equally long articles the first counts; a null or empty page has no text; malformed markup is read as browsers do in the main
 (unclosed elements end with their parent, a stray "<" is text); pages with the same article count
 once. A url without a host is a host of its own, the empty one. Columns besides id, url and
-html are left out.
+html are left out, so their names cannot clash.
 """
 
 from __future__ import annotations

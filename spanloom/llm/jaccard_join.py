@@ -21,8 +21,9 @@ within a group of copies are never made into rows; a block gives a spanning fore
 
 Cases: null or empty texts have no shingles and link with nothing; a text of fewer words than a
 shingle has its whole sequence as its one shingle; rows that share a doc_id are one node; rows
-without a doc_id get no component; an empty table gives none. Columns besides key and text are
-left out.
+without a doc_id get no component; an empty table gives no rows; a very long text is one set, its
+words taken in blocks; ties in rarity go by hash, and a similarity at the threshold links. Columns
+besides key and text are left out, so their names cannot clash.
 """
 
 from __future__ import annotations

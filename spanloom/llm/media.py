@@ -9,6 +9,12 @@ square; blocks beyond the payload are empty. A comment segment holds the unpadde
 
 :func:`decode_scan` is a decoder of baseline scans in general: any Huffman tables, restart intervals,
 run lengths and chroma sampling; restart segments are its lanes.
+
+Cases: a null text is as an empty one, a block of zeros; repeated rows and equal texts give equal
+files and features; a very long text is one image, up to the format's 65,535 samples a side (some
+67 million blocks, 4 GB), beyond which it is an error; an empty table gives no rows; a file that is
+no baseline JPEG, or ends early, is an error; columns other than the key and the text (or media) are
+left out, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -216,6 +216,83 @@ def test_jpeg_decoder_reads_runs_and_long_intervals():
         media.parse(b"\xff\xd8" + media._segment(0xC2, b"\0" * 9))
 
 
+def test_media_features_against_the_payload(spark):
+    """Thumbnails and their hashes by plain loops from the payload's bytes, without the decoder; repeated rows, clashing names, an empty table."""
+    given = ["", "plain text " * 30, "é" * 700, "x" * 64, "y" * 65, "x" * 64]
+    docs = spark.createDataFrame([(i, t, "a", 5) for i, t in enumerate(given)] + [(None, None, "b", 6)], "doc_id long, text string, media string, width int")
+    rows = media.features(media.encode(docs)).collect()
+    assert len(rows) == len(given) + 1
+    for r in rows:
+        b = (given[r.doc_id] if r.doc_id is not None else "").encode()
+        p = b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b))
+        n = len(p) // 64
+        wide = 1
+        while wide * wide < n:
+            wide += 1
+        high = -(-n // wide)
+        level = [min(255, max(0, (v - 128 if v < 128 else v - 127) // 8 + 128)) for v in p[::64]] + [128] * (wide * high - n)
+        bits = 0
+        for y in range(8):
+            line = [level[y * high // 8 * wide + x * wide // 9] for x in range(9)]
+            for x in range(8):
+                bits = bits << 1 | (line[x] > line[x + 1])
+        assert (r.width, r.height, r.feature) == (8 * wide, 8 * high, f"{8 * wide}x{8 * high}:{bits:016x}") and r.thumbnail_hash % (1 << 64) == bits
+    same = {(r.media_sha256, r.feature) for r in rows if r.doc_id in (3, 5)}
+    assert len(same) == 1 and media.features(media.encode(docs.limit(0))).count() == 0
+
+
+def test_words_of_long_texts(monkeypatch):
+    """Words, their beginnings and shingles are the same whether or not a text is taken in blocks."""
+    rng = random.Random(15)
+    text = " ".join("".join(rng.choice("abcé") for _ in range(rng.choice([1, 4, 9, 200]))) for _ in range(400)) + " " + "z" * 3000
+    raw, off = arrow(text)
+    whole = tn.Words(raw, off, tn.ALNUM, (4, 5))
+    monkeypatch.setattr(tn, "CHUNK_BYTES", 300)
+    cut = tn.Words(raw, off, tn.ALNUM, (4, 5))
+    for a, b in ((whole.hash, cut.hash), (whole.heads, cut.heads), (whole.start, cut.start), (whole.end, cut.end), (whole.shingles(5)[0], cut.shingles(5)[0])):
+        assert np.array_equal(a, b)
+
+
+def test_long_texts_in_joins(spark, monkeypatch):
+    monkeypatch.setattr(tn, "CHUNK_BYTES", 200)
+    rng = random.Random(16)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    given = [" ".join(long), " ".join([*long[:2990], *"abcdefghij"]), " ".join(long[:1500]), "short one", None]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, given), 4, 85).collect()}
+    assert got == dict(enumerate(brute_components(given, 4, 85)))
+    items = [(1, " ".join(long[1495:1520]))]
+    hits = {r.doc_id: (r.n_words, sum(h["last"] - h["first"] for h in r.hits), list(r["items"])) for r in decontaminate.find(frame(spark, given), spark.createDataFrame(items, "item_id long, text string"), 10).collect()}
+    assert hits == brute_hits(given, items, 10)
+    assert decontaminate.find(frame(spark, given).limit(0), spark.createDataFrame(items, "item_id long, text string"), 10).count() == 0
+
+
+def test_link_block_against_all_pairs():
+    """Derived answers lose no connection: blocks of near copies, of chains and of unlike sets, within and between."""
+    rng = np.random.default_rng(17)
+    for kind in range(30):
+        base = rng.integers(1, 10**9, 60).astype(np.uint64)
+        sets = []
+        for _ in range(24):
+            x = base.copy()
+            x[rng.integers(0, 60, rng.integers(0, 4 + kind))] = rng.integers(1, 10**9, 1)
+            sets.append(np.unique(x[: rng.integers(20, 61)] if kind % 3 == 0 else x))
+        link = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) and len(np.intersect1d(a, b)) > 0
+
+        def parts(pairs, n):
+            root = list(range(n))
+            for i, j in pairs:
+                x, y = root[i], root[j]
+                root = [x if r == y else r for r in root]
+            return [root.index(r) for r in root]
+
+        own = jaccard_join.link_block(sets, None, 80)
+        assert all(link(sets[i], sets[j]) for i, j in own)
+        assert parts(own, 24) == parts([(i, j) for i in range(24) for j in range(i) if link(sets[i], sets[j])], 24)
+        made = jaccard_join.link_block(sets[:10], sets[10:], 80)
+        assert all(link(sets[i], sets[10 + j]) for i, j in made)
+        assert parts([(i, 10 + j) for i, j in made], 24) == parts([(i, j) for i in range(10) for j in range(10, 24) if link(sets[i], sets[j])], 24)
+
+
 def lines_of(t):
     return (t or "").split("\n")
 
@@ -407,6 +484,32 @@ def test_kd_shards(spark):
     assert len({r.shard for r in kd_shards.shards(docs.limit(3), 8).collect()}) <= 3
 
 
+def test_kd_shards_keep_groups_and_divide_hot_ones(spark):
+    """Groups of equal texts that a cut can spare stay whole; one of a third of all bytes is shared out; repeated ids and clashing names."""
+    rng = random.Random(18)
+    small = [f"copy {g} {'z' * 30}" for g in range(40) for _ in range(3)]
+    hot = ["hot " * 30] * 500
+    given = [*small, *hot, *("w" * rng.randint(60, 180) + str(i) for i in range(900))]
+    docs = spark.createDataFrame([(i // 2, t, 1, "x") for i, t in enumerate(given)], "doc_id long, text string, shard int, node string")
+    rows = kd_shards.shards(docs, 8).collect()
+    groups, load = defaultdict(set), defaultdict(int)
+    for r in rows:
+        groups[r.text_crc32].add(r.shard)
+        load[r.shard] += r["size"]
+    assert all(len(groups[zlib.crc32(t.encode())]) == 1 for t in small)
+    assert len(groups[zlib.crc32(hot[0].encode())]) > 1 and sum(load.values()) == sum(len(t) + 16 for t in given)
+    mean = sum(load.values()) / 8
+    assert max(abs(v - mean) for v in load.values()) < 0.06 * mean
+
+
+def test_html_extract_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, host int"
+    rows = [(1, "http://x/", "<article><p>One</p></article>", "t", 1)] * 3 + [(None, None, "<p>" + "word " * 200_000, "t", 2)]
+    got = sorted((r.page_id or 0, r.text) for r in html_extract.extract(spark.createDataFrame(rows, schema)).collect())
+    assert got[1:] == [(1, "One")] * 3 and len(got[0][1].split()) == 200_000
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_html_extract(spark):
     page = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head>
     <body class="no-comments"><header><p>Site</p></header><nav><ul><li><a href="/">Home</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div>
@@ -465,6 +568,35 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_of_odd_tables(spark, monkeypatch):
+    docs, labels, _ = toxic_tables(spark)
+    model = toxicity.fit(docs, labels)
+    odd = spark.createDataFrame([(1, "w1 grumblea grumbleb grumblec w2", "x", 0.5)] * 2 + [(2, "w1 " * 50_000 + "grumblea grumbleb grumblec", "x", 0.5), (None, None, "y", 0.1)], "doc_id long, text string, label string, score double")
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id is not None}) == 1 and {r.doc_id for r in got if r.score >= queries.TOXIC} == {1, 2}
+    monkeypatch.setattr(tn, "CHUNK_BYTES", 100)
+    assert sorted(r.score for r in toxicity.score(odd.coalesce(1), model).collect()) == sorted(r.score for r in got)
+    assert toxicity.score(odd.limit(0), model).count() == 0
+    one = toxicity.fit(docs, labels.filter("toxic = 0"))
+    assert len({r.score for r in toxicity.score(odd, one).collect()}) == 1
+    empty = toxicity.fit(docs.limit(0), labels)
+    assert len({r.score for r in toxicity.score(odd, empty).collect()}) == 1
+
+
+def test_toxicity_terms_against_plain_counts(spark):
+    """The vocabulary by plain counts over words and their beginnings."""
+    docs, labels, truth = toxic_tables(spark)
+    rows = {r.doc_id: (r.text or "") for r in docs.collect() if r.doc_id in truth}
+    have = {i: {x for w in t.split() for x in (w, *(w[:k] + "*" for k in (4, 5) if len(w) > k))} for i, t in rows.items()}
+    n1, n0 = sum(truth.values()), len(truth) - sum(truth.values())
+    tested = {x: (sum(x in have[i] for i in truth if truth[i]), sum(x in have[i] for i in truth if not truth[i])) for x in set().union(*have.values())}
+    tested = {x: c for x, c in tested.items() if sum(c) >= 3}
+    level = toxicity._beyond(0.01 / len(tested))
+    chosen = {x for x, (a, b) in tested.items() if (n1 + n0) * (a * n0 - b * n1) ** 2 / (n1 * n0 * (a + b) * max(n1 + n0 - a - b, 1)) >= level and not 1 / 16 < (a + 0.5) * (n0 - b + 0.5) / ((n1 - a + 0.5) * (b + 0.5)) < 16}
+    model = toxicity.fit(docs, labels)
+    assert len(model.known) == len(chosen) > 5 and all(x.startswith("grum") for x in chosen)
+
+
 def test_toxicity_neighbours_are_exact(spark):
     docs, labels, _ = toxic_tables(spark)
     model = toxicity.fit(docs, labels)
@@ -521,6 +653,57 @@ def test_language_id(spark):
     assert {r.lang for r in none} == {None}
 
 
+def test_language_id_of_odd_tables(spark):
+    docs = spark.createDataFrame([("the and of with that", "en"), ("le la des une avec", "fr")] * 10, "text string, lang string")
+    schema = "page_id long, url string, html string, lang string, host int"
+    rows = [(1, "http://a.fr/", "<p>" + "avec une des la " * 50, "x", 1)] * 3 + [(2, "http://a.fr/", "<p>" + "with that and of " * 30_000, "x", 1)]
+    got = language_id.identify(spark.createDataFrame(rows, schema), docs).collect()
+    assert sorted((r.page_id, r.lang) for r in got) == [(1, "fr")] * 3 + [(2, "en")] and len({r.probability for r in got if r.page_id == 1}) == 1
+    assert language_id.identify(spark.createDataFrame([], schema), docs).count() == 0
+
+
+def test_language_id_by_brute_force(spark):
+    """Posteriors by plain loops over counts, from the operator's own text likelihoods."""
+    rng = random.Random(19)
+    words = {"en": "the and of with that", "fr": "le la des une avec"}
+    docs = spark.createDataFrame([(" ".join(rng.choice(words[x].split()) for _ in range(30)), x) for x in words for _ in range(10)], "text string, lang string")
+    rows = []
+    for i in range(40):
+        x = rng.choice(["en", "fr"])
+        body = " ".join(rng.choice(words[x if rng.random() < 0.8 else "en"].split()) for _ in range(rng.choice([0, 1, 2, 8])))
+        rows.append((i, f"http://{rng.choice(['a', 'b'])}.site{rng.randrange(2)}.{rng.choice(['com', 'fr'])}/", f"<html{rng.choice(['', ' lang=en', ' lang=fr'])}><p>{body}</p>"))
+    got = {r.page_id: r for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    names, table = language_id.likelihoods(docs)
+    table = (table - table.mean(axis=0)).astype(np.float32)
+    logs, pages = {}, {}
+    for i, url, html in rows:
+        code, _ = language_id._trigrams(*arrow(language_id._MARKUP.sub(" ", html)))
+        weight = min(language_id.TEMPER, language_id.MOST / max(len(code), 1))
+        logs[i] = [float(table[k][code].astype(float).sum()) * weight for k in range(2)]
+        host = url.split("/")[2]
+        verdict = None if not any(logs[i]) else int(np.argmax(logs[i]))
+        pages[i] = {"host": host, "domain": host.split(".", 1)[1], "suffix": host.rsplit(".", 1)[1], "declared": language_id.declared(html), "verdict": verdict}
+    total = [sum(p["verdict"] == k for p in pages.values()) for k in range(2)]
+    base = [(t + 1) / (sum(total) + 2) for t in total]
+
+    def counts(column, i, own):
+        return [sum(p["verdict"] == k and p[column] == pages[i][column] for j, p in pages.items() if own or j != i) for k in range(2)]
+
+    for i, p in pages.items():
+        prior = base
+        for column in ("domain", "host"):
+            c = counts(column, i, False)
+            prior = [(c[k] + 4 * prior[k]) / (sum(c) + 4) for k in range(2)]
+        score = [logs[i][k] + np.log(prior[k]) for k in range(2)]
+        for column in ("declared", "suffix"):
+            c = counts(column, i, True)
+            if p[column] is not None and sum(c):
+                score = [score[k] + np.log((c[k] + base[k]) / (total[k] + 1)) for k in range(2)]
+        mass = sum(np.exp(x - max(score)) for x in score)
+        assert np.isclose(got[i].probability, 1 / mass, atol=1e-4), i
+        assert got[i].lang == names[int(np.argmax(score))] or np.isclose(score[0], score[1], atol=1e-6)
+
+
 def test_declared_language_is_found_behind_a_long_prefix():
     assert language_id.declared(f"<!-- {'licence ' * 2000} <html lang=xx> -->{' ' * 9000}<!DOCTYPE html>\n<HTML class=a LANG='FR-ca'><p lang=de>") == "fr"
     assert language_id.declared("<html><p>" + "<html lang=de>") is None and language_id.declared("<p lang=de>") is None and language_id.declared("<!-- <html lang=de>") is None
