@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.roles import N_ROLES, ROLES, bit, has, role_name
-from ..operators import bootstrap, manifests, metrics, sequences, spans, splitting
+from ..operators import baselines, bootstrap, features, manifests, metrics, sequences, spans, splitting
 from ..sources import tables
-from .catalogue import _docs, _n, _paired_grid, _projected, _regions, _roled, _s1, _s2, _sentences, _split, _volumes, query
+from .catalogue import _docs, _n, _paired_grid, _projected, _regions, _roled, _s1, _s2, _sentence_text, _sentences, _split, _texts, _volumes, query, shared_folder
 from .oracles import F1, ORACLES, SPLIT, SUMMARY, _decode, _interval, _name, sql
 
 #: Words beyond which a span counts as over the limit.
@@ -345,3 +345,83 @@ ORACLES["capped_sample"] = sql(
     f"""SELECT case_id, region_idx, mask, level FROM (SELECT r.*, CASE WHEN dr <= 2 AND rr <= 4 THEN 1 WHEN dr <= 3 AND rr <= 6 THEN 2 ELSE 3 END AS level
     FROM ({_RANKED}) r LEFT JOIN (SELECT case_id, region_idx, row_number() OVER (PARTITION BY mask ORDER BY (dr > 2), key, case_id, region_idx) AS rr FROM ({_RANKED}) WHERE dr <= 3) USING (case_id, region_idx)) ORDER BY level, key, case_id, region_idx LIMIT 20"""
 )
+
+
+def _region_rows(s, d) -> DataFrame:
+    """Regions as rows for the baselines: row, part, mask and text."""
+    own = _roled(s, d).join(_docs(s, d).select("case_id", F.col("text").alias("whole")), "case_id")
+    return own.select(F.concat_ws(":", "case_id", "region_idx").alias("row"), _split().alias("part"), "mask", T.slice_(F.col("whole"), F.col("b"), F.col("e")).alias("text"))
+
+
+def _label_rows(s, d) -> DataFrame:
+    return _texts(s, d).select(F.concat_ws(":", "case_id", "sent_idx").alias("row"), _split().alias("part"), "mask", "text")
+
+
+def _settings(s: SparkSession, table: list[dict]) -> DataFrame:
+    rows = [(r["low"], r["high"], r["strength"], r["weight"], r["n_features"], r["threshold"], r["set_f1"], r["macro_f1"], r["micro_f1"], r["exact"], not k) for k, r in enumerate(table)]
+    return s.createDataFrame(rows, "low int, high int, strength double, weight string, n_features long, threshold int, set_f1 double, macro_f1 double, micro_f1 double, exact double, chosen boolean")
+
+
+def _scored(df: DataFrame, unit: str) -> DataFrame:
+    ids = F.split("row", ":")
+    return df.select(F.get(ids, F.lit(0)).cast("long").alias("case_id"), F.get(ids, F.lit(1)).cast("long").alias(unit), "pred", *(F.round(F.get("p", F.lit(r)) / 1000, 6).alias(f"p{r}") for r in range(N_ROLES)))
+
+
+@query
+def s1_baseline_select(s, d):
+    """The sixteen settings of one regression for each role, with their best thresholds on val."""
+    return _settings(s, baselines.compare(_region_rows(s, d), shared_folder(s), softmax=False)[0])
+
+
+@query
+def s1_baseline_test(s, d):
+    return _scored(baselines.apply(_region_rows(s, d), shared_folder(s), softmax=False)[0], "region_idx")
+
+
+@query
+def s2_baseline_select(s, d):
+    """The sixteen settings of a multinomial regression."""
+    return _settings(s, baselines.compare(_label_rows(s, d), shared_folder(s), softmax=True)[0]).drop("threshold")
+
+
+@query
+def s2_baseline_test(s, d):
+    return _scored(baselines.apply(_label_rows(s, d), shared_folder(s), softmax=True)[0], "sent_idx")
+
+
+#: Places of the hashed features of a CRF.
+CRF_FEATURES = 1 << 14
+
+
+def _crf_rows(s, d) -> DataFrame:
+    """Runs of labelled sentences with hashed lexical features and marks of a run's ends."""
+    own = _sentence_text(s, d).join(_projected(s, d).filter("status = 'LABELED'").select("case_id", "sent_idx", F.col("label").cast("int").alias("label")), ["case_id", "sent_idx"])
+    marked = sequences.flags(own, "case_id", "sent_idx")
+    lexical = F.transform(features.lexical(F.col("text"), F.col("sent_idx"), F.col("grid_n")), lambda x: F.concat_ws("=", x["f"], x["v"]))
+    ends = F.array_compact(F.array(F.when(F.col("is_first"), "BOS"), F.when(F.col("is_last"), "EOS")))
+    hashed = F.array_distinct(F.transform(F.concat(lexical, ends), lambda x: F.pmod(F.xxhash64(x), F.lit(CRF_FEATURES)).cast("int")))
+    return marked.select("case_id", "run", "sent_idx", "label", hashed.alias("features"), _split().alias("part"))
+
+
+def _crf_parts(s, d) -> list[DataFrame]:
+    rows = _crf_rows(s, d)
+    return [rows.filter(F.col("part") == p).drop("part") for p in ("train", "val", "test")]
+
+
+@query
+def s2_crf_select(s, d):
+    """The nine settings of a chain CRF by their scores on val."""
+    train, val, _ = _crf_parts(s, d)
+    table = baselines.compare_crfs(train, val, CRF_FEATURES)[0]
+    return s.createDataFrame([(r["c1"], r["c2"], r["macro_f1"], r["micro_f1"], not k) for k, r in enumerate(table)], "c1 double, c2 double, macro_f1 double, micro_f1 double, chosen boolean")
+
+
+@query
+def s2_crf_test(s, d):
+    """Labels and marginals of the chosen CRF."""
+    train, val, test = _crf_parts(s, d)
+    table, fitted = baselines.compare_crfs(train, val, CRF_FEATURES)
+    if not table:
+        raise ValueError("there are no validation rows to compare settings on")
+    got = baselines.decode_crfs(test, [fitted[table[0]["setting"]]])
+    return got.select("case_id", "sent_idx", "label", *(F.round(F.get("p", F.lit(r)), 6).alias(f"p{r}") for r in range(N_ROLES)))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import bootstrap, duplicates, features, grid, indexing, manifests, models, validation
+from spanloom.operators import baselines, bootstrap, duplicates, features, grid, indexing, manifests, models, validation
 from spanloom.plans import catalogue
 from spanloom.sources import annotations, tables
 from spanloom.streaming import incremental
@@ -217,3 +217,59 @@ def test_entry_without_llm(monkeypatch):
             spec.loader.exec_module(module)
         assert module.oracle_sql() and "projection_stats" in module.queries() and "pipeline" not in module.queries()
         assert missing == "corpus_pipeline" or not any(k.startswith("op") and k[2].isdigit() for k in module.queries())
+
+
+def test_regressions_reach_the_minimum():
+    rng = np.random.default_rng(1)
+    dense = rng.random((80, 6)) * (rng.random((80, 6)) < 0.6)
+    cols, vals = [np.flatnonzero(r) for r in dense], [r[r != 0] for r in dense]
+    x = baselines.Sparse.of(cols, vals, np.arange(6))
+    assert np.allclose(x.dot(np.arange(6.0)), dense @ np.arange(6.0)) and np.allclose(x.back(np.ones(80)), dense.sum(axis=0))
+    y = dense[:, 0] + 0.3 * rng.random(80) > 0.5
+    for weight in baselines.WEIGHTS:
+        w = baselines.fit_binary(x, y, 3.0, weight)
+        each = np.where(y, 80 / (2 * y.sum()), 80 / (2 * (~y).sum())) if weight == "balanced" else np.ones(80)
+        full = np.c_[dense, np.ones(80)]
+        slope = w + 3.0 * full.T @ (each * (1 / (1 + np.exp(-full @ w)) - y))
+        assert np.abs(slope).max() < 3e-3
+    assert baselines.fit_binary(x, np.zeros(80, dtype=bool), 1.0, "balanced")[-1] == -50
+    label = np.where(dense[:, 1] > 0.5, 2, np.where(dense[:, 2] > 0.5, 4, 7))
+    w = baselines.fit_softmax(x, label, 10.0, "none")
+    z = full @ w.T
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    assert p[:, [0, 1, 3, 5, 6, 8]].max() < 1e-9 and (p.argmax(axis=1) == label).mean() > 0.9
+    own = (p - np.eye(9)[label])[:, [2, 4, 7]]
+    slope = 10.0 * own.T @ full
+    slope[:, :-1] += w[[2, 4, 7], :-1]
+    assert np.abs(slope).max() < 1e-2
+
+
+def test_vectors_and_baseline(spark, tmp_path):
+    said = {1: "alpha beta", 2: "gamma delta", 4: "alpha gamma"}
+    rows = [(f"{k}:{m}", "train" if k < 40 else "val" if k < 60 else "test", m, said[m & 3 if m & 3 in said else 4] if m != 3 else "alpha beta gamma delta") for k in range(80) for m in (1, 2, 3)]
+    df = spark.createDataFrame([*rows, ("e:0", "test", 1, "")], "row string, part string, mask long, text string")
+    known = {r.gram: (r.idx, r.idf) for r in baselines.vocabulary(df.filter("part = 'train'"), 2, 4).collect()}
+    assert sorted(i for i, _ in known.values()) == list(range(len(known))) and " alp" in known and "a b" not in known
+    df_ = spark.createDataFrame([(g, *v) for g, v in known.items()], "gram string, idx int, idf double")
+    got = {r.row: r for r in baselines.vectors(df, df_, 2, 4).collect()}
+    assert np.isclose(sum(v * v for v in got["5:3"].vals), 1) and got["5:3"].cols == sorted(got["5:3"].cols) and got["e:0"].cols == []
+    tf: dict = {}
+    for word in said[1].split():
+        for n in (2, 3, 4):
+            for i in range(len(word) + 3 - n):
+                tf[f" {word} "[i : i + n]] = tf.get(f" {word} "[i : i + n], 0) + 1
+    w = {known[g][0]: (1 + np.log(c)) * known[g][1] for g, c in tf.items()}
+    norm = np.sqrt(sum(x * x for x in w.values()))
+    assert got["5:1"].cols == sorted(w) and np.allclose(got["5:1"].vals, [w[i] / norm for i in sorted(w)])
+    found, chosen = baselines.apply(df, f"file://{tmp_path}", softmax=False)
+    assert chosen["strength"] in baselines.STRENGTHS and all(r.pred == r.mask for r in found.filter("row <> 'e:0'").collect())
+    one, _ = baselines.apply(df.filter("mask <> 3"), f"file://{tmp_path}", softmax=True)
+    assert all(r.pred == r.mask and abs(sum(r.p) - 1000) < 1e-6 for r in one.filter("row <> 'e:0'").collect())
+
+
+def test_crf_penalties():
+    seqs = [([np.array([v]), np.array([2])], [v, 1 - v]) for v in (0, 1) for _ in range(30)]
+    plain, sparse = models.Crf(2, 50).fit(seqs, 10), models.Crf(2, 50).fit(seqs, 10, c1=5.0)
+    assert np.abs(sparse.w).sum() + np.abs(sparse.t).sum() < np.abs(plain.w).sum() + np.abs(plain.t).sum()
+    assert all(plain.viterbi(plain.scores(f)) == y for f, y in seqs)
