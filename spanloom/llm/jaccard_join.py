@@ -28,7 +28,8 @@ besides key and text are left out, so their names cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -328,7 +329,7 @@ def _unpack(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
 
 
-def _link_within(blocks: DataFrame, percent: int) -> DataFrame:
+def _link_within(blocks: DataFrame, link: Callable) -> DataFrame:
     """Links within blocks: rows (block, node, hashes), many blocks in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +337,7 @@ def _link_within(blocks: DataFrame, percent: int) -> DataFrame:
         for group in common.runs(batches, "block"):
             if group.num_rows > 1:
                 nodes = group.column("node").to_pylist()
-                for i, j in link_block(_unpack(group), None, percent):
+                for i, j in link(_unpack(group), None):
                     a.append(nodes[i])
                     b.append(nodes[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -344,7 +345,7 @@ def _link_within(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.select("block", "node", "hashes").repartition(common.partitions(blocks.sparkSession), "block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
-def _link_between(pairs: DataFrame, percent: int) -> DataFrame:
+def _link_between(pairs: DataFrame, link: Callable) -> DataFrame:
     """Links between the two sides of each pair of blocks: rows (pair, side, node, part, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +356,7 @@ def _link_between(pairs: DataFrame, percent: int) -> DataFrame:
                 continue
             nodes = [s.column("node").to_pylist() for s in sides]
             parts = [s.column("part").to_pylist() for s in sides]
-            for i, j in link_block(_unpack(sides[0]), _unpack(sides[1]), percent, *parts):
+            for i, j in link(_unpack(sides[0]), _unpack(sides[1]), group_left=parts[0], group_right=parts[1]):
                 a.append(nodes[0][i])
                 b.append(nodes[1][j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -363,7 +364,7 @@ def _link_between(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("pair", "side", "node", "part", "hashes").repartition(common.partitions(pairs.sparkSession), "pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
 
-def _load(docs: DataFrame, placed: DataFrame, n: int, table: np.ndarray) -> DataFrame:
+def load(docs: DataFrame, placed: DataFrame, n: int, table: np.ndarray) -> DataFrame:
     """The columns of placed and hashes (binary) of its documents; the texts are joined before their words are taken, so no others are."""
     side = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
     names = [c for c in placed.columns if c != "node"]
@@ -390,7 +391,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     side = lambda m, m2, name: classes.select(F.col("mark").alias(m), F.col("mark2").alias(m2), F.col("node").alias(name))
     candidates = hubs(tied).join(side("a", "a2", "x"), ["a", "a2"]).join(side("b", "b2", "y"), ["b", "b2"]).filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     clusters = components(candidates, scratch, "clusters")
-    links = _cluster_links(own, clusters.join(classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node"), n, percent, words, scratch)
+    sized = clusters.join(classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
+    links = cluster_links(sized, lambda placed: load(own, placed, n, words), partial(link_block, percent=percent), scratch)
+    return reached(marked, classes, links, scratch).select(F.col("key").alias(key), "n_shingles", "component_id")
+
+
+def reached(marked: DataFrame, classes: DataFrame, links: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """key, n_shingles and component_id of every row of marked, by the links between nodes of classes and by equal marks."""
+    linkable = marked.filter("n_shingles > 0 and key is not null")
     # A key with several texts stands in several classes; only then do copies join as links too.
     if linkable.select("key", "mark", "mark2").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count():
         links = links.unionByName(linkable.join(classes.drop("n_shingles"), ["mark", "mark2"]).filter("key <> node").select(F.col("node").alias("a"), F.col("key").alias("b")))
@@ -402,11 +410,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
         some = marked.filter("n_shingles > 0").join(found, ["mark", "mark2"], "left")
         none = marked.filter("n_shingles = 0").withColumn("found", F.col("key"))
         out = some.unionByName(none).withColumn("component_id", F.when(F.col("key").isNotNull(), F.col("found")))
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id")
+    return out.select("key", "n_shingles", "component_id")
 
 
-def _cluster_links(own: DataFrame, clusters: DataFrame, n: int, percent: int, words: np.ndarray, scratch: common.Scratch) -> DataFrame:
-    """A spanning forest of all links within the clusters (node, component, n_shingles)."""
+def cluster_links(clusters: DataFrame, load: Callable[[DataFrame], DataFrame], link: Callable, scratch: common.Scratch) -> DataFrame:
+    """A spanning forest of all links within the clusters (node, component, n_shingles); load adds hashes to rows with a node, and link works as :func:`link_block`."""
     # Blocks of near equal cost in order of size: running sums over the sizes of each cluster, and
     # rows of one size spread by hash over the blocks that their cost needs.
     costed = clusters.withColumn("cost", F.greatest(F.col("n_shingles"), F.lit(BLOCK_SHINGLES // BLOCK_SETS)))
@@ -416,18 +424,18 @@ def _cluster_links(own: DataFrame, clusters: DataFrame, n: int, percent: int, wo
     placed = scratch.table(costed.join(steps, ["component", "n_shingles"]).select("node", "component", number.alias("number"), F.xxhash64("component", number).alias("block")), "placed")
     large = scratch.table(placed.groupBy("component").agg(F.max("number").alias("most")).filter("most > 0").select("component"), "large")
     small = placed.join(large, "component", "left_anti").select("node", "block")
-    within = scratch.table(_link_within(_load(own, small, n, words), percent), "within")
+    within = scratch.table(_link_within(load(small), link), "within")
     if not large.limit(1).count():
         return within
-    rest = scratch.table(_load(own, placed.join(large, "component").select("node", "component", "number", "block"), n, words), "blocks")
+    rest = scratch.table(load(placed.join(large, "component").select("node", "component", "number", "block")), "blocks")
     # First round: each block with itself and with its cluster's first.
-    known = within.unionByName(scratch.table(_link_within(rest, percent), "own"))
+    known = within.unionByName(scratch.table(_link_within(rest, link), "own"))
     first = rest.filter("number = 0").select("component", "node", "hashes")
     numbers = rest.filter("number > 0").select("component", "number").distinct()
     pair = F.xxhash64("component", "number").alias("pair")
     side = lambda df, k, part="node": df.withColumn("side", F.lit(k)).withColumn("part", F.col(part))
     round1 = side(first.join(numbers, "component").select(pair, "node", "hashes"), 0).unionByName(side(rest.filter("number > 0").select(pair, "node", "hashes"), 1))
-    known = known.unionByName(scratch.table(_link_between(round1, percent), "first"))
+    known = known.unionByName(scratch.table(_link_between(round1, link), "first"))
     # Last round: sets outside their cluster's main part, packed into blocks of their own, meet every block of the cluster.
     now = components(known, scratch, "round").select("node", F.col("component").alias("part"))
     state = rest.select("node", "component", "number").join(now, "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -445,4 +453,4 @@ def _cluster_links(own: DataFrame, clusters: DataFrame, n: int, percent: int, wo
     left = packed.join(grid, ["component", "pack"]).select(pair, "node", "part").join(hashes, "node")
     right = state.select("node", "component", "number", "part").join(grid, ["component", "number"]).select(pair, "node", "part").join(hashes, "node")
     round2 = side(left, 0, "part").unionByName(side(right, 1, "part"))
-    return known.unionByName(scratch.table(_link_between(round2, percent), "last"))
+    return known.unionByName(scratch.table(_link_between(round2, link), "last"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, hard_negatives, html_extract, jaccard_join, kd_shards, language_id, line_dedup, media, spelling, token_store, toxicity
+from . import bpe, common, decontaminate, hard_negatives, html_extract, jaccard_join, kd_shards, language_id, line_dedup, media, minhash, spelling, token_store, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +133,14 @@ n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() O
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(common.documents(spark, sf_dir, "doc_id", "text"), n=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP12_SQL = OP5_SQL.replace("100 * k >= 85 *", "100 * k >= 80 *").replace("AS component_id\n", "AS component_id, d.doc_id <= coalesce(min(walk.m), d.doc_id) AS kept\n")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(common.documents(spark, sf_dir, "doc_id", "text"), length=7, least=2, times=10, drop=31)
 
@@ -149,7 +157,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_media_jpeg": op10_media_jpeg,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_minhash": op12_minhash,
     "op13_spelling": op13_spelling,
 }
 
-ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_minhash": OP12_SQL}
