@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import draws
 from .indexing import dense_index
 
 SEED, ALPHA = 13, 0.05
@@ -29,67 +30,22 @@ def hash_weights(docs: DataFrame, reps: int, seed: int = SEED) -> DataFrame:
     return drawn.join(index, "idx").select("rep", "case_id", "k")
 
 
-def numpy_weights(docs: DataFrame, reps: int, seed: int = SEED) -> DataFrame:
-    """The same from numpy's generator on the driver, for few documents: documents in order, reps x documents draws of one generator."""
-    import numpy as np
-
-    ids = [r.case_id for r in docs.select("case_id").distinct().orderBy("case_id").collect()]
-    rng, rows = np.random.default_rng(seed), []
-    for rep in range(reps):
-        count = np.bincount(rng.integers(0, len(ids), size=len(ids)), minlength=len(ids))
-        rows += [(rep, ids[i], int(c)) for i, c in enumerate(count) if c]
-    return docs.sparkSession.createDataFrame(rows, f"rep long, case_id {docs.schema['case_id'].dataType.simpleString()}, k long")
-
-
-#: Documents that one task resamples at most, about.
-PART = 20_000
-
-
-def replicates(sums: DataFrame, reps: int, folder: str, seed: int = SEED) -> DataFrame:
-    """rep and the weighted sums of all additive columns, in which no weight ever leaves its task.
-
-    Draws with replacement from all documents are dealt to parts by multinomial counts first, drawn on
-    the driver (replicates x parts numbers), and then to a part's documents: together they are as many
-    uniform draws from all. A task adds its own documents up, so what is shuffled is a row for each
-    replicate and part.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    spark, columns = sums.sparkSession, [c for c in sums.columns if c != "case_id"]
-    cast = sums.select("case_id", *(F.col(c).cast("double") for c in columns))
-    path = f"{folder}/sums-{uuid.uuid4().hex}"
-    n = cast.count()
-    parts = max(1, -(-n // PART))
-    cast.withColumn("part", F.pmod(F.xxhash64("case_id"), F.lit(parts)).cast("int")).write.parquet(path)
-    held = spark.read.parquet(path)
-    sizes = {r.part: r.n for r in held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return spark.createDataFrame([], "rep long, " + ", ".join(f"{c} double" for c in columns))
-    order = sorted(sizes)
-    drawn = np.random.default_rng(seed).multinomial(n, np.array([sizes[p] for p in order]) / n, size=reps).astype(np.int32)
-    sent = spark.sparkContext.broadcast({p: drawn[:, k] for k, p in enumerate(order)})
-
-    def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        table = table.sort_by("case_id")
-        values = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
-        rng, out = np.random.default_rng((seed, part)), np.empty((reps, len(columns)))
-        for rep, k in enumerate(sent.value[part].tolist()):
-            out[rep] = np.bincount(rng.integers(0, len(values), size=k), minlength=len(values)) @ values
-        return pa.Table.from_pydict({"rep": np.arange(reps), **{c: out[:, i] for i, c in enumerate(columns)}})
-
-    each = held.groupBy("part").applyInArrow(run, "rep long, " + ", ".join(f"{c} double" for c in columns))
-    return each.groupBy("rep").agg(*(F.sum(c).alias(c) for c in columns))
+def intervals(sums: DataFrame, reps: int, statistics: dict[str, Callable[[], Column]], folder: str, seed: int = SEED, alpha: float = ALPHA, places: int = 6) -> DataFrame:
+    """statistic, point, ci_low, ci_high and n_documents of several statistics over the same replicates, by numpy's own draws."""
+    columns = [c for c in sums.columns if c != "case_id"]
+    path = f"{folder}/interval-{uuid.uuid4().hex}"
+    sums.select("case_id", *(F.col(c).cast("double") for c in columns)).write.parquet(path)
+    held = sums.sparkSession.read.parquet(path)
+    apart = lambda df: df.select(*(c for c in df.columns if c in ("rep", "n_documents")), F.explode(F.array(*(F.struct(F.lit(name).alias("statistic"), f().alias("value")) for name, f in statistics.items()))).alias("x"))
+    point = apart(held.agg(*(F.sum(c).alias(c) for c in columns), F.count(F.lit(1)).alias("n_documents"))).select("x.statistic", F.round("x.value", places).alias("point"), "n_documents")
+    values = apart(draws.replicates(held, reps, folder, seed)).select("x.statistic", "x.value")
+    ends = values.groupBy("statistic").agg(F.round(F.percentile("value", alpha / 2), places).alias("ci_low"), F.round(F.percentile("value", 1 - alpha / 2), places).alias("ci_high"))
+    return point.join(ends, "statistic", "left").select("statistic", "point", "ci_low", "ci_high", "n_documents")
 
 
 def wide_interval(sums: DataFrame, reps: int, statistic: Callable[[], Column], folder: str, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """:func:`interval` of one group by :func:`replicates`, for thousands of replicates."""
-    columns = [c for c in sums.columns if c != "case_id"]
-    point = sums.agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in columns), F.count(F.lit(1)).alias("n_documents")).select("n_documents", F.round(statistic(), 6).alias("point"))
-    values = replicates(sums, reps, folder, seed).select(statistic().alias("value"))
-    ends = values.agg(F.percentile("value", alpha / 2).alias("low"), F.percentile("value", 1 - alpha / 2).alias("high"))
-    return point.crossJoin(ends).select("point", F.round("low", 6).alias("ci_low"), F.round("high", 6).alias("ci_high"), "n_documents")  # one row each
+    """:func:`interval` of one group by :func:`intervals`, for thousands of replicates."""
+    return intervals(sums, reps, {"": statistic}, folder, seed, alpha).drop("statistic")
 
 
 def interval(sums: DataFrame, weights: DataFrame, statistic: Callable[[], Column], by: list[str], alpha: float = ALPHA) -> DataFrame:

@@ -1 +1 @@
-from . import catalogue, evaluation, tokens  # noqa: F401  (the others add to the first's queries)
+from . import blocks, catalogue, evaluation, tokens  # noqa: F401  (the others add to the catalogue's queries)

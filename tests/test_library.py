@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import baselines, bootstrap, duplicates, features, grid, indexing, manifests, models, validation
+from spanloom.operators import baselines, blocks, bootstrap, draws, duplicates, features, grid, indexing, manifests, models, validation
 from spanloom.plans import catalogue
 from spanloom.sources import annotations, tables
 from spanloom.streaming import incremental
@@ -59,14 +59,14 @@ def test_dense_index(spark):
     assert {r.case_id: r.idx for r in got} == {i: k for k, i in enumerate(sorted(ids))}
 
 
-def test_bootstrap(spark):
+def test_bootstrap(spark, tmp_path):
     sums = spark.createDataFrame([(i, 2, float(i % 3)) for i in range(30)], "case_id long, n long, total double")
     w = bootstrap.hash_weights(sums, 20)
     per = w.groupBy("rep").agg(F.sum("k").alias("s")).collect()
     assert len(per) == 20 and {r.s for r in per} == {30}
     got = bootstrap.interval(sums, w, bootstrap.mean, []).head()
     assert got.ci_low <= got.point == 0.5 <= got.ci_high and got.n_documents == 30
-    again = bootstrap.interval(sums, bootstrap.numpy_weights(sums, 20), bootstrap.mean, []).head()
+    again = bootstrap.interval(sums, draws.weights(sums, 20, 13, f"file://{tmp_path}"), bootstrap.mean, []).head()
     assert again.ci_low <= 0.5 <= again.ci_high
     same = sums.withColumn("total_a", F.col("total") + 2).withColumn("total_b", F.col("total")).drop("total")
     flat = bootstrap.interval(same, w, bootstrap.paired_mean, []).head()
@@ -115,8 +115,8 @@ def test_incremental(spark, tmp_path):
 
 
 def test_intervals_take_5000_replicates(spark, monkeypatch):
-    asked, made = [], bootstrap.replicates
-    monkeypatch.setattr(bootstrap, "replicates", lambda sums, reps, *more: asked.append(reps) or made(sums, reps, *more))
+    asked, made = [], draws.replicates
+    monkeypatch.setattr(draws, "replicates", lambda sums, reps, *more: asked.append(reps) or made(sums, reps, *more))
     for name in ("macro_ci", "bootstrap_ci_full", "paired_ci_full", "subset_ci_full", "contrast_table_full"):
         catalogue.QUERIES[name](spark, SF)
     assert asked == [5000] * 7
@@ -129,20 +129,45 @@ def test_intervals_take_5000_replicates(spark, monkeypatch):
     assert np.allclose([got.ci_low, got.ci_high], np.percentile(values, [2.5, 97.5]), atol=1e-6)
 
 
-def test_replicates_draw_as_many_documents_as_there_are(spark, monkeypatch, tmp_path):
-    """Over several parts: each replicate draws all documents' number, and the spread is that of draws from all at once."""
-    monkeypatch.setattr(bootstrap, "PART", 7)
-    given = [(i, 1, float(i % 10)) for i in range(60)]
+@pytest.mark.parametrize("n,reps", [(1, 3), (2, 50), (8, 40), (37, 5000), (1000, 60)])
+def test_draws_are_those_of_numpy(spark, tmp_path, n, reps):
+    """Bit by bit, over slices that end within replicates, and with documents in order of any key."""
+    folder, rng = f"file://{tmp_path}", np.random.default_rng(13)
+    expected = np.array([np.bincount(rng.integers(0, n, size=n), minlength=n) for _ in range(reps)])
+    names = sorted(f"c{i * 7919 % 10007}" for i in range(n))
+    docs = spark.createDataFrame([(c, float(i), 1) for i, c in enumerate(names)][::-1], "case_id string, total double, n int")
+    size = max(64, n * reps // 10 // 2 * 2)
+    got = np.zeros_like(expected)
+    for r in draws.weights(docs, reps, 13, folder, size=size).collect():
+        got[r.rep, names.index(r.case_id)] = r.k
+    assert (got == expected).all()
+    sums = np.array([[r.total, r.n] for r in draws.replicates(docs, reps, folder, 13, size=size).orderBy("rep").collect()])
+    assert np.allclose(sums, expected @ np.stack([np.arange(n), np.ones(n)], axis=1))
+
+
+def test_draws_that_are_passed_over():
+    """A number of documents for which nearly a third of all halves goes, on every slice's own."""
+    n, rng = 3 * 2**30 + 1, np.random.default_rng(13)
+    kept = np.concatenate([draws.slice_draws(n, 13, k, 256) for k in range(20)])
+    assert len(kept) < 0.8 * 20 * 256 and (kept == rng.integers(0, n, size=len(kept))).all()
+
+
+def test_many_documents_meet_draws_in_a_shuffle(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, float(i * i % 11), 1) for i in range(90)], "case_id long, total double, n int")
+    whole = draws.replicates(docs, 30, f"file://{tmp_path}", 5).orderBy("rep").collect()
+    monkeypatch.setattr(draws, "SENT_BYTES", 100)
+    assert draws.replicates(docs, 30, f"file://{tmp_path}", 5, size=128).orderBy("rep").collect() == whole
+    assert draws.replicates(docs.limit(0), 10, f"file://{tmp_path}", 5).count() == 0
+    assert draws.weights(docs.limit(0), 10, 5, f"file://{tmp_path}").count() == 0
+
+
+def test_wide_intervals_against_numpy(spark, tmp_path):
+    given = [(i, 1 + i % 4, float(i * 5 % 13)) for i in range(41)]
     sums = spark.createDataFrame(given, "case_id long, n long, total double")
-    rows = bootstrap.replicates(sums, 4000, f"file://{tmp_path}").collect()
-    assert len(rows) == 4000 and {r.n for r in rows} == {60.0}
-    means = np.array([r.total / r.n for r in rows])
-    rng = np.random.default_rng(1)
-    plain = np.array([x[2] for x in given])[rng.integers(0, 60, (4000, 60))].mean(axis=1)
-    assert abs(means.mean() - plain.mean()) < 0.05 and abs(means.std() - plain.std()) < 0.03
-    got = bootstrap.wide_interval(sums, 4000, bootstrap.mean, f"file://{tmp_path}").head()
-    assert got.point == 4.5 and np.allclose([got.ci_low, got.ci_high], np.percentile(plain, [2.5, 97.5]), atol=0.1)
-    assert bootstrap.replicates(sums.limit(0), 10, f"file://{tmp_path}").count() == 0
+    rng, size, total = np.random.default_rng(13), np.array([g[1] for g in given]), np.array([g[2] for g in given])
+    values = [total[d].sum() / size[d].sum() for d in (rng.integers(0, 41, size=41) for _ in range(5000))]
+    got = bootstrap.wide_interval(sums, 5000, bootstrap.mean, f"file://{tmp_path}").head()
+    assert np.allclose([got.point, got.ci_low, got.ci_high], [total.sum() / size.sum(), *np.percentile(values, [2.5, 97.5])], atol=1e-6) and got.n_documents == 41
 
 
 def test_manifests_and_fingerprints(spark):
