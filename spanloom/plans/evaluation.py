@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.roles import N_ROLES, ROLES, bit, has, role_name
-from ..operators import baselines, bootstrap, features, manifests, metrics, sequences, spans, splitting
+from ..operators import baselines, bootstrap, features, fitting, manifests, metrics, sequences, spans, splitting
 from ..sources import tables
 from .catalogue import _docs, _n, _paired_grid, _projected, _regions, _roled, _s1, _s2, _sentence_text, _sentences, _split, _texts, _volumes, query, shared_folder
 from .oracles import F1, ORACLES, SPLIT, SUMMARY, _decode, _interval, _name, sql
@@ -375,7 +375,7 @@ def s1_baseline_select(s, d):
 
 @query
 def s1_baseline_test(s, d):
-    return _scored(baselines.apply(_region_rows(s, d), shared_folder(s), softmax=False)[0], "region_idx")
+    return _scored(fitting.apply(_region_rows(s, d), shared_folder(s), softmax=False)[0], "region_idx")
 
 
 @query
@@ -386,7 +386,7 @@ def s2_baseline_select(s, d):
 
 @query
 def s2_baseline_test(s, d):
-    return _scored(baselines.apply(_label_rows(s, d), shared_folder(s), softmax=True)[0], "sent_idx")
+    return _scored(fitting.apply(_label_rows(s, d), shared_folder(s), softmax=True)[0], "sent_idx")
 
 
 #: Places of the hashed features of a CRF.
@@ -418,10 +418,13 @@ def s2_crf_select(s, d):
 
 @query
 def s2_crf_test(s, d):
-    """Labels and marginals of the chosen CRF."""
+    """Labels and marginals of the chosen setting, fitted on all runs."""
     train, val, test = _crf_parts(s, d)
-    table, fitted = baselines.compare_crfs(train, val, CRF_FEATURES)
+    table, _ = baselines.compare_crfs(train, val, CRF_FEATURES)
     if not table:
         raise ValueError("there are no validation rows to compare settings on")
-    got = baselines.decode_crfs(test, [fitted[table[0]["setting"]]])
+    path = f"{shared_folder(s)}/runs"
+    fitting.chain_runs(train).write.parquet(path)
+    fitted = fitting.fit_chains(s.read.parquet(path), CRF_FEATURES, [(table[0]["c1"], table[0]["c2"])])
+    got = baselines.decode_crfs(test, fitted)
     return got.select("case_id", "sent_idx", "label", *(F.round(F.get("p", F.lit(r)), 6).alias(f"p{r}") for r in range(N_ROLES)))
