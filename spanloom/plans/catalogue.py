@@ -313,23 +313,23 @@ def shingles(s, d):
 
 @query
 def dup_pairs(s, d):
-    return duplicates.linked(duplicates.pairs(_docs(s, d))).select("a", "b", F.round("jac", 4).alias("jac"), F.round("cont", 4).alias("cont"))
+    return duplicates.pairs(_docs(s, d), shared_folder(s)).select("a", "b", F.round("jac", 4).alias("jac"), F.round("cont", 4).alias("cont"))
 
 
 @query
 def dup_topk_unlinked(s, d):
-    found = duplicates.pairs(_docs(s, d)).filter((F.col("jac") < duplicates.JACCARD) & (F.col("cont") < duplicates.CONTAINMENT))
-    return duplicates.top(found).select("a", "b", F.round("jac", 6).alias("jac"))
+    return duplicates.top_unlinked(_docs(s, d), shared_folder(s)).select("a", "b", F.round("jac", 6).alias("jac"))
 
 
 @query
 def dup_groups(s, d):
     docs = _docs(s, d)
-    near = duplicates.linked(duplicates.pairs(docs)).select("a", "b")
+    folder = shared_folder(s)
+    near = duplicates.pairs(docs, folder).select("a", "b")
     own = docs.select("case_id", F.sha2("text", 256).alias("sha"))
     least = own.groupBy("sha").agg(F.min("case_id").alias("a"))
     copies = own.join(least, "sha").filter("case_id <> a").select("a", F.col("case_id").alias("b"))
-    return duplicates.components(docs, near.unionByName(copies), shared_folder(s))
+    return duplicates.components(docs, near.unionByName(copies), folder)
 
 
 @query

@@ -36,9 +36,10 @@ def audit(spark: SparkSession, a: Namespace) -> int:
 
 def dedup(spark: SparkSession, a: Namespace) -> int:
     docs = annotations.load(spark, a.dir).select("case_id", "text")
-    linked = duplicates.linked(duplicates.pairs(docs))
+    folder = shared_folder(spark)
+    linked = duplicates.pairs(docs, folder)
     copies = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("case_id").alias("a"), F.collect_list("case_id").alias("ids")).select("a", F.explode("ids").alias("b")).filter("a <> b")
-    roots = duplicates.components(docs, linked.select("a", "b").unionByName(copies), shared_folder(spark))
+    roots = duplicates.components(docs, linked.select("a", "b").unionByName(copies), folder)
     groups = sorted(sorted(r.ids) for r in roots.groupBy("root").agg(F.collect_list("case_id").alias("ids")).collect())
     pairs = [r.asDict() | {"kind": "near"} for r in linked.select("a", "b", F.round("jac", 4).alias("jaccard"), F.round("cont", 4).alias("containment")).orderBy(F.desc("jac"), "a", "b").collect()]
     pairs = [r.asDict() | {"jaccard": 1.0, "containment": 1.0, "kind": "exact"} for r in copies.orderBy("a", "b").collect()] + pairs

@@ -76,7 +76,7 @@ def test_bootstrap(spark, tmp_path):
 def test_duplicate_groups(spark, tmp_path):
     base = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, base), (2, base + " end"), (3, "other words only here"), (4, base)], "case_id long, text string")
-    found = duplicates.linked(duplicates.pairs(docs)).collect()
+    found = duplicates.pairs(docs, f"file://{tmp_path}").collect()
     assert [(r.a, r.b) for r in found] == [(1, 2)]
     edges = spark.createDataFrame([(1, 2), (2, 5), (5, 9), (3, 4)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 9, 11)], "case_id long")
