@@ -411,7 +411,9 @@ def test_jaccard_join_of_hot_lists_and_odd_rows(spark, monkeypatch):
     assert jaccard_join.join(odd.limit(0), 4, 85).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [1 << 18, 7, 60])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK", block)
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
     root = {}
@@ -426,7 +428,8 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     got = components.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "t"), "t").collect()
-    assert {r.node: r.component for r in got} == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert {r.node: r.component for r in got} == {x: find(x) for a, b in edges if a != b for x in (a, b)} and len(got) == len({r.node for r in got})
+    assert components.components(spark.createDataFrame([], "a long, b long"), common.Scratch(spark, "t"), "t").count() == 0
 
 
 def brute_hits(given, items, n):
