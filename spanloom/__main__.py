@@ -2,13 +2,14 @@
 
 run NAME DIR [--out DIR]: one query over a folder of tables, shown or written as Parquet.
 report DIR FILE: the corpus audit, the dataset summaries and the scores as Markdown.
-check DIR: exit code 1 if validation finds errors in a folder of annotated documents.
+check DIR: all errors and warnings of a folder of annotated documents and how it was reviewed; exit code 1 if there are errors.
 datasets DIR OUT: the span and sentence tables by split; an existing OUT is left alone.
 list: the names of all queries.
 audit DIR OUT: sizes, roles and nesting of a folder of annotated documents, as JSON.
 dedup DIR OUT: near-duplicate groups of a folder of annotated documents, as JSON.
 freeze-grid DIR OUT [--force]: the grid's manifest of a folder of annotated documents.
-split DIR DEDUP OUT --sizes train=..,val=..,test=.. [--force]: a split's manifest.
+split DIR DEDUP OUT --sizes train=..,val=..,test=.. [--grid GRID] [--force]: a split's manifest, which names the grid's.
+build DIR GRID SPLIT OUT [--vocabulary FILE]: the span and sentence tables of annotated documents, if the manifests fit them.
 verify DIR GRID SPLIT: exit code 1, and what differs, if the manifests do not fit the documents.
 mock OUT: a small made-up corpus.
 """
@@ -19,7 +20,6 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .plans import catalogue, corpus
 from .plans.report import report
@@ -31,13 +31,13 @@ AUDIT = ["audit_sizes", "audit_roles", "audit_multi", "audit_combos", "audit_nes
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="spanloom")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, given in (("run", ["name", "dir"]), ("report", ["dir", "out"]), ("check", ["dir"]), ("datasets", ["dir", "out"]), ("list", [])):
+    for name, given in (("run", ["name", "dir"]), ("report", ["dir", "out"]), ("datasets", ["dir", "out"]), ("list", [])):
         own = sub.add_parser(name)
         for x in given:
             own.add_argument(x)
         if name == "run":
             own.add_argument("--out")
-    for name, given in (("audit", ["dir", "out"]), ("dedup", ["dir", "out"]), ("freeze-grid", ["dir", "out"]), ("split", ["dir", "dedup", "out"]), ("verify", ["dir", "grid", "split"]), ("mock", ["out"])):
+    for name, given in (("audit", ["dir", "out"]), ("dedup", ["dir", "out"]), ("freeze-grid", ["dir", "out"]), ("split", ["dir", "dedup", "out"]), ("verify", ["dir", "grid", "split"]), ("check", ["dir"]), ("build", ["dir", "grid", "split", "out"]), ("mock", ["out"])):
         own = sub.add_parser(name)
         for x in given:
             own.add_argument(x)
@@ -46,6 +46,9 @@ def main(args: list[str] | None = None) -> int:
         if name == "split":
             own.add_argument("--sizes", required=True)
             own.add_argument("--seed", type=int, default=13)
+            own.add_argument("--grid")
+        if name == "build":
+            own.add_argument("--vocabulary")
     a = parser.parse_args(args)
     if a.command == "list":
         print("\n".join(catalogue.QUERIES))
@@ -65,16 +68,6 @@ def main(args: list[str] | None = None) -> int:
             annotations.write_split(catalogue.QUERIES[name](spark, a.dir), f"{a.out}/{name}")
     elif a.command in corpus.COMMANDS:
         return corpus.COMMANDS[a.command](spark, a)
-    elif a.command == "check":
-        docs = annotations.load(spark, a.dir)
-        spans = annotations.spans(docs)
-        n = F.char_length("text")
-        bad = docs.filter(F.col("text_len").isNotNull() & (F.col("text_len") != n)).select("case_id", F.lit("text_len").alias("error"))
-        off = spans.join(docs.select("case_id", n.alias("n")), "case_id").filter(~((F.col("b") >= 0) & (F.col("b") < F.col("e")) & (F.col("e") <= F.col("n")))).select("case_id", F.lit("bad_offsets").alias("error"))
-        found = bad.unionByName(off).orderBy("case_id").limit(100).collect()
-        for r in found:
-            print(r.case_id, r.error)
-        return int(bool(found))
     return 0
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_even
 from . import draws
 from .indexing import dense_index
 
@@ -37,12 +38,27 @@ def intervals(sums: DataFrame, reps: int, statistics: dict[str, Callable[[], Col
     sums.select("case_id", *(F.col(c).cast("double") for c in columns)).write.parquet(path)
     held = sums.sparkSession.read.parquet(path)
     apart = lambda df: df.select(*(c for c in df.columns if c in ("rep", "n_documents")), F.explode(F.array(*(F.struct(F.lit(name).alias("statistic"), f().alias("value")) for name, f in statistics.items()))).alias("x"))
-    point = apart(held.agg(*(F.sum(c).alias(c) for c in columns), F.count(F.lit(1)).alias("n_documents"))).select("x.statistic", F.round("x.value", places).alias("point"), "n_documents")
+    point = apart(held.agg(*(F.sum(c).alias(c) for c in columns), F.count(F.lit(1)).alias("n_documents"))).select("x.statistic", half_even(F.col("x.value"), places).alias("point"), "n_documents")
     values = apart(draws.replicates(held, reps, folder, seed)).select("x.statistic", "x.value")
-    ends = values.groupBy("statistic").agg(F.round(F.percentile("value", alpha / 2), places).alias("ci_low"), F.round(F.percentile("value", 1 - alpha / 2), places).alias("ci_high"))
+    ends = values.groupBy("statistic").agg(half_even(F.percentile("value", alpha / 2), places).alias("ci_low"), half_even(F.percentile("value", 1 - alpha / 2), places).alias("ci_high"))
     return point.join(ends, "statistic", "left").select("statistic", "point", "ci_low", "ci_high", "n_documents")
 
 
+def quantile_interval(values: DataFrame, reps: int, folder: str, q: float = 0.5, seed: int = SEED, alpha: float = ALPHA, places: int = 6) -> DataFrame:
+    """point, ci_low, ci_high and n_documents of a quantile of all rows' values (case_id, value) over resampled documents: a statistic that no sums give.
+
+    A document's equal values are counted first; a replicate's quantile is that of all values, each as
+    often as its documents were drawn, and interpolates between neighbours as numpy does.
+    """
+    path = f"{folder}/values-{uuid.uuid4().hex}"
+    values.filter(F.col("value").isNotNull()).groupBy("case_id", F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    held = values.sparkSession.read.parquet(path)
+    point = held.agg(F.percentile("value", q, F.col("n")).alias("value"), F.countDistinct("case_id").alias("n_documents"))
+    drawn = held.join(draws.weights(held, reps, seed, folder), "case_id").groupBy("rep").agg(F.percentile("value", q, F.col("n") * F.col("k")).alias("value"))
+    ends = drawn.agg(F.percentile("value", alpha / 2).alias("low"), F.percentile("value", 1 - alpha / 2).alias("high"))
+    return point.crossJoin(ends).select(half_even(F.col("value"), places).alias("point"), half_even(F.col("low"), places).alias("ci_low"), half_even(F.col("high"), places).alias("ci_high"), "n_documents")  # one row each
+
+
 def wide_interval(sums: DataFrame, reps: int, statistic: Callable[[], Column], folder: str, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
     """:func:`interval` of one group by :func:`intervals`, for thousands of replicates."""
     return intervals(sums, reps, {"": statistic}, folder, seed, alpha).drop("statistic")

@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-TOKEN_EDGES, CHAR_EDGES = [3, 6, 11, 21, 41], [20, 50, 100, 200, 400]
+# Edges of the classes of a sentence's words and characters.
+TOKEN_EDGES = [5, 10, 20, 40, 80]
+CHAR_EDGES = [40, 80, 160, 320, 640]
+#: Decimal digits, and the other characters that stand for a digit, such as superscripts.
+DIGIT = r"[\p{Nd}" + "".join(chr(c) for c in range(0x110000) if chr(c).isdigit() and not chr(c).isdecimal()) + "]"
 # Codes of the parser of model answers.
 CODE = r"(ARGUMENT_PLAINTIFF|ARGUMENT_DEFENDANT|DECISION_APPEAL|LAW_REFERENCE|PREAMBLE|ANALYSIS|DECISION|FACTS|ISSUE)"
 
 
 def lexical(text: Column, position: Column, n: Column) -> Column:
-    """The features of a sentence as a map of name and value."""
+    """The features of a sentence as pairs of name and value. Those of its first and last word are there only if it has words, and first2 if it has two."""
     w = T.words(text)
     size = F.size(w)
     flag = lambda name, test: F.struct(F.lit(name).alias("f"), F.when(test, "1").otherwise("0").alias("v"))
-    own = lambda name, value: F.struct(F.lit(name).alias("f"), F.coalesce(value, F.lit("")).alias("v"))
+    own = lambda name, value: F.struct(F.lit(name).alias("f"), value.alias("v"))
     first = F.get(w, F.lit(0))
-    fixed = F.array(
+    some = lambda least, x: F.when(size >= least, x)
+    fixed = F.array_compact(F.array(
         own("bias", F.lit("1")), own("n_tok", T.bucket(size, TOKEN_EDGES)), own("n_char", T.bucket(F.char_length(text), CHAR_EDGES)),
-        flag("has_digit", text.rlike(r"\p{Nd}")), flag("has_colon", F.contains(text, F.lit(":"))), flag("has_paren", text.rlike(r"[()]")), flag("has_quote", text.rlike(r"[\"«»“”]")),
+        flag("has_digit", text.rlike(DIGIT)), flag("has_colon", F.contains(text, F.lit(":"))), flag("has_paren", text.rlike(r"[()]")), flag("has_quote", text.rlike(r"[\"«]")),
         own("decile", F.least(F.lit(9), F.floor(10 * position / F.greatest(F.lit(1), n))).cast("string")),
-        own("first", first), own("last", F.get(w, size - 1)), own("pre3", F.substring(first, 1, 3)), own("first2", F.concat_ws("_", first, F.get(w, F.lit(1)))),
-        flag("waw_start", F.startswith(text, F.lit("و"))),
-    )
+        some(1, own("first", first)), some(1, own("last", F.get(w, size - 1))), some(1, own("pre3", F.substring(first, 1, 3))), some(2, own("first2", F.concat_ws("_", first, F.get(w, F.lit(1))))),
+        some(1, flag("waw_start", F.startswith(first, F.lit("و")))),
+    ))
     return F.concat(fixed, F.transform(F.array_distinct(w), lambda x: F.struct(F.concat(F.lit("w="), x).alias("f"), F.lit("1").alias("v"))))
 
 

@@ -58,3 +58,24 @@ def stats(projected: DataFrame) -> DataFrame:
     )
     counted = rows.groupBy(F.col("x.section").alias("section"), F.col("x.name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("pct", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(n), 2))
+
+
+STATUSES = {"UNLABELED": "unlabeled", "AMBIGUOUS": "ambiguous", "LABELED": "eligible"}
+KINDS = ["co_extensive_multi_role", "nested", "other"]
+
+
+def robustness(projected: DataFrame) -> DataFrame:
+    """Of projections onto several grids (columns grid and split): sentences, statuses, kinds of ties, whether statuses add up, and the median length, by grid and split and by grid alone."""
+    got = projected.groupingSets([["grid", "split"], ["grid"]], "grid", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("case_id").alias("n_docs"), *(F.count_if(F.col("status") == k).alias(v) for k, v in STATUSES.items()), F.count_if(F.col("status") != "UNLABELED").alias("covered"),
+        *(F.count_if(F.col("ambiguity_kind") == k).alias(k) for k in KINDS), F.percentile(F.col("e") - F.col("b"), 0.5).alias("median_length"),
+    )
+    return got.withColumn("split", F.coalesce("split", F.lit("all"))).withColumn("adds_up", F.col("n") == F.col("unlabeled") + F.col("ambiguous") + F.col("eligible"))
+
+
+def moved(projected: DataFrame, first: str, second: str, points: float = 5.0) -> DataFrame:
+    """The documents whose percentage of ambiguous sentences differs by more than so many points between two grids, the farthest first. A document without sentences on a grid has a rate of 0."""
+    rate = lambda g: F.coalesce(F.round(100.0 * F.count_if((F.col("grid") == g) & (F.col("status") == "AMBIGUOUS")) / F.nullif(F.count_if(F.col("grid") == g), F.lit(0)), 2), F.lit(0.0))
+    each = projected.groupBy("case_id", "split").agg(rate(first).alias("first_rate"), rate(second).alias("second_rate"), F.count_if(F.col("grid") == first).alias("first_n"), F.count_if(F.col("grid") == second).alias("second_n"))
+    delta = F.round(F.col("second_rate") - F.col("first_rate"), 2)
+    return each.withColumn("delta", delta).filter(F.abs("delta") > points).orderBy(F.abs("delta").desc(), "case_id")

@@ -44,3 +44,9 @@ def answer_contrast_full(s, d):
     one = lambda df, name: metrics.per_example(df).select("case_id", "region_idx", F.col("set_f1").alias(name))
     sums = one(_answers(s, d), "x").join(one(_s1(s, d), "y"), ["case_id", "region_idx"]).groupBy("case_id").agg(_n(), F.sum("x").alias("total_a"), F.sum("y").alias("total_b"))
     return _ci(sums, bootstrap.paired_mean, FULL_REPS, shared_folder(s))
+
+
+@query
+def s1_median_interval(s, d):
+    """The median set F1 of a region, with 5,000 replicates."""
+    return bootstrap.quantile_interval(metrics.per_example(_s1(s, d)).select("case_id", F.col("set_f1").alias("value")), FULL_REPS, shared_folder(s))

@@ -524,8 +524,9 @@ def head_tail_truncate(s, d):
 
 @query
 def greedy_batches(s, d):
-    rows = _regions(s, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("region_idx", (F.floor((F.col("e") - F.col("b")) / 40) + 1).alias("weight")))).alias("items"))
-    return rows.select("case_id", F.posexplode(sequences.greedy_batches(F.col("items"), 12, 4)).alias("i", "batch")).select("case_id", F.col("i").cast("long").alias("region_idx"), "batch")
+    """Batches of regions in the order of the table, on over the documents' ends."""
+    rows = _regions(s, d).select("case_id", "region_idx", (F.floor((F.col("e") - F.col("b")) / 40) + 1).alias("weight"))
+    return sequences.batches(rows, ["case_id", "region_idx"], "weight", 12, 4, shared_folder(s)).select("case_id", "region_idx", "batch")
 
 
 def _sentence_text(s, d) -> DataFrame:
@@ -539,7 +540,7 @@ def lexical_features(s, d):
     made = _sentence_text(s, d).select("case_id", "sent_idx", features.lexical(F.col("text"), F.col("sent_idx"), F.col("grid_n")).alias("f"))
     value = lambda name: F.get(F.filter("f", lambda x: x["f"] == name), F.lit(0))["v"]
     flag = lambda name: (value(name) == "1").alias(name)
-    return made.select("case_id", "sent_idx", value("n_tok").alias("n_tok"), flag("has_digit"), flag("has_colon"), flag("has_paren"), *(value(n).alias(n) for n in ("decile", "first", "last", "pre3")), F.size("f").cast("long").alias("n_features"))
+    return made.select("case_id", "sent_idx", *(value(n).alias(n) for n in ("n_tok", "n_char", "decile", "first", "last", "pre3", "first2")), *map(flag, ("has_digit", "has_colon", "has_paren", "has_quote", "waw_start")), F.size("f").cast("long").alias("n_features"))
 
 
 @query
@@ -592,18 +593,24 @@ def _paired_grid(s, d) -> DataFrame:
     return _sentences(s, d).groupBy("case_id", F.floor(F.col("sent_idx") / 2).alias("sent_idx")).agg(F.min("b").alias("b"), F.max("e").alias("e"))
 
 
+def _two_grids(s, d) -> DataFrame:
+    """Projections onto the grid and onto one in which a line ends a sentence too, of the documents of train and val."""
+    docs = _docs(s, d).filter(_split() != "test")
+    found = _regions(s, d).filter(_split() != "test")
+    on = lambda name, stop: projection.project(grid.sentences(docs, stop), found).withColumn("grid", F.lit(name))
+    return on("v1", T.STOP).unionByName(on("lines", T.LINE_STOP)).withColumn("split", _split())
+
+
 @query
 def grid_robustness(s, d):
-    both = _sentences(s, d).select(F.lit("v1").alias("grid"), "case_id", "b", "e").unionByName(_paired_grid(s, d).select(F.lit("paired").alias("grid"), "case_id", "b", "e")).withColumn("split", _split())
-    got = both.groupingSets([["grid", "split"], ["grid"]], "grid", "split").agg(_n(), F.countDistinct("case_id").alias("n_docs"), F.percentile(F.col("e") - F.col("b"), 0.5).alias("median_length"))
-    return got.select("grid", F.coalesce("split", F.lit("all")).alias("split"), "n", "n_docs", "median_length")
+    """Statuses and kinds of ties on both grids, by split and for both splits together, and whether they add up."""
+    return projection.robustness(_two_grids(s, d))
 
 
 @query
 def grid_moved(s, d):
-    mean = lambda df, name: df.groupBy("case_id").agg(F.avg(F.col("e") - F.col("b")).alias(name))
-    both = mean(_sentences(s, d), "a").join(mean(_paired_grid(s, d), "c"), "case_id")
-    return both.filter(F.abs(F.col("a") - F.col("c")) > 5).select("case_id", F.round(F.col("a") - F.col("c"), 4).alias("delta"))
+    """Documents whose rate of ambiguous sentences moves by more than five points from the first grid to the other, the farthest first."""
+    return projection.moved(_two_grids(s, d), "v1", "lines")
 
 
 @query
@@ -636,7 +643,7 @@ def stratified_split(s, d):
 def capped_sample(s, d):
     """Twenty single-role regions, few of each document and role."""
     rows = _roled(s, d).filter((F.bit_count("mask") == 1) & ~F.col("is_nested")).select("case_id", "region_idx", "mask")
-    return splitting.capped_sample(rows, 20, "mask", 4, "case_id", "region_idx")
+    return splitting.capped_sample(rows, 20, "mask", 4, shared_folder(s), "case_id", "region_idx")
 
 
 def _texts(s, d) -> DataFrame:

@@ -340,10 +340,15 @@ ORACLES["split_check"] = sql(
 
 ORACLES["incremental_missing"] = "SELECT DISTINCT sha256(text) AS key FROM documents WHERE n_chars > 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND n_chars > 0)"
 
-_RANKED = "SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY md5(concat(case_id, ':', region_idx)), case_id, region_idx) AS dr, md5(concat(case_id, ':', region_idx)) AS key FROM roled WHERE bit_count(mask) = 1 AND NOT is_nested"
+# The greedy pass, row by row; a level begins again at the first row, with what was picked before.
 ORACLES["capped_sample"] = sql(
-    f"""SELECT case_id, region_idx, mask, level FROM (SELECT r.*, CASE WHEN dr <= 2 AND rr <= 4 THEN 1 WHEN dr <= 3 AND rr <= 6 THEN 2 ELSE 3 END AS level
-    FROM ({_RANKED}) r LEFT JOIN (SELECT case_id, region_idx, row_number() OVER (PARTITION BY mask ORDER BY (dr > 2), key, case_id, region_idx) AS rr FROM ({_RANKED}) WHERE dr <= 3) USING (case_id, region_idx)) ORDER BY level, key, case_id, region_idx LIMIT 20"""
+    """SELECT r.case_id, r.region_idx, r.mask, p.level::INTEGER AS level FROM (SELECT unnest(picks) AS p FROM (SELECT picks FROM go ORDER BY level DESC, rn DESC LIMIT 1)) JOIN ranked r ON r.rn = p.rn""",
+    """ranked AS MATERIALIZED (SELECT case_id, region_idx, mask, row_number() OVER (ORDER BY md5(concat(case_id, ':', region_idx)), case_id, region_idx) AS rn FROM roled WHERE bit_count(mask) = 1 AND NOT is_nested),
+    size AS (SELECT count(*) AS n FROM ranked),
+    go AS (SELECT 1 AS level, 0::BIGINT AS rn, []::STRUCT(rn BIGINT, case_id BIGINT, mask BIGINT, level INTEGER)[] AS picks
+    UNION ALL SELECT g.level, r.rn, CASE WHEN NOT list_contains(list_transform(g.picks, lambda x: x.rn), r.rn) AND (g.level = 3 OR (len(list_filter(g.picks, lambda x: x.case_id = r.case_id)) < 1 + g.level AND len(list_filter(g.picks, lambda x: x.mask = r.mask)) < 2 + 2 * g.level))
+        THEN list_append(g.picks, {'rn': r.rn, 'case_id': r.case_id, 'mask': r.mask, 'level': g.level}) ELSE g.picks END
+    FROM (SELECT CASE WHEN rn = n THEN level + 1 ELSE level END AS level, CASE WHEN rn = n THEN 0 ELSE rn END AS rn, picks FROM go , size WHERE len(picks) < 20 AND NOT (rn = n AND level = 3)) g JOIN ranked r ON r.rn = g.rn + 1)""",
 )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.roles import N_ROLES, ROLES
+from ..operators.features import CHAR_EDGES, DIGIT, TOKEN_EDGES
 
 
 def _names(mask: str, alphabetic: bool = False) -> str:
@@ -24,6 +25,10 @@ def _pred(system: int, unit: str) -> str:
     return "[" + ", ".join(_p(system, unit, str(r)) for r in range(N_ROLES)) + "]"
 
 
+def _bucket(value: str, edges: list[int]) -> str:
+    return "CASE " + " ".join(f"WHEN {value} < {e} THEN '<{e}'" for e in edges) + f" ELSE '>={edges[-1]}' END"
+
+
 def _decode(t: int) -> str:
     bits = " | ".join(f"(CASE WHEN p[{r + 1}] >= {t} THEN {1 << r}::BIGINT ELSE 0 END)" for r in range(N_ROLES))
     return f"CASE WHEN ({bits}) = 0 THEN (1::BIGINT << (list_position(p, list_max(p)) - 1)) ELSE ({bits}) END"
@@ -192,12 +197,15 @@ ORACLES: dict[str, str] = {
     "token_windows": sql(r"SELECT case_id, i AS window_idx, i * 382 AS first, least(n, i * 382 + 510) AS last FROM (SELECT case_id, n, unnest(range(0, (CASE WHEN n <= 510 THEN 0 ELSE ceil((n - 510) / 382.0)::BIGINT END) + 1)) AS i FROM (SELECT case_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM d))"),
     "head_tail_truncate": sql(r"SELECT case_id, len(w)::BIGINT AS n, md5(array_to_string(CASE WHEN len(w) > 1500 THEN w[1:1200] || w[len(w) - 299:len(w)] ELSE w END, ' ')) AS digest FROM (SELECT case_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM d)"),
     "greedy_batches": sql(
-        "SELECT case_id, i - 1 AS region_idx, batch FROM go",
-        """it AS (SELECT case_id, region_idx + 1 AS i, (e - b) // 40 + 1 AS w FROM regions), go AS (SELECT case_id, i, w AS weight, 1::BIGINT AS m, 0::BIGINT AS batch FROM it WHERE i = 1
-        UNION ALL SELECT it.case_id, it.i, CASE WHEN go.weight + it.w > 12 OR go.m >= 4 THEN it.w ELSE go.weight + it.w END, CASE WHEN go.weight + it.w > 12 OR go.m >= 4 THEN 1 ELSE go.m + 1 END, CASE WHEN go.weight + it.w > 12 OR go.m >= 4 THEN go.batch + 1 ELSE go.batch END FROM go JOIN it ON it.case_id = go.case_id AND it.i = go.i + 1)""",
+        "SELECT case_id, region_idx, sum(CASE WHEN go.pos IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY nx.pos)::BIGINT - 1 AS batch FROM nx LEFT JOIN go ON go.pos = nx.pos",
+        """it AS (SELECT case_id, region_idx, (e - b) // 40 + 1 AS w, row_number() OVER (ORDER BY case_id, region_idx) AS pos FROM regions),
+        nx AS MATERIALIZED (SELECT *, pos + CASE WHEN w + lead(w, 1, 0) OVER o > 12 THEN 1 WHEN w + lead(w, 1, 0) OVER o + lead(w, 2, 0) OVER o > 12 THEN 2 WHEN w + lead(w, 1, 0) OVER o + lead(w, 2, 0) OVER o + lead(w, 3, 0) OVER o > 12 THEN 3 ELSE 4 END AS nxt FROM it WINDOW o AS (ORDER BY pos)),
+        go AS (SELECT 1::BIGINT AS pos UNION ALL SELECT nx.nxt FROM go JOIN nx ON nx.pos = go.pos)""",
     ),
-    "lexical_features": sql(r"""SELECT case_id, sent_idx, CASE WHEN len(w) < 3 THEN '<3' WHEN len(w) < 6 THEN '<6' WHEN len(w) < 11 THEN '<11' WHEN len(w) < 21 THEN '<21' WHEN len(w) < 41 THEN '<41' ELSE '>=41' END AS n_tok,
-        regexp_matches(text, '\p{Nd}') AS has_digit, contains(text, ':') AS has_colon, regexp_matches(text, '[()]') AS has_paren, least(9, 10 * sent_idx // greatest(1, n))::VARCHAR AS decile, coalesce(w[1], '') AS first, coalesce(w[len(w)], '') AS last, coalesce(substring(w[1], 1, 3), '') AS pre3, (13 + len(list_distinct(w)))::BIGINT AS n_features FROM sw"""),
+    "lexical_features": sql(rf"""SELECT case_id, sent_idx, {_bucket('len(w)', TOKEN_EDGES)} AS n_tok, {_bucket('length(text)', CHAR_EDGES)} AS n_char,
+        regexp_matches(text, '{DIGIT}') AS has_digit, contains(text, ':') AS has_colon, regexp_matches(text, '[()]') AS has_paren, contains(text, '"') OR contains(text, '«') AS has_quote, least(9, 10 * sent_idx // greatest(1, n))::VARCHAR AS decile,
+        w[1] AS first, w[len(w)] AS last, substring(w[1], 1, 3) AS pre3, CASE WHEN len(w) > 1 THEN w[1] || '_' || w[2] END AS first2, starts_with(w[1], 'و') AS waw_start,
+        (8 + CASE WHEN len(w) > 1 THEN 5 WHEN len(w) > 0 THEN 4 ELSE 0 END + len(list_distinct(w)))::BIGINT AS n_features FROM sw"""),
     "char_wb_tfidf": "",
     "window_mean_pool": "SELECT label, dim, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY label, dim",
     "llm_parse": "",
@@ -235,11 +243,27 @@ def _contrasts() -> str:
 
 
 ORACLES["contrast_table"] = _contrasts()
+# The line grid: the same steps as from cut to projected, with a line's end as one more.
+_STEPS = ["cut", "piece", "placed", "sentences", "hits", "cov", "decided", "amb", "one", "two", "projected"]
+_LINED = []
+for _step in _STEPS:
+    _body = CTE[_step].replace(r"'\1' || chr(1) || '\2', 'g'), chr(1))", r"'\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1))").replace("string_split(regexp_replace(regexp_replace(", "string_split(replace(regexp_replace(regexp_replace(") if _step == "cut" else CTE[_step]
+    for _name_ in _STEPS:
+        _body = re.sub(rf"(FROM|JOIN) {_name_}\b", rf"\1 {_name_}_lines", _body)
+    if _step in ("decided", "projected"):
+        _body = re.sub(r"\b(one|two)\.(one|case_id)\b", r"\1_lines.\2", _body)
+    _LINED.append(f"{_step}_lines AS ({_body})")
+_GRIDS = "grids AS (SELECT 'v1' AS grid, * FROM projected UNION ALL SELECT 'lines', * FROM projected_lines)"
+_BOTH = ",\n".join([*_LINED, _GRIDS])
 ORACLES["grid_robustness"] = sql(
-    f"SELECT grid, coalesce(split, 'all') AS split, count(*)::BIGINT AS n, count(DISTINCT case_id)::BIGINT AS n_docs, median(e - b)::DOUBLE AS median_length FROM (SELECT 'v1' AS grid, {SPLIT} AS split, case_id, b, e FROM sentences UNION ALL SELECT 'paired', {SPLIT}, case_id, b, e FROM lined) GROUP BY GROUPING SETS ((grid, split), (grid))",
-    "lined AS (SELECT case_id, min(b) AS b, max(e) AS e FROM sentences GROUP BY case_id, sent_idx // 2)",
+    f"""SELECT grid, coalesce(split, 'all') AS split, count(*)::BIGINT AS n, count(DISTINCT case_id)::BIGINT AS n_docs, count(*) FILTER (status = 'UNLABELED')::BIGINT AS unlabeled, count(*) FILTER (status = 'AMBIGUOUS')::BIGINT AS ambiguous, count(*) FILTER (status = 'LABELED')::BIGINT AS eligible, count(*) FILTER (status <> 'UNLABELED')::BIGINT AS covered,
+    count(*) FILTER (ambiguity_kind = 'co_extensive_multi_role')::BIGINT AS co_extensive_multi_role, count(*) FILTER (ambiguity_kind = 'nested')::BIGINT AS nested, count(*) FILTER (ambiguity_kind = 'other')::BIGINT AS other, median(e - b)::DOUBLE AS median_length, true AS adds_up
+    FROM (SELECT *, {SPLIT} AS split FROM grids WHERE {SPLIT} <> 'test') GROUP BY GROUPING SETS ((grid, split), (grid))""",
+    _BOTH,
 )
 ORACLES["grid_moved"] = sql(
-    "SELECT case_id, round(a - c, 4) AS delta FROM (SELECT case_id, avg(e - b) AS a FROM sentences GROUP BY case_id) JOIN (SELECT case_id, avg(e - b) AS c FROM lined GROUP BY case_id) USING (case_id) WHERE abs(a - c) > 5",
-    "lined AS (SELECT case_id, min(b) AS b, max(e) AS e FROM sentences GROUP BY case_id, sent_idx // 2)",
+    f"""SELECT *, round(second_rate - first_rate, 2) AS delta FROM (SELECT case_id, {SPLIT} AS split, coalesce(round(100.0::DOUBLE * count(*) FILTER (grid = 'v1' AND status = 'AMBIGUOUS') / nullif(count(*) FILTER (grid = 'v1'), 0), 2), 0) AS first_rate,
+    coalesce(round(100.0::DOUBLE * count(*) FILTER (grid = 'lines' AND status = 'AMBIGUOUS') / nullif(count(*) FILTER (grid = 'lines'), 0), 2), 0) AS second_rate, count(*) FILTER (grid = 'v1')::BIGINT AS first_n, count(*) FILTER (grid = 'lines')::BIGINT AS second_n FROM grids WHERE {SPLIT} <> 'test' GROUP BY case_id)
+    WHERE abs(round(second_rate - first_rate, 2)) > 5""",
+    _BOTH,
 )

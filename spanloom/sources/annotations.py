@@ -45,6 +45,23 @@ def spans(docs: DataFrame) -> DataFrame:
     return s.select("case_id", F.col("s.begin").cast("long").alias("b"), F.col("s.end").cast("long").alias("e"), F.col("s.label").alias("label"), F.coalesce("s.kind", F.lit("rhetorical")).alias("kind"), "s.provenance", "s.candidate_source")
 
 
+#: What :func:`load` and :func:`spans` read; anything else of a file is kept as it stands by :func:`residue`.
+_DOCUMENT_KEYS, _SPAN_KEYS = ["text", "spans", "canonical_case_id"], ["begin", "end", "label", "kind"]
+
+
+def residue(spark: SparkSession, folder: str) -> DataFrame:
+    """case_id, meta (a map of all other fields of a file, as JSON) and span_meta (such a map of each span, in order), whatever fields there are. Of files with the same id the last by path counts."""
+    whole = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+    fields = F.from_json("value", "map<string,string>")
+    held = whole.select("value", "_path", fields.alias("meta"))
+    stem = F.regexp_extract("_path", r"([^/]+)\.json$", 1)
+    named = held.withColumn("case_id", F.coalesce(F.nullif(F.col("meta")["canonical_case_id"], F.lit("")), stem))
+    last = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("_path"))) == 1
+    rest = lambda m, known: F.map_filter(m, lambda k, _: ~k.isin(known))
+    listed = F.coalesce(F.from_json("value", "struct<spans:array<map<string,string>>>")["spans"], F.array().cast("array<map<string,string>>"))
+    return named.withColumn("_last", last).filter("_last").select("case_id", rest(F.col("meta"), _DOCUMENT_KEYS).alias("meta"), F.transform(listed, lambda x: rest(x, _SPAN_KEYS)).alias("span_meta"))
+
+
 def corpus(spark: SparkSession, root: str, adjudicated: str = "Annotator_C", others: tuple[str, ...] = ("annotator_A", "annotator_B")) -> DataFrame:
     """All annotators' documents with an annotator column; the same ids are needed of each."""
     main = load(spark, f"{root}/{adjudicated}")

@@ -111,7 +111,7 @@ def test_incremental(spark, tmp_path):
     rows = spark.createDataFrame([("a",), ("b",), ("a",)], "key string")
     incremental.append_missing(rows, folder, "key", lambda df: df)
     incremental.append_missing(rows.unionByName(spark.createDataFrame([("c",)], "key string")), folder, "key", lambda df: df)
-    assert sorted(r.key for r in spark.read.parquet(folder).collect()) == ["a", "b", "c"]
+    assert sorted(r.key for r in incremental.results(spark, folder).collect()) == ["a", "b", "c"] and incremental.results(spark, folder).columns == ["key"]
 
 
 def test_intervals_take_5000_replicates(spark, monkeypatch):

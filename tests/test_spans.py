@@ -1,13 +1,15 @@
-"""Small hand-built cases of span algebra, and plans."""
+"""Span algebra, projection, samples and batches against loops over characters, pairs and rows, and plans."""
 
 from __future__ import annotations
 
+import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import grid, metrics, projection, sequences, spans, splitting
+from spanloom.operators import features, grid, metrics, projection, sequences, spans, splitting
 
 FACTS, ISSUE, PLAINTIFF, LAW, ANALYSIS = 1, 2, 3, 5, 6
 
@@ -17,16 +19,55 @@ def rows(spark, items, text_letter=True):
     return spark.createDataFrame(data, "case_id string, b long, e long, label long, kind string, letter boolean")
 
 
-def test_region_collapse(spark):
-    got = spans.regions(rows(spark, [(4, 31, PLAINTIFF), (4, 31, LAW), (33, 90, ANALYSIS)])).orderBy("region_idx").collect()
-    assert [(r.b, r.e, r["mask"]) for r in got] == [(4, 31, 1 << PLAINTIFF | 1 << LAW), (33, 90, 1 << ANALYSIS)]
-
-
-def test_nesting_and_crossing(spark):
-    found = spans.regions(rows(spark, [(2, 88, ISSUE), (7, 19, LAW), (7, 19, ISSUE), (25, 47, PLAINTIFF), (40, 66, ANALYSIS)]))
-    assert {(r.i, r.j) for r in spans.nesting(found).collect()} == {(0, 1), (0, 2), (0, 3)}
-    assert [(r.i, r.j) for r in spans.nesting(found).filter("same_role").collect()] == [(0, 1)]
-    assert [(r.i, r.j) for r in spans.crossing(found).collect()] == [(2, 3)]
+def drawn(seed, n=40, far=60):
+    """Random spans of a few documents, with bounds that often agree."""
+    rng, out = random.Random(seed), []
+    for case in "pqrs":
+        for _ in range(rng.randint(n // 2, n)):
+            b = rng.randrange(0, far, rng.choice([1, 10]))
+            out.append((case, b, b + rng.choice([5, 9, 20, 31, 45]), rng.randrange(9)))
+    return out
+
+
+def spans_of(spark, items):
+    return spark.createDataFrame([(c, b, e, label, "rhetorical", True) for c, b, e, label in items], "case_id string, b long, e long, label long, kind string, letter boolean")
+
+
+def collapsed(items):
+    """(case, place) of each distinct pair of bounds, in order, with its roles."""
+    out = {}
+    for case in {x[0] for x in items}:
+        for k, (b, e) in enumerate(sorted({x[1:3] for x in items if x[0] == case})):
+            out[case, k] = (b, e, {x[3] for x in items if x[:3] == (case, b, e)})
+    return out
+
+
+def test_regions_gather_all_roles_of_the_same_bounds(spark):
+    items = drawn(11)
+    got = {(r.case_id, r.region_idx): (r.b, r.e, {k for k in range(9) if r["mask"] >> k & 1}) for r in spans.regions(spans_of(spark, items)).collect()}
+    assert got == collapsed(items) and any(len(v[2]) > 1 for v in got.values())
+
+
+def test_pairs_of_regions_by_their_characters(spark):
+    """Nested: the characters of one are a part of the other's. Crossing: some are shared, and each has some before or after."""
+    items = drawn(12, 25)
+    held = collapsed(items)
+    inside, same, across = set(), set(), set()
+    for (c, i), (b, e, own) in held.items():
+        for (d, j), (f, g, other) in held.items():
+            if c != d or i == j:
+                continue
+            x, y = set(range(b, e)), set(range(f, g))
+            if y < x:
+                inside.add((c, i, j))
+                if own & other:
+                    same.add((c, i, j))
+            elif i < j and x & y and x - y and y - x:
+                across.add((c, i, j))
+    found = spans.regions(spans_of(spark, items))
+    nested = spans.nesting(found).collect()
+    assert {(r.case_id, r.i, r.j) for r in nested} == inside and {(r.case_id, r.i, r.j) for r in nested if r.same_role} == same and same
+    assert {(r.case_id, r.i, r.j) for r in spans.crossing(found).collect()} == across and across
 
 
 def test_touching_spans_do_not_cross(spark):
@@ -34,12 +75,19 @@ def test_touching_spans_do_not_cross(spark):
     assert spans.crossing(found).count() == 0
 
 
-def test_near_identical_rows_go(spark):
-    made = rows(spark, [(3, 70, LAW), (15, 70, LAW), (15, 70, ISSUE), (3, 40, LAW)])
-    log = spans.near_identical(made).collect()
-    assert [(r.b, r.e, r.kept_b, r.kept_e) for r in log] == [(15, 70, 3, 70)]
-    once = spans.normalise(made)
-    assert once.count() == 3 and spans.normalise(once).count() == 3
+def test_rows_nearly_as_another_go(spark):
+    """A row goes if one of its case and role holds it, with other bounds, and is at most twenty characters longer; the first such, the longest of equals, is logged."""
+    items = drawn(13)
+    log = {}
+    for c, b, e, label in set(items):
+        holders = [(f, -g) for d, f, g, other in items if (d, other) == (c, label) and f <= b and e <= g and (f, g) != (b, e) and (g - f) - (e - b) <= spans.NEAR]
+        if holders:
+            f, g = min(holders)
+            log[c, label, b, e] = (f, -g)
+    made = spans_of(spark, items)
+    assert {(r.case_id, r.label, r.b, r.e): (r.kept_b, r.kept_e) for r in spans.near_identical(made).collect()} == log and log
+    kept = sorted((r.case_id, r.b, r.e, r.label) for r in spans.normalise(made).collect())
+    assert kept == sorted(x for x in items if (x[0], x[3], x[1], x[2]) not in log)
 
 
 def test_tiny_and_letterless_rows_go(spark):
@@ -61,17 +109,33 @@ def test_union_length_against_sets(spark):
     assert {r.k: r["cov"] for r in got} == want
 
 
-def sentence(spark, *bounds):
-    return spark.createDataFrame([("x", k, b, e) for k, (b, e) in enumerate(bounds)], "case_id string, sent_idx long, b long, e long")
-
-
-def test_projection_kinds(spark):
-    one = lambda items, b, e: projection.project(sentence(spark, (b, e)), spans.regions(rows(spark, items))).head()
-    assert one([(5, 22, FACTS), (22, 81, ISSUE)], 13, 49).label == ISSUE
-    assert one([(5, 22, FACTS)], 25, 37).status == "UNLABELED"
-    assert one([(5, 41, ISSUE), (5, 41, LAW)], 5, 41).ambiguity_kind == "co_extensive_multi_role"
-    assert one([(1, 77, ISSUE), (9, 33, LAW)], 9, 33).ambiguity_kind == "nested"
-    assert one([(5, 25, ISSUE), (25, 55, LAW)], 15, 35).ambiguity_kind == "other"
+def decided(held, b, e):
+    """Status, label and kind of the sentence [b, e), by counting each role's characters."""
+    hit = [(set(range(max(b, f), min(e, g))), f, g, roles) for f, g, roles in held if min(e, g) > max(b, f)]
+    if not hit:
+        return ("UNLABELED", None, None)
+    size = {r: len(set().union(*(x for x, _, _, roles in hit if r in roles))) for r in range(9)}
+    tied = {r for r in size if size[r] == max(size.values())}
+    if len(tied) == 1:
+        return ("LABELED", tied.pop(), None)
+    if any(tied <= roles for *_, roles in hit):
+        return ("AMBIGUOUS", None, "co_extensive_multi_role")
+    for x, f, g, own in hit:
+        for y, h, i, other in hit:
+            if tied <= own | other and (f, g) != (h, i) and f <= h and i <= g:
+                return ("AMBIGUOUS", None, "nested")
+    return ("AMBIGUOUS", None, "other")
+
+
+def test_projection_by_counting_characters(spark):
+    items = drawn(10, 8)
+    items += [(c, b, e, (label + 4) % 9) for c, b, e, label in items[::2]]
+    cuts = {c: [(k * 7, k * 7 + 7) for k in range(18)] for c in "pqrst"}  # the last has no spans
+    grid_ = spark.createDataFrame([(c, k, b, e) for c, own in cuts.items() for k, (b, e) in enumerate(own)], "case_id string, sent_idx long, b long, e long")
+    got = {(r.case_id, r.sent_idx): (r.status, r.label, r.ambiguity_kind) for r in projection.project(grid_, spans.regions(spans_of(spark, items))).collect()}
+    held = collapsed(items)
+    expected = {(c, k): decided([v for (d, _), v in held.items() if d == c], b, e) for c, own in cuts.items() for k, (b, e) in enumerate(own)}
+    assert got == expected and {v[0] for v in expected.values()} == {"UNLABELED", "LABELED", "AMBIGUOUS"} and {v[2] for v in expected.values()} == {None, "co_extensive_multi_role", "nested", "other"}
 
 
 def cut(spark, text):
@@ -147,15 +211,80 @@ def test_split_without_room_is_an_error():
     assert splitting.stratified_group_split({}, [], {"x": 0}, 1) == {}
 
 
-def test_capped_sample(spark):
-    df = spark.createDataFrame([(i % 40, i, i % 4) for i in range(400)], "case_id long, k long, role long")
-    got = splitting.capped_sample(df, 8, "role", 2, "case_id", "k").collect()
-    assert len(got) == 8 and {r.level for r in got} == {1} and all(sum(r.role == x for r in got) == 2 for x in range(4))
-    assert max(sum(r.case_id == x.case_id for r in got) for x in got) <= 2
-    more = splitting.capped_sample(df, 20, "role", 2, "case_id", "k").collect()
-    assert len(more) == 20 and sorted({r.level for r in more}) == [1, 2, 3]
-    assert splitting.capped_sample(df, 1000, "role", 2, "case_id", "k").count() == 400
-    assert splitting.capped_sample(df.limit(0), 5, "role", 2, "case_id", "k").count() == 0
+def greedy(rows, n, cap):
+    """One row at a time, level by level."""
+    key = lambda r: (hashlib.md5(f"{r[0]}:{r[1]}".encode()).hexdigest(), r[0], r[1])
+    out = []
+    for level, (most_doc, most_role) in enumerate(((2, cap), (3, cap + 2), (10**9, 10**9)), 1):
+        for r in sorted(rows, key=key):
+            if len(out) < n and r not in [x[:3] for x in out] and sum(x[0] == r[0] for x in out) < most_doc and sum(x[2] == r[2] for x in out) < most_role:
+                out.append((*r, level))
+    return out
+
+
+@pytest.mark.parametrize("seed,n,cap,documents,roles,size", [(1, 8, 2, 40, 4, 400), (2, 20, 2, 40, 4, 400), (3, 60, 3, 9, 7, 150), (4, 25, 5, 3, 2, 30), (5, 500, 2, 12, 3, 90)])
+def test_capped_sample_is_the_greedy_one(spark, monkeypatch, tmp_path, seed, n, cap, documents, roles, size):
+    monkeypatch.setattr(splitting, "PASS", 17)
+    rng = random.Random(seed)
+    rows = [(rng.randrange(documents), i, min(rng.randrange(roles), rng.randrange(roles))) for i in range(size)]
+    df = spark.createDataFrame(rows, "case_id long, k long, role long")
+    got = [tuple(r) for r in splitting.capped_sample(df, n, "role", cap, f"file://{tmp_path}", "case_id", "k").collect()]
+    assert got == greedy(rows, n, cap) and len(got) == min(n, size)
+
+
+def test_capped_sample_counts_only_what_it_took(spark, tmp_path):
+    """A document's third row of a role that is full does not use the document up: its first row of another role is of level 1."""
+    rows = sorted(((1, k, 0) for k in range(3)), key=lambda r: hashlib.md5(f"1:{r[1]}".encode()).hexdigest())
+    last = next(k for k in range(3, 1000) if hashlib.md5(f"1:{k}".encode()).hexdigest() > hashlib.md5(f"1:{rows[-1][1]}".encode()).hexdigest())
+    df = spark.createDataFrame([*rows, (1, last, 1)], "case_id long, k long, role long")
+    got = splitting.capped_sample(df, 2, "role", 1, f"file://{tmp_path}", "case_id", "k").collect()
+    assert [(r.k, r.role, r.level) for r in got] == [(rows[0][1], 0, 1), (last, 1, 1)]
+    assert splitting.capped_sample(df.limit(0), 5, "role", 2, f"file://{tmp_path}", "case_id", "k").count() == 0
+
+
+@pytest.mark.parametrize("capacity,most,segment", [(12, 4, 5), (12, 4, 1 << 16), (3, 7, 8), (0, 3, 4), (100, 1, 2)])
+def test_batches_are_those_of_one_pass(spark, tmp_path, capacity, most, segment):
+    rng = random.Random(capacity + most)
+    rows = [(f"c{i % 9}", i, rng.choice([0, 1, 2, 5, 13])) for i in range(120)]
+    expected, batch, weight, n = {}, 0, 0, 0
+    for c, i, w in sorted(rows):
+        if n and (weight + w > capacity or n >= most):
+            batch, weight, n = batch + 1, 0, 0
+        weight, n = weight + w, n + 1
+        expected[c, i] = batch
+    df = spark.createDataFrame(rows, "case_id string, k long, w long")
+    got = {(r.case_id, r.k): r.batch for r in sequences.batches(df, ["case_id", "k"], "w", capacity, most, f"file://{tmp_path}", segment).collect()}
+    assert got == expected
+
+
+def test_no_batches_of_no_rows(spark, tmp_path):
+    df = spark.createDataFrame([], "k long, w long")
+    assert sequences.batches(df, ["k"], "w", 5, 3, f"file://{tmp_path}").count() == 0
+
+
+def test_lexical_features_by_hand(spark):
+    given = [("وقال القاضي: «لا» 12", 9, 10), ("x", 0, 1), ("...", 3, 4), ("a b² (c) d e f g h i j k", 5, 11)]
+    df = spark.createDataFrame(given, "t string, k long, n long")
+    one, two, three, four = ({x.f: x.v for x in r.f} for r in df.select(features.lexical(F.col("t"), F.col("k"), F.col("n")).alias("f")).collect())
+    assert one == {"bias": "1", "n_tok": "<5", "n_char": "<40", "has_digit": "1", "has_colon": "1", "has_paren": "0", "has_quote": "1", "decile": "9", "first": "وقال", "last": "12", "pre3": "وقا", "first2": "وقال_القاضي", "waw_start": "1", "w=وقال": "1", "w=القاضي": "1", "w=لا": "1", "w=12": "1"}
+    assert two["first"] == two["last"] == "x" and "first2" not in two and two["waw_start"] == "0" and two["decile"] == "0"
+    assert three == {"bias": "1", "n_tok": "<5", "n_char": "<40", "has_digit": "0", "has_colon": "0", "has_paren": "0", "has_quote": "0", "decile": "7"}
+    assert four["n_tok"] == "<20" and four["has_digit"] == "1" and four["has_paren"] == "1" and four["has_quote"] == "0"
+    sizes = spark.createDataFrame([("w " * k,) for k in (4, 5, 39, 40, 79, 80, 160)], "t string")
+    got = [({x.f: x.v for x in r.f}["n_tok"], {x.f: x.v for x in r.f}["n_char"]) for r in sizes.select(features.lexical(F.col("t"), F.lit(0), F.lit(1)).alias("f")).collect()]
+    assert got == [("<5", "<40"), ("<10", "<40"), ("<40", "<80"), ("<80", "<160"), ("<80", "<160"), (">=80", "<320"), (">=80", "<640")]
+
+
+def test_robustness_of_two_grids(spark):
+    rows_ = [("v1", "train", "a", "LABELED", None, 0, 4), ("v1", "train", "a", "AMBIGUOUS", "nested", 4, 10), ("lines", "train", "a", "LABELED", None, 0, 4), ("lines", "train", "a", "LABELED", None, 4, 10)]
+    rows_ += [("v1", "val", "b", "UNLABELED", None, 0, 8), ("lines", "val", "b", "UNLABELED", None, 0, 8), ("v1", "val", "c", "LABELED", None, 0, 1), ("lines", "val", "c", "AMBIGUOUS", "other", 0, 1)]
+    df = spark.createDataFrame(rows_, "grid string, split string, case_id string, status string, ambiguity_kind string, b long, e long")
+    got = {(r.grid, r.split): r for r in projection.robustness(df).collect()}
+    assert len(got) == 6 and all(r.adds_up for r in got.values())
+    r = got["v1", "all"]
+    assert (r.n, r.n_docs, r.unlabeled, r.ambiguous, r.eligible, r.covered, r.nested, r.other, r.median_length) == (4, 3, 1, 1, 2, 3, 1, 0, 5.0)
+    moved = [(r.case_id, r.split, r.first_rate, r.second_rate, r.delta, r.first_n, r.second_n) for r in projection.moved(df, "v1", "lines").collect()]
+    assert moved == [("c", "val", 0.0, 100.0, 100.0, 1, 1), ("a", "train", 50.0, 0.0, -50.0, 2, 2)]
 
 
 def test_interval_joins_are_equi_joins(spark):
