@@ -301,3 +301,33 @@ def test_very_long_words(spark):
     df = spark.createDataFrame([(1, f"{a} {b} {a}"), (2, f"{b} {a} {a}")], "doc_id long, text string")
     got = {r.word: (r.form, r.n_near) for r in spelling.variants(df, times=2).collect()}
     assert got == {a: (None, 1), b: (a, 1)}
+
+
+@pytest.mark.parametrize("find", [minhash.near_duplicates, jaccard_join.join])
+def test_last_round_moves_sets_by_open_pairs(spark, monkeypatch, find):
+    """A large cluster whose sets share much, but link with few, sends sets to the last round only where parities leave a link open."""
+    rng, given = random.Random(4), []
+    word = lambda: f"w{rng.getrandbits(40)}"
+    parts = [" ".join(word() for _ in range(40)) for _ in range(90)]
+    for k in range(90):  # each shares half of itself with the next one
+        given.append(f"{parts[k]} {parts[(k + 1) % 90]}")
+    given += [f"{given[7]} more", f"{given[40]} {word()}"]
+    for name, value in (("LIST", 2), ("BLOCK_SHINGLES", 4096), ("BLOCK_SETS", 8)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    sent, between = [], jaccard_join._link_between
+    monkeypatch.setattr(jaccard_join, "_link_between", lambda pairs, link: (sent.append(pairs.count()), between(pairs, link))[1])
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in find(df, n=4, percent=80).collect()}
+    assert got == classes_of(shingle_sets(dict(enumerate(given)), 4), 80)
+    assert len(sent) < 2 or max(sent[1::2]) < len(given)
+
+
+def test_parities_bound_overlaps():
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(3000)]
+    sets = [np.unique(np.array(rng.sample(base, rng.choice([1, 30, 400, 2000])), dtype=np.uint64)) for _ in range(40)]
+    bits, size = np.array([jaccard_join.parities(x) for x in sets]), np.array([len(x) for x in sets])
+    need = lambda x, y: jaccard_join.least_overlap(x + y, 30)
+    may = jaccard_join.possible(bits, size, bits, size, need)
+    shared = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert may[shared >= need(size[:, None], size)].all() and not may.all()
