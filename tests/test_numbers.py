@@ -41,3 +41,33 @@ def test_quantiles_of_resampled_documents(spark, tmp_path, q):
     got = bootstrap.quantile_interval(df, 400, f"file://{tmp_path}", q).head()
     expected = [np.percentile([v for _, v in given], 100 * q), *np.percentile(values, [2.5, 97.5])]
     assert np.allclose([got.point, got.ci_low, got.ci_high], expected, atol=1e-6) and got.n_documents == 17
+
+
+def test_draws_meet_no_rows(spark, tmp_path, monkeypatch):
+    """Neither a quantile of few values nor sums beyond the bound count draws in a shuffle."""
+    from spanloom.operators import draws
+
+    df = spark.createDataFrame([(i // 3, float(i % 4)) for i in range(60)], "case_id long, value double")
+    whole = bootstrap.quantile_interval(df, 50, f"file://{tmp_path}").head()
+    monkeypatch.setattr(draws, "SENT_BYTES", 100)
+    monkeypatch.setattr(draws, "weights", lambda *a, **b: 1 / 0)
+    assert bootstrap.quantile_interval(df, 50, f"file://{tmp_path}").head() == whole
+
+
+def test_intervals_read_written_sums(spark):
+    from spanloom.plans import catalogue
+
+    plan = catalogue.contrast_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sent_idx" not in plan and "text" not in plan
+
+
+def test_tfidf_shuffles_no_grams_of_documents(spark):
+    from spanloom.operators import features
+
+    df = spark.createDataFrame([(1, "Ein Wort, ein Wort \U0001f600x a"), (2, "wort  ein a\x1cb"), (3, ""), (4, "a b a ein")], "case_id long, text string")
+    made = features.tfidf(df, least=2)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    grams = df.select("case_id", F.explode(features.char_grams(F.col("text"), 3, 4)).alias("gram"))
+    often = grams.groupBy("gram").agg(F.countDistinct("case_id").alias("df")).filter("df >= 2")
+    row = lambda x: {(r.case_id, r.gram): r.weight for r in x.collect()}
+    assert row(made) == pytest.approx(row(features._met(df, often, 4, 3, 4))) and row(made)
