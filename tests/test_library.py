@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import baselines, blocks, bootstrap, draws, duplicates, features, grid, indexing, manifests, models, validation
+from spanloom.operators import baselines, blocks, bootstrap, draws, duplicates, features, grid, indexing, manifests, metrics, models, validation
 from spanloom.plans import catalogue
 from spanloom.sources import annotations, tables
 from spanloom.streaming import incremental
@@ -293,6 +293,28 @@ def test_vectors_and_baseline(spark, tmp_path):
     assert all(r.pred == r.mask and abs(sum(r.p) - 1000) < 1e-6 for r in one.filter("row <> 'e:0'").collect())
 
 
+def test_baselines_shuffle_no_grams_of_rows_and_count_decoded_rows(spark, tmp_path):
+    odd = ["alpha  beta alpha", "", None, "x", "\u00e9\U0001f600\u3000ab\tcd", "beta gamma \u85de", "abc abcd abcde"]
+    df = spark.createDataFrame([(f"{k}:{j}", "train" if k < 6 else "val", 1 << (j % 3), t) for k in range(8) for j, t in enumerate(odd)], "row string, part string, mask long, text string")
+    for low, high in ((2, 4), (3, 5)):
+        known = baselines.vocabulary(df.filter("part = 'train'"), low, high)
+        grams = df.filter("part = 'train'").select("row", F.explode(features.char_grams(F.col("text"), low, high)).alias("gram")).groupBy("gram").agg(F.countDistinct("row").alias("df"))
+        want = {r.gram: np.log((1 + 42) / (1 + r.df)) + 1 for r in grams.collect()}
+        got = {r.gram: r.idf for r in known.collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[g], want[g]) for g in want)
+    plan = baselines.vectors(df, known, 3, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Exchange" not in baselines.vectors(df, known, 2, 4)._jdf.queryExecution().executedPlan().toString()
+    text = baselines.prepare(df, 3, 5, f"file://{tmp_path}", ("val",))
+    assert {r.part for r in text.rows.select("part").distinct().collect()} == {"val"} and text.sample.n == 42
+    for softmax in (False, True):
+        fitted = baselines.fit(spark, text, baselines.SETTINGS[:2], softmax)
+        scored = baselines.score(text.rows, text, fitted, softmax).withColumn("gold", F.col("mask")).withColumn("threshold", F.explode(F.array(*map(F.lit, [0] if softmax else metrics.THRESHOLDS))))
+        scored = scored.withColumn("pred", metrics.bit(metrics.argmax(F.col("p"))) if softmax else metrics.decode(F.col("p"), F.col("threshold")))
+        by = ["setting", "threshold"]
+        counted = metrics.summary(baselines.tally(text.rows, text, fitted, softmax), by, F.col("n"))
+        assert sorted(counted.collect()) == sorted(metrics.summary(scored, by).collect())
+
+
 def test_crf_penalties():
     seqs = [([np.array([v]), np.array([2])], [v, 1 - v]) for v in (0, 1) for _ in range(30)]
     plain, sparse = models.Crf(2, 50).fit(seqs, 10), models.Crf(2, 50).fit(seqs, 10, c1=5.0)
