@@ -320,3 +320,11 @@ def test_crf_penalties():
     plain, sparse = models.Crf(2, 50).fit(seqs, 10), models.Crf(2, 50).fit(seqs, 10, c1=5.0)
     assert np.abs(sparse.w).sum() + np.abs(sparse.t).sum() < np.abs(plain.w).sum() + np.abs(plain.t).sum()
     assert all(plain.viterbi(plain.scores(f)) == y for f, y in seqs)
+
+
+def test_fits_read_features_that_are_written_once(spark):
+    d = "/root/testdata/sf0.001"
+    rows = catalogue._featurised(spark, d, buckets=64)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString() and "text" not in rows.columns
+    want = catalogue._texts(spark, d).filter(catalogue._split() != "val").select("case_id", "sent_idx", "label", "mask")
+    assert sorted(rows.select(*want.columns).collect()) == sorted(want.collect()) and rows.head().features.size == 64
