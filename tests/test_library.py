@@ -328,3 +328,4 @@ def test_fits_read_features_that_are_written_once(spark):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString() and "text" not in rows.columns
     want = catalogue._texts(spark, d).filter(catalogue._split() != "val").select("case_id", "sent_idx", "label", "mask")
     assert sorted(rows.select(*want.columns).collect()) == sorted(want.collect()) and rows.head().features.size == 64
+    assert all("/featurised/" in f for f in catalogue.QUERIES["ml_crf"](spark, d).inputFiles())
