@@ -297,3 +297,31 @@ def test_shingles_and_escape(spark):
     df = spark.createDataFrame([("a b  c\nd",), ("a b",), ("",)], "t string")
     assert [r.s for r in df.select(T.shingles(F.col("t"), 3).alias("s")).collect()] == [["a b c", "b c d"], ["a b"], [""]]
     assert df.limit(1).select(T.html_escape(F.lit("<a&\n'")).alias("s")).head().s == "&lt;a&amp;<br>&#x27;"
+
+
+def test_sentence_texts_are_cut_without_a_shuffle(spark):
+    """Texts of sentences are those at the grid's offsets, also where a text has the mark that cuts; a text is met by no join."""
+    given = [(1, "One two. \u00a0Three?\u3000\n \nfour 5!  ... x"), (2, "..."), (3, "a\x01 b. c\x01d. e"), (4, "x." * 3 + " y")]
+    docs = spark.createDataFrame(given, "case_id long, text string")
+    by_offsets = grid.sentences(docs).join(docs, "case_id").select("case_id", "sent_idx", T.slice_(F.col("text"), F.col("b"), F.col("e")).alias("text"))
+    got = {(r.case_id, r.sent_idx): (r.text, r.grid_n) for r in grid.texts(docs).collect()}
+    expected = {(r.case_id, r.sent_idx): r.text for r in by_offsets.collect()}
+    assert {k: t for k, (t, _) in got.items()} == expected and [t for (c, _), (t, _) in sorted(got.items()) if c == 1] == ["One two.", "Three?", "four 5!", "x"]
+    assert all(n == sum(c == k for k, _ in expected) for (c, _), (_, n) in got.items())
+    plan = grid.texts(docs.filter("case_id <> 3"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("\n")[0].startswith("Union") and "Join" not in plan.split(":  +-")[0].split("+- ")[0]
+
+
+def test_digits_as_ranges(spark):
+    """The class of ranges has the same characters, of which all are numbers."""
+    points = [c for c in range(0x110000) if chr(c).isdigit()] + list(range(0x2000)) + [0x2473, 0x247D, 0x2776 - 1, 0x1F10B]
+    df = spark.createDataFrame([(chr(c),) for c in points if not 0xD800 <= c < 0xE000], "t string")
+    assert len(features.DIGITS) < len(features.DIGIT) * 8 and df.filter(F.col("t").rlike(features.DIGITS) != F.col("t").rlike(features.DIGIT)).count() == 0
+    assert df.filter(F.col("t").rlike(features.DIGIT) & ~F.col("t").rlike(r"\p{N}")).count() == 0
+
+
+def test_white_space_is_that_of_the_pattern(spark):
+    df = spark.createDataFrame([(c, chr(c)) for c in (*range(0x3100), 0xFEFF) if not 0xD800 <= c < 0xE000], "c int, t string")
+    assert {r.c for r in df.filter(F.col("t").rlike(r"^(?U:\s)$")).collect()} | set(map(ord, "\n\r\x85\u2028\u2029")) == set(map(ord, T.WHITE))
+    one = df.filter(F.length("t") > 0).select("c", T.leading(F.concat("t", F.lit("a"))).alias("n"), T.trimmed_length(F.concat(F.lit("a"), "t")).alias("m"))
+    assert all((r.n == 1) == (chr(r.c) in T.WHITE) == (r.m == 1) for r in one.collect())
