@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import importlib.util
 import json
+import random
+import re
 import sys
 
 import numpy as np
@@ -329,3 +331,16 @@ def test_fits_read_features_that_are_written_once(spark):
     want = catalogue._texts(spark, d).filter(catalogue._split() != "val").select("case_id", "sent_idx", "label", "mask")
     assert sorted(rows.select(*want.columns).collect()) == sorted(want.collect()) and rows.head().features.size == 64
     assert all("/featurised/" in f for f in catalogue.QUERIES["ml_crf"](spark, d).inputFiles())
+
+
+def test_context_of_long_words_and_odd_white_space(spark):
+    """Words longer than what is looked at beside a window first, and white space of all kinds."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "é", "b" * rng.choice([1, 1, 1, 200]), " ", "\n", "\t", "\x0b", "\u00a0", "😀"]) for _ in range(120)) for _ in range(40)]
+    given = [(t, b, b + rng.randrange(1, 9)) for t in texts for b in (0, 3, rng.randrange(len(t) - 9), len(t) - 9)]
+    df = spark.createDataFrame(given, "t string, b long, e long")
+    pre, post = features.context(F.col("t"), F.col("b"), F.col("e"), 5)
+    for r in df.select("t", "b", "e", pre.alias("pre"), post.alias("post")).collect():
+        first, last = max(0, r.b - 5), min(len(r.t), r.e + 5)
+        assert r.pre == re.search(r"(?a)\S*\Z", r.t[:first]).group() + r.t[first : r.b]
+        assert r.post == r.t[r.e : last] + re.match(r"(?a)\S*", r.t[last:]).group()
