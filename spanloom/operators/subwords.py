@@ -138,7 +138,7 @@ def words(text: Column) -> Column:
 def _encode(trie: Trie, column: pa.Array) -> pa.Array:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = pc.fill_null(column, [])
-    times = np.diff(np.asarray(column.offsets)).astype(np.int64)
+    times = np.diff(np.asarray(column.offsets)).astype(np.int64)  # flatten() takes only the words of a slice
     coded = column.flatten().dictionary_encode()
     held = coded.dictionary.to_pylist()
     edge = np.concatenate(([0], np.cumsum([len(w) for w in held]))).astype(np.int64)
@@ -151,13 +151,29 @@ def _encode(trie: Trie, column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids[at].astype(np.int32)))
 
 
+#: Words of a slice of rows that is encoded at once: a word takes about 100 bytes meanwhile.
+SLICE = 1 << 18
+
+
+def _sliced(trie: Trie, column: pa.Array) -> pa.Array:
+    """The same a slice of rows at a time, so that what is held beside the words and their ids does not grow with the batch."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    before = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    parts, at = [], 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + SLICE, side="right")) - 1)
+        parts.append(_encode(trie, column.slice(at, end - at)))
+        at = end
+    return pa.concat_arrays(parts) if parts else _encode(trie, column)
+
+
 def encoder(spark: SparkSession, vocabulary: dict[str, int]):
     """A function from a text column to the ids of its pieces; a null text has none."""
     sent = spark.sparkContext.broadcast(Trie(vocabulary))
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
-        return _encode(sent.value, column)
+        return _sliced(sent.value, column)
 
     return lambda text: ids(words(text))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,17 @@ def test_vocabulary_of_words(tmp_path):
     plain_path = tmp_path / "vocab.txt"
     plain_path.write_text("[PAD]\n[UNK]\n##a\n", encoding="utf-8")
     assert S.read_vocabulary(str(plain_path)) == {"[PAD]": 0, "[UNK]": 1, "##a": 2}
+
+
+def test_a_batch_is_encoded_in_slices(spark, monkeypatch):
+    """What is held at once is bounded by words, whatever the batch; nulls and long rows go through."""
+    vocabulary = made_up(7)
+    trie, rng, sizes, encode = S.Trie(vocabulary), random.Random(7), [], S._encode
+    rows = [rng.choice([None, [], ["ab"] * rng.randrange(30), ["".join(rng.choice("abcdz") for _ in range(4)) for _ in range(rng.randrange(9))]]) for _ in range(200)]
+    column = pa.array(rows, pa.list_(pa.string()))
+    expected = encode(trie, column).to_pylist()
+    monkeypatch.setattr(S, "SLICE", 16)
+    monkeypatch.setattr(S, "_encode", lambda t, c: sizes.append((len(c), sum(len(r or []) for r in c.to_pylist()))) or encode(t, c))
+    assert S._sliced(trie, column).to_pylist() == S._sliced(trie, pa.chunked_array([column.slice(0, 70), column.slice(70)])).to_pylist() == expected
+    assert S._sliced(trie, column.slice(50, 60)).to_pylist() == expected[50:110] and S._sliced(trie, column.slice(0, 0)).to_pylist() == []
+    assert all(n == 1 or words <= 16 for n, words in sizes) and len(sizes) > 40
