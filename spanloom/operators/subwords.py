@@ -8,6 +8,7 @@ the vocabulary's.
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -180,11 +181,15 @@ def encoder(spark: SparkSession, vocabulary: dict[str, int]):
 
 def cached_lengths(texts: DataFrame, folder: str, encode, text: str = "text") -> DataFrame:
     """The rows of texts with n_subwords. Counts are kept in a table by the text's hash, and only texts that it lacks are cut into pieces."""
-    key = F.sha2(F.col(text), 256)
+    spark, rows = texts.sparkSession, f"{folder.rstrip('/')}-rows-{uuid.uuid4().hex}"
+    keyed = texts.withColumn("_key", F.sha2(F.col(text), 256))
+    # Written once, as the texts are read to be cut and their keys to be met; what made them would be run each time.
+    keyed.write.parquet(rows)
+    held = spark.read.schema(keyed.schema).parquet(rows)
     work = lambda todo: todo.select("key", F.size(encode(F.col("body"))).alias("n_subwords"))
-    incremental.append_missing(texts.filter(F.col(text).isNotNull()).select(key.alias("key"), F.col(text).alias("body")), folder, "key", work)
-    known = texts.sparkSession.read.parquet(folder).groupBy("key").agg(F.max("n_subwords").alias("n_subwords"))
-    return texts.join(known, key == F.col("key"), "left").drop("key")
+    incremental.append_missing(held.filter(F.col(text).isNotNull()).select(F.col("_key").alias("key"), F.col(text).alias("body")), folder, "key", work)
+    known = spark.read.parquet(folder).groupBy(F.col("key").alias("_key")).agg(F.max("n_subwords").alias("n_subwords"))
+    return held.join(known, "_key", "left").drop("_key")
 
 
 def id_windows(ids: Column, first: int, last: int, size: int = 510, overlap: int = 128) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import subwords
-from .catalogue import _docs, _regions, _split, query, shared_folder
+from .catalogue import _dealt, _docs, _regions, _split, query, shared_folder
 
 #: Subwords that a window has room for beside its two special tokens.
 LIMIT = 510
@@ -21,7 +21,7 @@ def _vocabulary() -> dict[str, int]:
 
 def _span_lengths(s: SparkSession, d: str) -> DataFrame:
     """Regions with n_subwords, through the cache."""
-    rows = _regions(s, d).join(_docs(s, d), "case_id").select("case_id", "region_idx", T.slice_(F.col("text"), F.col("b"), F.col("e")).alias("text"))
+    rows = _dealt(_regions(s, d), "case_id", "region_idx").join(_docs(s, d), "case_id").select("case_id", "region_idx", T.slice_(F.col("text"), F.col("b"), F.col("e")).alias("text"))
     return subwords.cached_lengths(rows, f"{shared_folder(s)}/subwords", subwords.encoder(s, _vocabulary())).drop("text")
 
 

@@ -86,7 +86,8 @@ def append_missing(rows: DataFrame, folder: str, key: str, work: Callable[[DataF
         if [s for s in held.fs.listStatus(held.path.getParent()) if s.getPath().getName().startswith("_bucket=")]:
             own = [r[0] for r in todo.select(_bucket(key)).distinct().collect()]  # as many as there are buckets at most
             todo = missing(todo, spark.read.parquet(folder).filter(F.col("_bucket").isin(own)), key)
-        work(todo).withColumn("_bucket", _bucket(key)).write.mode("append").partitionBy("_bucket").parquet(folder)
+        # A bucket's rows are dealt to one task, which writes one file: otherwise every task writes a file to every bucket.
+        work(todo).withColumn("_bucket", _bucket(key)).repartition(BUCKETS, "_bucket").write.mode("append").partitionBy("_bucket").parquet(folder)
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:

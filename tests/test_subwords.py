@@ -119,3 +119,18 @@ def test_a_batch_is_encoded_in_slices(spark, monkeypatch):
     assert S._sliced(trie, column).to_pylist() == S._sliced(trie, pa.chunked_array([column.slice(0, 70), column.slice(70)])).to_pylist() == expected
     assert S._sliced(trie, column.slice(50, 60)).to_pylist() == expected[50:110] and S._sliced(trie, column.slice(0, 0)).to_pylist() == []
     assert all(n == 1 or words <= 16 for n, words in sizes) and len(sizes) > 40
+
+
+def test_cache_writes_a_file_for_a_bucket(spark, tmp_path):
+    """The files do not grow with the tasks, and what made the texts is run once for all their uses."""
+    folder, runs = f"{tmp_path}/cache", spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(400).selectExpr("id", "concat('ab ', id % 200) AS text").repartition(7).mapInArrow(seen, "id long, text string")
+    assert S.cached_lengths(df, f"file://{folder}", S.encoder(spark, made_up(8))).count() == 400
+    buckets = list((tmp_path / "cache").glob("_bucket=*"))
+    assert len(list((tmp_path / "cache").rglob("*.parquet"))) == len(buckets) > 40 and runs.value == 400
