@@ -344,3 +344,11 @@ def test_context_of_long_words_and_odd_white_space(spark):
         first, last = max(0, r.b - 5), min(len(r.t), r.e + 5)
         assert r.pre == re.search(r"(?a)\S*\Z", r.t[:first]).group() + r.t[first : r.b]
         assert r.post == r.t[r.e : last] + re.match(r"(?a)\S*", r.t[last:]).group()
+
+
+def test_regions_of_several_uses_are_written_once(spark):
+    """Each plan that reads regions several times reads written ones, and no longer makes them from spans again."""
+    d = "/root/testdata/sf0.001"
+    for name in ("audit_candidates",):
+        plan = catalogue.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(sequence(0, 11" not in plan and "prov" not in plan, name
