@@ -349,6 +349,6 @@ def test_context_of_long_words_and_odd_white_space(spark):
 def test_regions_of_several_uses_are_written_once(spark):
     """Each plan that reads regions several times reads written ones, and no longer makes them from spans again."""
     d = "/root/testdata/sf0.001"
-    for name in ("audit_candidates",):
+    for name in ("audit_candidates", "grid_robustness"):
         plan = catalogue.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(sequence(0, 11" not in plan and "prov" not in plan, name
