@@ -352,3 +352,16 @@ def test_regions_of_several_uses_are_written_once(spark):
     for name in ("audit_candidates", "grid_robustness"):
         plan = catalogue.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(sequence(0, 11" not in plan and "prov" not in plan, name
+
+
+def test_hash_intervals_gather_no_documents(spark, tmp_path):
+    """Draws by documents' places give the same intervals; no documents are gathered for a broadcast, and draws are dealt once."""
+    sums = spark.createDataFrame([(i * 7 - 40, 1 + i % 3, float(i % 5)) for i in range(90)], "case_id long, n long, total double")
+    own = bootstrap.numbered(sums, f"file://{tmp_path}")
+    assert [r.case_id for r in own.orderBy("case_id").collect()] == list(range(90))
+    got = bootstrap.interval(own, bootstrap.place_weights(90, spark, 20), bootstrap.mean, [])
+    assert got.collect() == bootstrap.interval(sums, bootstrap.hash_weights(sums, 20), bootstrap.mean, []).collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(case_id") == 3  # of sums, of draws, and to count documents
+    assert bootstrap.place_weights(0, spark, 20).count() == 0
