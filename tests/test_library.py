@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import baselines, blocks, bootstrap, draws, duplicates, features, grid, indexing, manifests, metrics, models, validation
-from spanloom.plans import catalogue
+from spanloom.plans import catalogue, evaluation
 from spanloom.sources import annotations, tables
 from spanloom.streaming import incremental
 
@@ -365,3 +365,11 @@ def test_hash_intervals_gather_no_documents(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan
     assert plan.count("Exchange hashpartitioning(case_id") == 3  # of sums, of draws, and to count documents
     assert bootstrap.place_weights(0, spark, 20).count() == 0
+
+
+def test_crfs_read_runs_that_are_written_once(spark):
+    d = "/root/testdata/sf0.001"
+    parts = evaluation._crf_parts(spark, d)
+    assert all("Exchange" not in p._jdf.queryExecution().executedPlan().toString() for p in parts)
+    want = evaluation._crf_rows(spark, d)
+    assert sorted(r for p in parts for r in p.select("case_id", "sent_idx", "run", "label", "features").collect()) == sorted(want.select("case_id", "sent_idx", "run", "label", "features").collect())
