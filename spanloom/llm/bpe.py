@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textnum as tn
 
 # Symbols: the space and another white space as last of their run, letters, letters that end a
@@ -575,7 +576,7 @@ def _decoded(ids: np.ndarray, offsets: np.ndarray, cut: np.ndarray, own: Vocabul
 def _map(docs: DataFrame, run: Callable, key: str, columns: dict[str, str], made: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     frame = docs.select(F.col(key).alias("key"), *(F.col(c).cast(t).alias(n) for n, (c, t) in columns.items()))
-    return frame.mapInArrow(run, f"key {kind}, {made}").withColumnRenamed("key", key)
+    return frame.mapInArrow(common.lean(run), f"key {kind}, {made}").withColumnRenamed("key", key)
 
 
 _IDS = "ids array<int>, offsets array<int>"

@@ -109,7 +109,7 @@ def _count(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[int, np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s), pa.int32()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["size", "at", "n"])
 
     out = {s: np.zeros(len(k), dtype=np.int64) for s, k in shingles.items()}
-    counted = docs.select("text").mapInArrow(run, "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(common.lean(run), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # a row for each shingle of the block at most
         out[r["size"]][r["at"]] = r["n"]
     return out
@@ -189,7 +189,7 @@ def _hits(docs: DataFrame, w: Windows, every: bool) -> DataFrame:
                 )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, text_hash long, n_words long, hits array<struct<first:int,last:int>>, items array<string>")
+    return docs.mapInArrow(common.lean(run), f"key {kind}, text_hash long, n_words long, hits array<struct<first:int,last:int>>, items array<string>")
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:

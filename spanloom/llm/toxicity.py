@@ -181,7 +181,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
             held = [added(held)]
             yield send()
 
-    return rows.select("text", "label").mapInArrow(run, "term long, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    return rows.select("text", "label").mapInArrow(common.lean(run), "term long, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
 
 
 def vocabulary(rows: DataFrame, n1: float, n0: float) -> np.ndarray:
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some) + 1, pa.int64()), pa.array(np.append(some, -1)), pa.array(np.append(total[some], size))], names=["key", "term", "n"])
 
-    each = scratch.table(own.join(F.broadcast(sample), "key", "left").mapInArrow(run, "key long, term long, n long"), "each")
+    each = scratch.table(own.join(F.broadcast(sample), "key", "left").mapInArrow(common.lean(run), "key long, term long, n long"), "each")
     sums = {r.term: r.n for r in each.filter("key is null").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term
     vectors = each.filter("key is not null").groupBy("key", "term").agg(F.max("n").alias("n")).groupBy("key").agg(F.collect_list(F.struct("term", "n")).alias("terms"))  # a repeated row is one example
     listed = {r.key: (r.label, r.terms) for r in sample.join(vectors, "key", "left").collect()}  # the sample's rows
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["key", "score", "evidence"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, score double, evidence {EVIDENCE}").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(common.lean(run), f"key {kind}, score double, evidence {EVIDENCE}").withColumnRenamed("key", key)
 
 
 def held_out(key: str = "doc_id"):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import random
 
+import pytest
+
 import corpus_pipeline
 
 
@@ -76,3 +79,22 @@ def test_empty_tables_and_clashing_names(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect())), name
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Workers are reused by later stages: each task of the stages' operators ends by giving back what it no longer holds, also when it fails or is left early."""
+    from spanloom.llm import bpe, common, components, decontaminate, jaccard_join, toxicity
+
+    for module in (bpe, components, decontaminate, jaccard_join, toxicity):
+        source = inspect.getsource(module)
+        assert source.count(".mapInArrow(") == source.count(".mapInArrow(common.lean(") > 0
+    given = []
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    assert list(common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6] and len(given) == 2
+    left = common.lean(lambda batches: (1 // b for b in batches))
+    with pytest.raises(ZeroDivisionError):
+        list(left(iter([1, 0])))
+    early = left(iter([1, 1]))
+    next(early)
+    early.close()
+    assert len(given) == 6
